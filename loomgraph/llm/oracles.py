@@ -29,6 +29,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
 """
 
+OP5 = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT row_id, doc_id, i, array_to_string(w[i : i + 49], ' ') AS window_text FROM doc_words, unnest(range(1, len(w) - 48)) AS t(i)
+), later AS (
+  SELECT row_id, i FROM (SELECT row_id, i, doc_id, min(doc_id) OVER (PARTITION BY window_text) AS least FROM windows) WHERE doc_id > least
+), removed AS (
+  SELECT DISTINCT row_id, i + j AS pos FROM later, unnest(range(0, 50)) AS t(j)
+), kept AS (
+  SELECT row_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n
+  FROM (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM doc_words) ANTI JOIN removed USING (row_id, pos) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM doc_words LEFT JOIN kept USING (row_id)
+"""
+
 _TAIL = r"(?:(?:ac|co|com|edu|gov|net|or|org)\.[a-z][a-z]|[^.]*)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HOST = _LOWER.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
@@ -89,4 +106,4 @@ SELECT page_id, host, path, r.rule,
 FROM seen LEFT JOIN ruled r USING (host, path) JOIN judged USING (host)
 """
 
-SQL = {"op1_decontaminate": OP1, "op10_urls": OP10}
+SQL = {"op1_decontaminate": OP1, "op5_substring": OP5, "op10_urls": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, language, packing, pii, quality, url_filter
+from loomgraph.llm import decontaminate, language, packing, pii, quality, substring, url_filter
 from loomgraph.llm.common import pick, table
 
 #: The rules of the url query: verdict, host, path.
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.rules(docs, quality.train_rules(docs, table(spark, sf_dir, "labels")))
@@ -54,4 +58,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES).drop("reputation")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op4_quality, op6_rules, op7_pii, op8_packing, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op4_quality, op5_substring, op6_rules, op7_pii, op8_packing, op10_urls)}
