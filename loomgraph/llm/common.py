@@ -11,6 +11,7 @@ Conventions kept by every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -91,6 +92,9 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files of the finished job go with its last references
     return spark.read.schema(schema).parquet(path)
 
 
@@ -111,3 +115,14 @@ atexit.register(release)
 
 def parts_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def deal(docs: DataFrame, part_chars: int) -> tuple[DataFrame, int, int]:
+    """Documents dealt evenly to parts of about `part_chars` bytes of text, by a hash of id and text, in a column `part`;
+    how many parts, and a power of two of hash buckets for what the parts send.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parts_for(docs.sparkSession, -(-size // part_chars))
+    buckets = 1 << (n - 1).bit_length()
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return dealt.repartition(n, "part"), n, buckets

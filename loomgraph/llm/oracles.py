@@ -46,6 +46,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM doc_words LEFT JOIN kept USING (row_id)
 """
 
+OP9 = r"""
+WITH RECURSIVE doc_words AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT row_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 2], ' ') END AS s
+  FROM doc_words, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT row_id, count(*) AS n FROM shingles GROUP BY row_id),
+classes AS (SELECT row_id, min(row_id) OVER (PARTITION BY d) AS class FROM (SELECT row_id, string_agg(s, chr(10) ORDER BY s) AS d FROM shingles GROUP BY row_id)),
+firsts AS (SELECT row_id, s, n FROM shingles JOIN sizes USING (row_id) WHERE row_id IN (SELECT class FROM classes)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY f, s) AS r FROM firsts JOIN (SELECT s, count(*) AS f FROM firsts GROUP BY s) USING (s)),
+prefix AS (SELECT row_id, s, n FROM ranked WHERE r <= n - ceil(0.9 * n) + 1),
+pairs AS (
+  SELECT DISTINCT a.row_id AS x, b.row_id AS y, a.n AS nx, b.n AS ny
+  FROM prefix a JOIN prefix b ON a.s = b.s AND a.row_id < b.row_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+), links AS (
+  SELECT x, y FROM pairs JOIN firsts a ON a.row_id = x JOIN firsts b ON b.row_id = y AND a.s = b.s
+  GROUP BY x, y, nx, ny HAVING 100 * count(*) >= 90 * (nx + ny - count(*))
+), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT DISTINCT class AS node, class AS seen FROM classes
+  UNION
+  SELECT node, y FROM reach JOIN edges ON seen = x
+), roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+components AS (
+  SELECT d.row_id, doc_id, min(doc_id) OVER (PARTITION BY root) AS component_id
+  FROM doc_words d JOIN classes USING (row_id) JOIN roots ON class = node
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM doc_words d LEFT JOIN sizes USING (row_id) LEFT JOIN components USING (row_id)
+"""
+
 _TAIL = r"(?:(?:ac|co|com|edu|gov|net|or|org)\.[a-z][a-z]|[^.]*)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HOST = _LOWER.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
@@ -106,4 +138,4 @@ SELECT page_id, host, path, r.rule,
 FROM seen LEFT JOIN ruled r USING (host, path) JOIN judged USING (host)
 """
 
-SQL = {"op1_decontaminate": OP1, "op5_substring": OP5, "op10_urls": OP10}
+SQL = {"op1_decontaminate": OP1, "op5_substring": OP5, "op9_jaccard": OP9, "op10_urls": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, language, packing, pii, quality, substring, url_filter
+from loomgraph.llm import decontaminate, jaccard, language, packing, pii, quality, substring, url_filter
 from loomgraph.llm.common import pick, table
 
 #: The rules of the url query: verdict, host, path.
@@ -42,6 +42,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def url_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, good: a page shows the document whose id ends its url's path; that document's quality label is its outcome.
 
@@ -58,4 +62,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES).drop("reputation")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op4_quality, op5_substring, op6_rules, op7_pii, op8_packing, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op4_quality, op5_substring, op6_rules, op7_pii, op8_packing, op9_jaccard, op10_urls)}
