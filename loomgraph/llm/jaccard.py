@@ -2,17 +2,20 @@
 
 A document's set holds its distinct shingles of `n` words, A-Z lower-cased. Two sets of a and b
 shingles with Jaccard similarity of at least t/100 differ in at most (a + b)(100 - t)/(100 + t)
-shingles. Each shingle is hashed to one of P parts of a bit sketch and flips one bit there, so
-the sketches of two sets differ in no more bits than the sets in shingles. Within a band of
-sizes P exceeds the most shingles by which similar sets can differ, so similar sets have a part
-in common (pigeonhole); the parts are the keys, and what shares one is compared exactly.
+shingles. A shingle is hashed to one of P parts of a very wide bit sketch and flips one bit there,
+so the sketches of two sets differ in no more bits than the sets in shingles. A part is kept as
+the XOR of a random word for each bit that is set; as in the sketch, what is flipped twice is
+gone. Within a band of sizes P exceeds the most shingles by which similar sets can differ, so
+similar sets have a part in common (pigeonhole). Parts are the keys; sets that share one are
+compared exactly.
 
-Parts that hold no or next to no shingles are alike in many documents. P is larger by 2 * spare,
-so the `spare` emptiest parts of each document need no key: of the 1 + 2 * spare parts that
-similar sets have in common, 2 * spare at most are left out on either side.
+Parts without any shingle are alike in all documents. P is larger by 2 * spare, so the `spare`
+emptiest parts of each document need no key: of the 1 + 2 * spare parts that similar sets have in
+common, 2 * spare at most are left out on either side. `spare` covers the parts expected to be
+empty in the smallest sets of a band, and from a similarity of 0.9 on those with one shingle.
 
-A set belongs to the band of its size, and to the band above if sets of that band can be similar
-to it. Bands are `ratio` wide.
+A set belongs to the band of its size, and to each band above whose sets can be similar to it.
+Bands are `ratio` wide.
 
 Documents without words have an empty set and are linked with nothing; so are null texts. With
 fewer words than n the whole sequence is one shingle. Documents of equal sets and at least one
@@ -22,6 +25,9 @@ documents may be linked through its text. Repeated rows each get a row.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +38,8 @@ from loomgraph.llm import common, similar
 from loomgraph.llm.decontaminate import Hashes, grams, hashed
 
 _KNOWN = Hashes()
-_FLIP = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
+RATIO = 1.25
 
 
 def shingles(text: str | None, n: int = 3) -> np.ndarray:
@@ -47,38 +53,51 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
     return np.unique(grams(h, n))
 
 
-def band(size: int, ratio: float = 1.5) -> tuple[int, int]:
-    """The number of a size's band, and the largest size in it."""
-    low, number = 1, 0
-    while True:
-        high = max(low, int(low * ratio))
-        if size <= high:
-            return number, high
-        low, number = high + 1, number + 1
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def sketch_keys(tokens: np.ndarray, percent: int = 90, ratio: float = 1.5) -> np.ndarray:
-    """The keys of a set: parts of its parity sketches for its bands, each a 64-bit hash of band, part and flipped bits."""
-    keys = []
-    size = len(tokens)
-    number, high = band(size, ratio)
-    above = band(size * 100 // percent, ratio)
-    for number, high in dict.fromkeys([(number, high), above]):
-        differ = 2 * high * (100 - percent) // (100 + percent)
-        spare = 2 if differ >= 8 else 0
+@functools.cache
+def band(number: int, percent: int, ratio: float = RATIO) -> tuple[int, int, int, int]:
+    """The least and the largest size in a band, its parts P, and how many of a set's parts need no key."""
+    low = 1 if number == 0 else band(number - 1, percent, ratio)[1] + 1
+    high = max(low, int(low * ratio))
+    differ = 2 * high * (100 - percent) // (100 + percent)
+    spare = 0
+    while differ >= 4 and spare < differ:
         parts = differ + 1 + 2 * spare
-        mixed = tokens * np.uint64(0xC2B2AE3D27D4EB4F)
-        part = ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        bit = (mixed & np.uint64(255)).astype(np.int64)
+        mean = low / parts
+        light = math.exp(-mean) * (1 + mean * (percent >= 90))
+        if spare >= parts * light + 2 * math.sqrt(parts * light):
+            break
+        spare += 1
+    return low, high, differ + 1 + 2 * spare, spare
+
+
+def bands(size: int, percent: int, ratio: float = RATIO) -> list[int]:
+    """The band of a size, and those above that hold sets similar to sets of that size."""
+    number = 0
+    while band(number, percent, ratio)[1] < size:
+        number += 1
+    out = [number]
+    while band(number + 1, percent, ratio)[0] * percent <= size * 100:
+        out.append(number := number + 1)
+    return out
+
+
+def sketch_keys(tokens: np.ndarray, percent: int = 90, ratio: float = RATIO) -> np.ndarray:
+    """The keys of a set: a 64-bit hash of band, part and the part's sketch, for each of its bands and parts."""
+    keys = []
+    flip = _mix(tokens * np.uint64(0xC2B2AE3D27D4EB4F))
+    for number in bands(len(tokens), percent, ratio):
+        _, _, parts, spare = band(number, percent, ratio)
+        part = ((flip >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         sketch = np.zeros(parts, dtype=np.uint64)
-        np.bitwise_xor.at(sketch, part, _FLIP[bit])  # a bit flipped twice is as before
-        places, times = np.unique(part * 256 + bit, return_counts=True)
-        lit = np.bincount(places[times % 2 == 1] // 256, minlength=parts)
-        full = np.sort(np.lexsort((np.arange(parts), lit))[spare:])
-        out = (sketch[full] + full.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(number + 1)) * _FIRST
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        keys.append(out ^ (out >> np.uint64(29)))
+        np.bitwise_xor.at(sketch, part, tokens)
+        filled = np.bincount(part, minlength=parts)
+        full = np.sort(np.lexsort((np.arange(parts), filled))[spare:])
+        keys.append(_mix((sketch[full] + full.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(number + 1)) * _FIRST))
     return np.unique(np.concatenate(keys))
 
 

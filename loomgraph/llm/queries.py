@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, jaccard, language, packing, pii, quality, substring, url_filter
+from loomgraph.llm import decontaminate, jaccard, language, lines, packing, pii, quality, substring, url_filter
 from loomgraph.llm.common import pick, table
 
 #: The rules of the url query: verdict, host, path.
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -62,4 +66,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES).drop("reputation")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op4_quality, op5_substring, op6_rules, op7_pii, op8_packing, op9_jaccard, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_language, op4_quality, op5_substring, op6_rules, op7_pii, op8_packing, op9_jaccard, op10_urls)}
