@@ -1,10 +1,11 @@
-"""A training corpus from raw documents, in stages. Counted as part of loomgraph.llm."""
+"""A training corpus from raw documents, in five stages. Counted as part of loomgraph.llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, packing, quality
+from loomgraph.llm import decontaminate, jaccard, lines, packing, quality
 from loomgraph.llm.common import spill, table
 
 
@@ -13,6 +14,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and similar lines the first stays; documents without a line left go. n_chars follows the text, if there is such a column."""
+    out = lines.dedupe(docs, drop_empty=True)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document of the smallest id stays."""
+    return jaccard.keep_first(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -23,13 +35,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", decontamination), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination), ("packing", pack)]
 #: A trained chain and the packing are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the whole documents table, each result written and read again."""
+    """All stages on the whole documents table, each result written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
