@@ -105,7 +105,7 @@ def is_linked(percent: int):
     return lambda both, a, b: 100 * both >= percent * (a + b - both)
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 16_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 4_000_000) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     docs = common.pick(docs, doc_id="long", text="string")
     dealt, _, buckets = common.deal(docs, part_chars)
@@ -133,7 +133,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 16_00
     return linked.unionByName(alone)
 
 
-def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, part_chars: int = 16_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, part_chars: int = 4_000_000) -> DataFrame:
     """The documents, all columns, but for those linked with one of a smaller id in their component."""
     at = common.position(docs, "doc_id")
     gone = join(docs, n, percent, part_chars).filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()

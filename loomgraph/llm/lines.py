@@ -144,7 +144,7 @@ def _sign(width: int, percent: int):
     return sign
 
 
-def winners(docs: DataFrame, width: int = 9, percent: int = 80, part_chars: int = 16_000_000) -> DataFrame:
+def winners(docs: DataFrame, width: int = 9, percent: int = 80, part_chars: int = 4_000_000) -> DataFrame:
     """(part, node, doc_id, place): for nodes that occur in several parts or are linked, as met in each part, the line that stays."""
     docs = common.pick(docs, doc_id="long", text="string")
     dealt, _, buckets = common.deal(docs, part_chars)
@@ -158,7 +158,7 @@ def winners(docs: DataFrame, width: int = 9, percent: int = 80, part_chars: int
     return common.spill(members.select("part", "node").join(stays, "node").select("part", "node", "at.doc_id", "at.place"), "winners")
 
 
-def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool = False, part_chars: int = 16_000_000) -> DataFrame:
+def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool = False, part_chars: int = 4_000_000) -> DataFrame:
     """The documents, all columns, without the lines that go; with drop_empty, documents that lose all their lines with a word go too.
 
     Columns n_lines and n_removed (of the document's lines) follow unless drop_empty is set, named
