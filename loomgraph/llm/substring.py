@@ -75,14 +75,15 @@ class Range:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
         texts = docs.column("text").to_pylist()
         self.ids = [ids[i] for i in order]
-        self.words = [common.words(texts[i]) for i in order]
-        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.texts = [texts[i] for i in order]
+        hashes = [hashed(common.words(text), _KNOWN) for text in self.texts]
+        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
         self.ends = np.cumsum(sizes)
         new = [True] + [a != b for a, b in zip(self.ids, self.ids[1:], strict=False)]
         self.rank = np.repeat(np.cumsum(new)[: len(sizes)], sizes).astype(np.int32)  # equal ids have one rank
-        self.left = np.repeat(self.ends, sizes) - np.arange(sizes.sum())  # words from here to the document's end
-        self.place = np.arange(sizes.sum()) - np.repeat(self.ends - sizes, sizes)
-        self.h = np.concatenate([hashed(w, _KNOWN) for w in self.words]) if self.words else np.zeros(0, np.uint64)
+        self.left = (np.repeat(self.ends, sizes) - np.arange(sizes.sum())).astype(np.int32)  # words from here to the document's end
+        self.place = np.repeat(sizes, sizes).astype(np.int32) - self.left
+        self.h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of block-long windows, sorted; where each window starts and which hash it has; flags of each hash."""
@@ -176,7 +177,7 @@ def _match_windows(table: pa.Table) -> pa.Table:
     return _answers(_bit_rows(parts, bucket, 2, yes, row))
 
 
-def dedupe(docs: DataFrame, length: int = 50, part_chars: int = 16_000_000, bucket_words: int = 2_000_000) -> DataFrame:
+def dedupe(docs: DataFrame, length: int = 50, part_chars: int = 4_000_000, bucket_words: int = 2_000_000) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, kept (text: kept words joined by spaces), kept_sha256.
 
     part_chars bounds the text of an id range, bucket_words the hashes of a bucket, on average;
@@ -226,8 +227,8 @@ def dedupe(docs: DataFrame, length: int = 50, part_chars: int = 16_000_000, buck
         np.add.at(edge, starts + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         rows, begin = [], 0
-        for doc_id, words, end in zip(found.ids, found.words, found.ends.tolist(), strict=True):
-            mask = gone[begin:end]
+        for doc_id, text, end in zip(found.ids, found.texts, found.ends.tolist(), strict=True):
+            mask, words = gone[begin:end], common.words(text)
             kept = b" ".join([w for w, x in zip(words, mask.tolist(), strict=True) if not x] if mask.any() else words)
             rows.append((doc_id, len(words), int(mask.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
             begin = end
