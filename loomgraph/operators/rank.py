@@ -1,9 +1,9 @@
 """PageRank by a fixed number of steps, scaled to the largest score.
 
-All steps are one plan: edges are dealt by source once and kept; a step joins scores to them
-where they lie, sums contributions within tasks, and moves one row per target and task. Scores
-come out dealt by node, which is how the next step needs them. A lost executor repeats what it
-held. Mass of nodes without outgoing edges is dropped.
+Edges are dealt by source once and kept; a step joins scores to them where they lie, sums
+contributions within tasks, and moves one row per target and task. Scores come out dealt by node,
+which is how the next step needs them; every fifth step they are written, so plans stay short and
+a lost executor repeats little. Mass of nodes without outgoing edges is dropped.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import spill
+
 
 def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: float = 0.85, parts: int | None = None, digits: int = 4) -> DataFrame:
     """(id, rank): rank is the score over the largest score, rounded. nodes: id; edges: source, target, weight (null: 1)."""
@@ -30,7 +32,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: float
     base = (1 - damping) / n
     start = ids.repartition(parts, "id").persist()
     scores = start.select("id", F.lit(1 / n).alias("score"))
-    for _ in range(steps):
+    for i in range(steps):
+        if i and i % 5 == 0:
+            scores = spill(scores, "scores").repartition(parts, "id")
         sent = links.join(scores.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), (F.col("share") * F.col("score")).alias("score"))
         own = start.select("id", F.lit(base).alias("score"))
         scores = sent.unionByName(own).groupBy("id").agg(F.sum("score").alias("score"))

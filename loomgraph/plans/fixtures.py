@@ -91,9 +91,9 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = lambda name: table(spark, sf_dir, name)
     key = lambda kind, column: F.concat(L(f"{kind}:"), column)
 
-    def nodes(name: str, id_, kind: str, order, **known) -> DataFrame:
+    def nodes(source: str, id_, kind: str, order, **known) -> DataFrame:
         place = F.struct(L(0).alias("run"), L(order[0]).alias("kind"), S(order[1]).cast("long").alias("file_ord"), L(0).alias("chunk_index"), L(0).alias("rank"), L(0).alias("pos")).cast(build.ORD)
-        return t(name).select(id_.alias("id"), *build.null_node(type=L(kind), **known), place.alias("node_ord"))
+        return t(source).select(id_.alias("id"), *build.null_node(type=L(kind), **known), place.alias("node_ord"))
 
     orders = t("orders").join(t("customer").select("c_custkey", "c_name"), S("o_custkey") == S("c_custkey"))
     fact = F.concat(L("Order "), "o_orderkey", L(" of "), "c_name", L(" has priority "), "o_orderpriority")

@@ -160,11 +160,12 @@ SELECT position, left(text, 3000) AS text FROM r WHERE position IN (SELECT posit
 """
 
 _EXT = f"""
-items AS (
+every_item AS (
   SELECT l_orderkey AS o, l_orderkey * 10 + l_linenumber AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name, p_brand, p_type) AS i, p_name, p_brand, p_type, c_name, c_mktsegment, o_orderpriority,
     {_cid("'entity'", 'p_name')} AS eid, {_cid("'person'", 'c_name')} AS pid
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
 ),
+items AS (SELECT * FROM every_item WHERE i <= 8),
 entities AS (SELECT eid, arg_min(p_name, (ord, i)) AS name, arg_min(p_type, (ord, i)) AS type, count(*) AS mentions, min(o) AS first_order FROM items GROUP BY eid),
 texts AS (
   SELECT o, kind, text, {_cid('kind', 'left(text, 60)')} AS id FROM (
@@ -176,10 +177,10 @@ merged_texts AS (SELECT id, kind, arg_max(text, o) AS text, min(o) AS first_orde
 SQL["alias_index"] = f"""
 WITH {_EXT},
 direct AS (
-  SELECT alias, arg_max(node_type, at) AS node_type FROM (
-    SELECT lower(p_name) AS alias, 'entity' AS node_type, (o, 0, i) AS at FROM items UNION ALL SELECT lower(c_name), 'person', (o, 1, 0) FROM items WHERE i = 1) GROUP BY alias
+  SELECT alias, arg_max(node_type, place) AS node_type FROM (
+    SELECT lower(p_name) AS alias, 'entity' AS node_type, (o, 0, i) AS place FROM every_item UNION ALL SELECT lower(c_name), 'person', (o, 1, 0) FROM every_item WHERE i = 1) GROUP BY alias
 ),
-also AS (SELECT lower(p_brand) AS alias, arg_min(lower(p_name), (o, i)) AS canonical FROM items GROUP BY 1)
+also AS (SELECT lower(p_brand) AS alias, arg_min(lower(p_name), (o, i)) AS canonical FROM every_item GROUP BY 1)
 SELECT alias, alias AS canonical, node_type FROM direct
 UNION ALL SELECT alias, canonical, 'entity' FROM also WHERE alias NOT IN (SELECT alias FROM direct)
 """
@@ -192,7 +193,7 @@ SQL["person_merge"] = f"""
 WITH {_EXT} SELECT pid AS id, arg_min(c_name, o) AS name, arg_min(c_mktsegment, o) AS role, count(*) AS mentions FROM items WHERE i = 1 GROUP BY pid
 """
 SQL["text_merge"] = f"WITH {_EXT} SELECT id, kind, text, first_order FROM merged_texts"
-SQL["relationship_edges"] = f"WITH {_EXT} SELECT DISTINCT pid AS source, eid AS target, 'BOUGHT' AS type FROM items"
+SQL["relationship_edges"] = f"WITH {_EXT} SELECT DISTINCT pid AS source, eid AS target, 'BOUGHT' AS type FROM every_item WHERE i <= 10 AND eid IN (SELECT eid FROM entities)"
 SQL["chunk_nodes"] = f"""
 WITH {_EXT} SELECT DISTINCT 'orders/' || o AS source, id FROM (SELECT o, eid AS id FROM items UNION ALL SELECT o, pid FROM items UNION ALL SELECT o, id FROM texts)
 """
@@ -204,7 +205,7 @@ about AS (
   SELECT DISTINCT t.o, t.id AS source, w.id AS target FROM (SELECT DISTINCT o, id FROM texts) t JOIN merged_texts m USING (id) JOIN who w USING (o) JOIN names n ON n.id = w.id AND contains(lower(m.text), n.name)
 ),
 rows AS (SELECT source, target, 'ABOUT' AS type FROM about UNION ALL SELECT id, 'document:' || left(sha256('orders/' || o), 12), 'FROM_SOURCE' FROM who)
-SELECT source, target, type, CASE WHEN count(*) > 1 THEN count(*) END AS weight FROM rows GROUP BY ALL
+SELECT source, target, type, count(*) AS weight FROM rows GROUP BY ALL
 """
 _values = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
 SQL["remap_entities"] = f"""
@@ -277,7 +278,7 @@ facts AS (
 ),
 kept AS (SELECT id FROM core UNION ALL SELECT id FROM facts)"""
 SQL["filtered_nodes"] = f"WITH {_KEPT} SELECT id, type FROM nodes WHERE id IN (SELECT id FROM kept)"
-SQL["filtered_edges"] = f"WITH {_KEPT} SELECT source, target, type, weight FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)"
+SQL["filtered_edges"] = f"WITH {_KEPT} SELECT source, target, type, coalesce(weight, 1) AS weight FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)"
 
 
 def _pagerank(steps: int = 20) -> str:
@@ -327,7 +328,7 @@ WITH {_GRAPH} SELECT id, count(*) AS degree, round(3.0::DOUBLE + least(6.0, sqrt
 """
 SQL["graph_counts"] = f"WITH {_GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"
 SQL["graph_stats"] = f"WITH {_GRAPH} SELECT 'node' AS what, type, count(*) AS count FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type"
-SQL["type_subgraph"] = f"WITH {_GRAPH}, e AS (SELECT id FROM nodes WHERE type = 'entity') SELECT source, target, type, weight FROM edges WHERE source IN (SELECT id FROM e) AND target IN (SELECT id FROM e)"
+SQL["type_subgraph"] = f"WITH {_GRAPH}, e AS (SELECT id FROM nodes WHERE type = 'entity') SELECT source, target, type, coalesce(weight, 1) AS weight FROM edges WHERE source IN (SELECT id FROM e) AND target IN (SELECT id FROM e)"
 SQL["node_detail"] = f"""
 WITH {_GRAPH}, i AS (SELECT 'out' AS direction, type AS edge_type, target AS other FROM edges WHERE source = 'supplier:3' UNION ALL SELECT 'in', type, source FROM edges WHERE target = 'supplier:3')
 SELECT direction, edge_type, other, type AS other_type, coalesce(name, text, id) AS label FROM i LEFT JOIN nodes ON id = other
@@ -337,7 +338,7 @@ WITH {_GRAPH}
 SELECT id, type, name, CASE WHEN type = 'person' THEN lower(role) END AS role FROM nodes WHERE type <> 'fact'
 UNION ALL SELECT id, NULL, NULL, NULL FROM nodes WHERE type = 'fact'
 """
-SQL["merged_edges"] = f"WITH {_GRAPH} SELECT source, target, type, CASE WHEN type = 'ABOUT' THEN weight ELSE 7 END AS weight FROM edges WHERE type <> 'BOUGHT'"
+SQL["merged_edges"] = f"WITH {_GRAPH} SELECT source, target, type, CASE WHEN type = 'ABOUT' THEN coalesce(weight, 1) ELSE 7 END AS weight FROM edges WHERE type <> 'BOUGHT'"
 SQL["dot_export"] = f"""
 WITH {_GRAPH}, p AS (SELECT * FROM nodes WHERE etype = 'place')
 SELECT part, line FROM (VALUES (0, 'digraph G {{'), (0, '  rankdir=LR;'), (0, '  node [shape=box, fontsize=10];'), (3, '}}')) t(part, line)

@@ -9,10 +9,16 @@ from loomgraph.functions import text as T
 from loomgraph.operators import build, chunking, dedup, extract, graph, incremental, quality, rank, search
 from loomgraph.plans import fixtures as X
 from loomgraph.sources import graphs
+from loomgraph.sources.shared import spill
 
 QUERIES = {}
 
 
+def _weight():
+    """As ranking reads it."""
+    return F.coalesce("weight", F.lit(1)).alias("weight")
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -142,7 +148,7 @@ def co_occurrence_edges(spark, sf_dir):
     entities, people, texts = dedup.merge_entities(ext), dedup.merge_people(ext), dedup.merge_texts(ext)
     files = X.table(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), "o_orderkey").alias("path"))
     nodes = entities.select("id").unionByName(people.select("id")).unionByName(texts.select("id")).unionByName(files.select(T.document_id(F.col("path")).alias("id")))
-    return build.co_occurrence_edges(dedup.chunk_nodes(ext), texts, entities, people, build.no_moves(spark), nodes).drop("ord")
+    return build.co_occurrence_edges(dedup.chunk_nodes(ext), texts, entities, people, build.no_moves(spark), nodes).select("source", "target", "type", _weight())
 
 
 #: Merges and parts of the consolidation fixture: nations by name.
@@ -199,7 +205,7 @@ def filtered_nodes(spark, sf_dir):
 
 @query
 def filtered_edges(spark, sf_dir):
-    return quality.filter_graph(*X.graph(spark, sf_dir))[1].select("source", "target", "type", "weight")
+    return quality.filter_graph(*X.graph(spark, sf_dir))[1].select("source", "target", "type", _weight())
 
 
 @query
@@ -252,7 +258,7 @@ def graph_stats(spark, sf_dir):
 
 @query
 def type_subgraph(spark, sf_dir):
-    return graph.of_types(*X.graph(spark, sf_dir), ["entity"])[1].select("source", "target", "type", "weight")
+    return graph.of_types(*X.graph(spark, sf_dir), ["entity"])[1].select("source", "target", "type", _weight())
 
 
 @query
@@ -275,7 +281,7 @@ def merged_nodes(spark, sf_dir):
 
 @query
 def merged_edges(spark, sf_dir):
-    return graph.merge(*_halves(spark, sf_dir))[1].select("source", "target", "type", "weight")
+    return graph.merge(*_halves(spark, sf_dir))[1].select("source", "target", "type", _weight())
 
 
 @query
@@ -291,6 +297,6 @@ def rule_graph(spark, sf_dir):
     from loomgraph.plans.ingest import graph_of
 
     files = X.text_files(spark, sf_dir)
-    ext = extract.extractions(extract.RuleExtractor(), chunking.chunk(files, 1000))
+    ext = spill(extract.extractions(extract.RuleExtractor(), spill(chunking.chunk(files, 1000), "chunks")), "extractions")
     nodes, _ = graph_of(files, ext, "1970-01-01T00:00:00Z")
     return nodes.groupBy("type").agg(F.count("*").alias("nodes"), F.round(F.max("rank"), 4).alias("top"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,10 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of the finished job go with its last references
+    for _ in range(2):  # shuffle files of the finished job go with the last references to it, some of which only the first round finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return spark.read.schema(schema).parquet(path)
 
 
