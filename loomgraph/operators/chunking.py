@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ PIECES = "array<struct<text:string,heading:string,participants:array<string>,is_
 _SPANS = "array<struct<a:int,b:int>>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once, also where `then` uses it inside a fold."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _piece(text: Column, heading: Column | str = "", participants: Column | None = None) -> Column:
     return F.struct(
         text.alias("text"),
@@ -39,8 +45,11 @@ def _indices(array: Column) -> Column:
 
 def paragraphs(content: Column, limit: int, heading: Column | str = "") -> Column:
     """Greedy packing of blank-line separated paragraphs; a full chunk hands its last two on; a final repeat is dropped."""
-    parts = F.transform(F.filter(F.split(content, rf"\n{T.SPACE}*\n", -1), lambda p: ~T.is_blank(p)), T.trim)
-    sizes = F.transform(parts, T.utf16_length)
+    found = F.transform(F.filter(F.split(content, rf"\n{T.SPACE}*\n", -1), lambda p: ~T.is_blank(p)), T.trim)
+    return _let(found, lambda parts: _let(F.transform(parts, T.utf16_length), lambda sizes: _packed_paragraphs(parts, sizes, limit, heading)))
+
+
+def _packed_paragraphs(parts: Column, sizes: Column, limit: int, heading: Column | str) -> Column:
     size = lambda i: F.element_at(sizes, (i + 1).cast("int"))
     start = F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("tokens"), F.array().cast(_SPANS).alias("out"))
 
@@ -56,16 +65,23 @@ def paragraphs(content: Column, limit: int, heading: Column | str = "") -> Colum
         )
 
     spans = F.aggregate(_indices(parts), start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), F.size(parts).alias("b")))))
+
+    def pieces(texts: Column) -> Column:
+        n = F.size(texts)
+        repeated = (n > 1) & (F.element_at(texts, -1) == F.element_at(texts, F.greatest(n - 1, F.lit(1))))
+        kept = F.when(repeated, F.slice(texts, 1, F.greatest(n - 1, F.lit(0)))).otherwise(texts)
+        return F.transform(kept, lambda t: _piece(t, heading))
+
     texts = F.transform(spans, lambda s: _joined(parts, s, "\n\n"))
-    n = F.size(texts)
-    repeated = (n > 1) & (F.element_at(texts, -1) == F.element_at(texts, F.greatest(n - 1, F.lit(1))))
-    kept = F.when(repeated, F.slice(texts, 1, F.greatest(n - 1, F.lit(0)))).otherwise(texts)
-    return F.when(F.size(parts) == 0, F.array().cast(PIECES)).otherwise(F.transform(kept, lambda t: _piece(t, heading)))
+    return F.when(F.size(parts) == 0, F.array().cast(PIECES)).otherwise(_let(texts, pieces))
 
 
 def sections(content: Column) -> Column:
     """Markdown sections (heading, text): a heading of level 1 to 3 opens one if the current one has lines."""
-    lines = F.split(content, "\n", -1)
+    return _let(F.split(content, "\n", -1), _sections)
+
+
+def _sections(lines: Column) -> Column:
     line = lambda i: F.element_at(lines, (i + 1).cast("int"))
     start = F.struct(F.lit(0).alias("a"), F.lit("").alias("heading"), F.array().cast("array<struct<heading:string,a:int,b:int>>").alias("out"))
 
@@ -95,9 +111,12 @@ def markdown(content: Column, limit: int) -> Column:
 
 def messages(content: Column) -> Column:
     """Chat messages (sender, text, ts): a line with date, time and sender opens one, others continue it."""
-    lines = F.split(content, "\n", -1)
+    heads = lambda lines: F.filter(_indices(lines), lambda i: F.element_at(lines, (i + 1).cast("int")).rlike(T.CHAT_SENDER))
+    return _let(F.split(content, "\n", -1), lambda lines: _let(heads(lines), lambda starts: _messages(lines, starts)))
+
+
+def _messages(lines: Column, starts: Column) -> Column:
     line = lambda i: F.element_at(lines, (i + 1).cast("int"))
-    starts = F.filter(_indices(lines), lambda i: line(i).rlike(T.CHAT_SENDER))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
     spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     message = lambda s: F.struct(
@@ -143,22 +162,33 @@ def pack_spans(sizes: Column, span: Column, limit: int) -> Column:
 
 def chat(content: Column, limit: int) -> Column:
     """Conversation segments with their participants in order of appearance; without a message, paragraphs."""
-    found = messages(content)
-    texts, senders = F.transform(found, lambda m: m["text"]), F.transform(found, lambda m: m["sender"])
-    sizes = F.transform(texts, T.utf16_length)
-    segments = F.filter(gap_spans(F.transform(found, lambda m: m["ts"]), sizes, limit), lambda s: ~T.is_blank(_joined(texts, s, "\n")))
+    return _let(messages(content), lambda found: F.when(F.size(found) == 0, paragraphs(content, limit)).otherwise(_conversations(found, limit)))
+
+
+def _conversations(found: Column, limit: int) -> Column:
+    field = lambda name: F.transform(found, lambda m: m[name])
+    sized = lambda texts, then: _let(F.transform(texts, T.utf16_length), then)
+    return _let(field("text"), lambda texts: sized(texts, lambda sizes: _let(field("ts"), lambda times: _let(field("sender"), lambda senders: _segments(texts, sizes, times, senders, limit)))))
+
+
+def _segments(texts: Column, sizes: Column, times: Column, senders: Column, limit: int) -> Column:
+    segments = F.filter(gap_spans(times, sizes, limit), lambda s: ~T.is_blank(_joined(texts, s, "\n")))
     split = F.flatten(F.transform(segments, lambda s: F.when(T.estimate_tokens(_joined(texts, s, "\n")) > limit, pack_spans(sizes, s, limit)).otherwise(F.array(s))))
 
     def piece(s: Column) -> Column:
         people = F.array_distinct(F.slice(senders, s["a"] + 1, s["b"] - s["a"]))
         return _piece(_joined(texts, s, "\n"), F.concat(F.lit("Conversation: "), F.array_join(people, ", ")), people)
 
-    return F.when(F.size(found) == 0, paragraphs(content, limit)).otherwise(F.transform(split, piece))
+    return F.transform(split, piece)
 
 
 def csv(content: Column, limit: int) -> Column:
     """Batches of rows under the repeated header; not aware of quotes. Below two lines, paragraphs."""
-    lines = F.filter(F.split(content, "\n", -1), lambda x: ~T.is_blank(x))
+    found = F.filter(F.split(content, "\n", -1), lambda x: ~T.is_blank(x))
+    return _let(found, lambda lines: F.when(F.size(lines) < 2, paragraphs(content, limit)).otherwise(_rows(lines, limit)))
+
+
+def _rows(lines: Column, limit: int) -> Column:
     header = F.element_at(lines, 1)
     per = F.greatest(F.lit(1), F.floor((limit - T.estimate_tokens(header)) / F.greatest(F.lit(1), T.estimate_tokens(F.element_at(lines, 2))))).cast("int")
 
@@ -166,7 +196,7 @@ def csv(content: Column, limit: int) -> Column:
         rows = F.slice(lines, i + 1, per)
         return _piece(F.array_join(F.concat(F.array(header), rows), "\n"), F.concat(F.lit("rows "), i, F.lit("-"), i + F.size(rows) - 1))
 
-    return F.when(F.size(lines) < 2, paragraphs(content, limit)).otherwise(F.transform(F.sequence(F.lit(1), F.size(lines) - 1, per), piece))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1)), per), piece)
 
 
 def _json_batches(content: str | None, limit: int) -> list[dict] | None:

@@ -70,7 +70,7 @@ def chat_chunks(spark, sf_dir):
 @query
 def gap_segments(spark, sf_dir):
     """Events of each user as messages, segmented at gaps of six hours once a segment has more than three."""
-    events = X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("t"), "event_id"))).alias("e"))
+    events = X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("t"), "event_id"))).alias("e"))
     times = F.transform("e", lambda e: e["t"])
     spans = chunking.gap_spans(times, F.transform("e", lambda e: F.lit(0).cast("long")), 10**9, 6 * 3_600_000)
     rows = events.select("user_id", times.alias("times"), F.posexplode(spans).alias("segment", "s"))
