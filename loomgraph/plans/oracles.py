@@ -85,7 +85,7 @@ FROM grouped JOIN people USING (conv_id, segment, sub)
 UNION ALL SELECT 'chats/' || conv_id || '.txt', 0, 1, '', sha256(text), false FROM whole
 """
 SQL["gap_segments"] = """
-WITH RECURSIVE m AS (SELECT user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+WITH RECURSIVE m AS (SELECT user_id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events),
 walk AS (
   SELECT user_id, i, t, 1 AS n, 0 AS segment FROM m WHERE i = 1
   UNION ALL
