@@ -10,23 +10,29 @@ Conventions kept by every operator of this subpackage:
 
 from __future__ import annotations
 
-import atexit
-import gc
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import release, shared_dir, spill
+
+__all__ = ["CHUNK_CHARS", "chunks", "deal", "held_out", "parts_for", "pick", "position", "release", "shared_dir", "spill", "table", "words"]
+
 #: Text handled at once inside a Python worker, in characters; bounds numpy temporaries, not rows.
 CHUNK_CHARS = 1_000_000
 WHITE = b" \t\n\r\x0b\x0c"
-_written: list[tuple[SparkSession, str]] = []
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches that go to Python are bounded in bytes, whatever the length of their texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """The named columns, cast, of a frame that may hold clashing extra ones."""
+    bound_batches(df.sparkSession)
     found = {}
     for name in types:
         exact = [i for i, c in enumerate(df.columns) if c == name]
@@ -40,6 +46,7 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 def position(df: DataFrame, name: str) -> int:
     """The place of a column, an exact name before one that differs by case."""
+    bound_batches(df.sparkSession)
     order = [i for i, c in enumerate(df.columns) if c == name] + [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
     if not order:
         raise ValueError(f"column {name} is missing; there are {df.columns}")
@@ -74,45 +81,6 @@ def chunks(batches: Iterable[pa.RecordBatch], text_at: int, limit: int = CHUNK_C
             yield batch.slice(start)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where it is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="loomgraph-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends and lost executors cost nothing that came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of the finished job go with its last references
-    return spark.read.schema(schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the tables that spill() wrote. Runs when the driver ends; call it earlier once results are written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
-
-
-atexit.register(release)
-
-
 def parts_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -18,8 +18,6 @@ hold the same line at the same place, each keeps it.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,13 +30,12 @@ from loomgraph.llm.substring import rolling
 
 BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
-_SPACE = re.compile(r"[ \t-\r]+")
 _SEEDS = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, BINS), dtype=np.uint64) | np.uint64(1)
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def normal(line: str) -> str:
-    return _SPACE.sub(" ", line.translate(_UPPER)).strip(" ")
+    """A-Z lower-cased, runs of U+0020 and U+0009 to U+000D one space, none at the ends."""
+    return b" ".join(line.encode().lower().split()).decode()
 
 
 def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +106,7 @@ def line_keys(lines: list[str], width: int, percent: int) -> list[np.ndarray]:
         filled = np.take_along_axis(twice, nxt, 1) + ((nxt - np.arange(BINS)).astype(np.uint64) << np.uint64(58))
         for i, k in zip(many, _banded(filled, 2 << 32), strict=True):
             keys[i].append(k)
-    return [np.unique(np.concatenate(k)) for k in keys]
+    return [k[0] if len(k) == 1 else np.concatenate(k) for k in keys]
 
 
 def node_of(line: str) -> bytes:
@@ -136,7 +133,7 @@ def _sign(width: int, percent: int):
         for i, line in enumerate(texts):
             batch.append(line)
             chars += len(line)
-            if chars > common.CHUNK_CHARS or i + 1 == len(texts):
+            if chars > common.CHUNK_CHARS // 4 or i + 1 == len(texts):
                 out.keys += line_keys(batch, width, percent)
                 batch, chars = [], 0
         return out

@@ -5,16 +5,17 @@ Each node has keys; two nodes whose sets are similar share a key (surely or almo
 operator's keys promise). The search never forms the pairs of a group:
 
 1. Nodes are dealt to parts. Each part sends every distinct key once, cut to 32 bits and packed by
-   hash bucket, with a bit saying whether several of its nodes have it. Buckets answer one bit for
-   each: does another part have it too. Only what shares a key goes on.
-2. The least node of a key is its head. A node meets each of its heads once (linear in the nodes),
-   both texts are read again and compared exactly. The difference of the two sets is kept.
-3. Components of the links found so far. Where a head has nodes that are not in one component
-   with it, two of its nodes x and y may be similar all the same. The symmetric difference of
-   x and y is that of their differences from the head, so they are compared exactly without
-   their texts: first with the least such node as a new head while more than `block` nodes are
-   left, then all that still are in different components, in blocks of bounded size. A block
-   emits a spanning forest of its links.
+   hash bucket, with 32 bits that tell its node from others and a bit saying whether several of its
+   nodes have it. Buckets answer one bit for each: has another node it too. Only such keys go on.
+2. The least node of a key is its head. Each node is compared with the least of its heads: both
+   texts are read again and their sets compared exactly. What is linked so far forms components.
+3. Keys whose nodes are in one component are done. For the others every node is compared with the
+   key's head in the same way, and the difference of the two sets is kept.
+4. Where a head still has nodes that are not in one component with it, two of its nodes x and y may
+   be similar all the same. The symmetric difference of x and y is that of their differences from
+   the head, so they are compared exactly without their texts: first with the least such node as a
+   new head while more than `block` nodes are left, then all that still are in different
+   components, in blocks of bounded size. A block emits a spanning forest of its links.
 
 So no link is lost between nodes that share a key, one head may have any share of all nodes, and
 work beyond linear is spent only on nodes of one head that are similar to it yet not linked.
@@ -44,18 +45,22 @@ class Signed:
     members: list[tuple[int | None, int, bytes]] = field(default_factory=list)  # doc_id, place, node
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("flags", pa.binary())])
+_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())])
 _BITS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 _FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.binary()), ("key", pa.int64()), ("text", pa.string())])
 FOUND = "kind int, part int, doc_id long, place int, node binary, key long, text string"
 MEMBER, KEY, TEXT = 0, 1, 2
 
 
-def _distinct(signed: Signed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted; the distinct key of each key; whether several nodes have it. Keys of a node are distinct."""
+def _distinct(signed: Signed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; the distinct key of each key; whether several nodes have it (keys of a node are distinct);
+    and 32 bits made of the key and its node, which differ by node."""
     keys = np.concatenate(signed.keys) if signed.keys else np.zeros(0, np.uint64)
-    distinct, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return distinct, inverse, count > 1
+    distinct, at, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    node = np.frombuffer(b"".join(signed.nodes), "<u8")[::2]
+    owner = np.repeat(node, [len(k) for k in signed.keys])[at] if len(keys) else keys
+    mixed = (owner ^ distinct) * np.uint64(0x9E3779B97F4A7C15)
+    return distinct, inverse, count > 1, (mixed >> np.uint64(32)).astype("<u4")
 
 
 def _slices(distinct: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -75,21 +80,22 @@ def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], buckets: i
     bits = buckets.bit_length() - 1
 
     def probe(table: pa.Table) -> pa.Table:
-        distinct, _, several = _distinct(sign(table))
+        distinct, _, several, owners = _distinct(sign(table))
         cut = ((distinct << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
         part = table.column("part")[0].as_py()
-        return _table([(part, b, cut[s].tobytes(), np.packbits(several[s]).tobytes()) for b, s in _slices(distinct, bits)], _PACKED)
+        return _table([(part, b, cut[s].tobytes(), owners[s].tobytes(), np.packbits(several[s]).tobytes()) for b, s in _slices(distinct, bits)], _PACKED)
 
     def match(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_pylist()
         arrays = [np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(a)) for f, a in zip(table.column("flags").to_pylist(), arrays, strict=True)])
-        v = np.concatenate(arrays)
+        v, owner = np.concatenate(arrays), np.concatenate([np.frombuffer(x, "<u4") for x in table.column("owners").to_pylist()])
         order = np.argsort(v, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
-        count = np.diff(np.append(starts, len(v)))
+        owner = owner[order]
+        shared = (np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts)) | (np.maximum.reduceat(several[order], starts) > 0)
         yes = np.zeros(len(v), dtype=bool)
-        yes[order] = np.repeat((count > 1) | (np.maximum.reduceat(several[order], starts) > 0), count)
+        yes[order] = np.repeat(shared, np.diff(np.append(starts, len(v))))
         cut, bucket = np.cumsum([0] + [len(a) for a in arrays]), table.column("bucket")[0].as_py()
         return _table([(p, bucket, np.packbits(yes[cut[i] : cut[i + 1]]).tobytes()) for i, p in enumerate(parts) if yes[cut[i] : cut[i + 1]].any()], _BITS)
 
@@ -97,7 +103,7 @@ def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], buckets: i
         if not len(table):
             return _FOUND.empty_table()
         signed, part = sign(table), table.column("part")[0].as_py()
-        distinct, inverse, _ = _distinct(signed)
+        distinct, inverse, _, _ = _distinct(signed)
         yes = np.zeros(len(distinct), dtype=bool)
         given = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         for b, s in _slices(distinct, bits):
@@ -113,13 +119,13 @@ def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], buckets: i
                 rows += [(KEY, part, None, None, node, k, None) for k in own]
         return _table(rows, _FOUND)
 
-    packed = dealt.groupBy("part").applyInArrow(probe, "part int, bucket int, hashes binary, flags binary")
+    packed = dealt.groupBy("part").applyInArrow(probe, "part int, bucket int, hashes binary, owners binary, flags binary")
     answers = packed.groupBy("bucket").applyInArrow(match, "part int, bucket int, bits binary")
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(collect, FOUND)
 
 
-DIFFERENCE = "head binary, node binary, n_head int, n_node int, delta binary"
-_DIFFERENCE = pa.schema([("head", pa.binary()), ("node", pa.binary()), ("n_head", pa.int32()), ("n_node", pa.int32()), ("delta", pa.binary())])
+DIFFERENCE = "head binary, node binary, n_head int, n_node int, delta binary, linked boolean"
+_DIFFERENCE = pa.schema([("head", pa.binary()), ("node", pa.binary()), ("n_head", pa.int32()), ("n_node", pa.int32()), ("delta", pa.binary()), ("linked", pa.bool_())])
 Linked = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # sizes of intersection and of both sets
 
 
@@ -131,38 +137,25 @@ def _linked_delta(linked: Linked, n_a, n_b, size):
 def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked, block: int = 1500, rounds: int = 4) -> DataFrame:
     """(node, root) of nodes that are linked, from shared_keys(), written before. tokens: sorted and distinct."""
     keys, texts = found.filter(F.col("kind") == KEY).select("key", "node"), found.filter(F.col("kind") == TEXT).select("node", "text")
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
-    pairs = keys.join(heads, "key").filter("node <> head").select("head", "node").distinct()
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # equal texts, one of each part
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            rows = []
-            for head, node, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if head not in known:
-                    if len(known) > 100:
-                        known.clear()
-                    known[head] = tokens(a)
-                x, y = known[head], tokens(b)
-                rows.append((head, node, len(x), len(y), np.setxor1d(x, y, assume_unique=True).tobytes()))
-            yield from _table(rows, _DIFFERENCE).to_batches()
-
-    both = pairs.join(texts, "node").withColumnRenamed("text", "b").join(texts.select(F.col("node").alias("head"), F.col("text").alias("a")), "head")
-    apart = spill(both.select("head", "node", "a", "b").mapInArrow(difference, DIFFERENCE), "apart")
-
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [np.array(batch.column(i).to_pylist(), dtype=np.int64) for i in (2, 3)]
-            size = np.array([len(x) // 8 for x in batch.column(4).to_pylist()], dtype=np.int64)
-            good = pa.array(_linked_delta(linked, *n, size).astype(bool), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
-
-    links = spill(apart.mapInArrow(direct, "a binary, b binary"), "direct")
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
+    keyed = spill(keys.join(heads, "key"), "keyed")
+    first = keyed.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head")
+    links = spill(_direct(_compared(first, texts, tokens, linked)), "first")
+    roots = components.components(links)
+
+    rooted = keyed.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("key")
+    pairs = keyed.join(open_keys, "key").filter("node <> head").select("head", "node").distinct()
+    apart = spill(_compared(pairs, texts, tokens, linked), "apart")
+    if apart.isEmpty():
+        return roots
+    links = spill(links.unionByName(_direct(apart)), "direct")
     for i in range(rounds + 1):
         roots = components.components(links)
-        state = _with_roots(apart, roots)
-        open_ = state.groupBy("head").agg(F.count("*").alias("n"), F.count(F.when(F.col("own") != F.col("of_head"), 1)).alias("left"), F.min(F.when(F.col("own") != F.col("of_head"), F.col("node"))).alias("next")).filter("left > 0 and n > 1")
+        state = spill(_with_roots(apart, roots), "state")
+        away = F.col("own") != F.col("of_head")
+        open_ = state.groupBy("head").agg(F.count("*").alias("n"), F.sum(F.length("delta")).alias("bytes"), F.count(F.when(away, 1)).alias("left"), F.min(F.when(away, F.col("node"))).alias("next")).filter("left > 0 and n > 1")
         open_ = spill(open_, "open")
         large = open_.filter(F.col("left") > block)
         if i == rounds or large.isEmpty():
@@ -174,6 +167,35 @@ def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked,
     return components.components(links)
 
 
+def _compared(pairs: DataFrame, texts: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked) -> DataFrame:
+    """DIFFERENCE rows of pairs (head, node)."""
+
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] | None = None
+        for batch in batches:
+            rows, size = [], 0
+            for head, node, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is None or last[0] != head:
+                    last = head, tokens(a)
+                x, y = last[1], tokens(b)
+                delta = np.setxor1d(x, y, assume_unique=True)
+                rows.append((head, node, len(x), len(y), delta.tobytes(), bool(_linked_delta(linked, len(x), len(y), len(delta)))))
+                size += 8 * len(delta)
+                if size > 8_000_000:
+                    yield from _table(rows, _DIFFERENCE).to_batches()
+                    rows, size = [], 0
+            if rows:
+                yield from _table(rows, _DIFFERENCE).to_batches()
+
+    both = pairs.join(texts, "node").withColumnRenamed("text", "b").join(texts.select(F.col("node").alias("head"), F.col("text").alias("a")), "head")
+    return both.select("head", "node", "a", "b").mapInArrow(difference, DIFFERENCE)
+
+
+def _direct(compared: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes to their heads. One Python stage at a time: the comparison tells, a filter takes."""
+    return compared.filter("linked").select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+
 def _with_roots(apart: DataFrame, roots: DataFrame) -> DataFrame:
     out = apart.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     heads = roots.select(F.col("node").alias("head"), F.col("root").alias("of_head"))
@@ -198,12 +220,15 @@ def _next_heads(state: DataFrame, large: DataFrame, linked: Linked) -> DataFrame
     return state.join(nexts, "head").filter("node <> other").select("node", "n_node", "delta", "other", "m", "theirs").mapInArrow(task, "a binary, b binary")
 
 
-def _exhaust(state: DataFrame, open_: DataFrame, linked: Linked, block: int) -> DataFrame:
+def _exhaust(state: DataFrame, open_: DataFrame, linked: Linked, block: int, block_bytes: int = 6_000_000) -> DataFrame:
     """Links of the nodes that are not in their head's component to any of the head's nodes.
 
     The former are dealt to blocks, and so are all of them; each pair of blocks is a group.
     """
-    rows = state.join(open_.select("head", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("left") / block).cast("int").alias("asking")), "head")
+    # A block is bounded in nodes and, on average, in bytes of differences.
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    asking = F.least(blocks, F.greatest(F.ceil(F.col("left") / block), F.ceil(F.col("bytes") / F.col("n") * F.col("left") / block_bytes)).cast("int"))
+    rows = state.join(open_.select("head", blocks.alias("blocks"), asking.alias("asking")), "head")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["head", "x", "y", "node", "own", "n_node", "delta", "asks"]
