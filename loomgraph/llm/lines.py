@@ -85,26 +85,31 @@ def line_keys(lines: list[str], width: int, percent: int) -> list[np.ndarray]:
     keys: list[list[np.ndarray]] = [[] for _ in lines]
     begin = np.cumsum(count) - count
     edge = BINS * 100 // percent
-    few, many = np.flatnonzero(count <= edge), np.flatnonzero(count > BINS)
-    if len(few):
-        own = np.repeat(count <= edge, count)
-        x, first = h[own], np.cumsum(count[few]) - count[few]
-        signature = np.stack([np.minimum.reduceat(_mix(x * _SEEDS[0, j] + _SEEDS[1, j]), first) for j in range(BINS)], 1)
-        for i, k in zip(few, _banded(signature, 1 << 32), strict=True):
-            keys[i].append(k)
-    if len(many):
-        own = np.repeat(count > BINS, count)
-        x = _mix(h[own])
-        line = np.repeat(np.arange(len(many)), count[many])
+    few, many = count <= BINS, count > BINS
+    at = np.flatnonzero(many)
+    if len(at):
+        x = _mix(h[np.repeat(many, count)])
+        line = np.repeat(np.arange(len(at)), count[at])
         empty = np.iinfo(np.uint64).max
-        signature = np.full(len(many) * BINS, empty, dtype=np.uint64)
+        signature = np.full(len(at) * BINS, empty, dtype=np.uint64)
         np.minimum.at(signature, line * BINS + (x >> np.uint64(58)).astype(np.int64), x & np.uint64((1 << 58) - 1))
         twice = np.concatenate([s := signature.reshape(-1, BINS), s], 1)
+        # Which kinds of keys a line has must depend on its distinct shingles; so many bins are only filled by more than `edge` of them.
+        for i in np.flatnonzero((s != empty).sum(1) <= BINS - 2):
+            n = len(np.unique(h[begin[at[i]] : begin[at[i]] + count[at[i]]]))
+            few[at[i]], many[at[i]] = n <= edge, n > BINS
         # the next full bin to the right, around the end
         place = np.where(twice != empty, np.arange(2 * BINS), 2 * BINS)
         nxt = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :BINS]
         filled = np.take_along_axis(twice, nxt, 1) + ((nxt - np.arange(BINS)).astype(np.uint64) << np.uint64(58))
-        for i, k in zip(many, _banded(filled, 2 << 32), strict=True):
+        for i, k in zip(at, _banded(filled, 2 << 32), strict=True):
+            if many[i]:
+                keys[i].append(k)
+    at = np.flatnonzero(few)
+    if len(at):
+        x, first = h[np.repeat(few, count)], np.cumsum(count[at]) - count[at]
+        signature = np.stack([np.minimum.reduceat(_mix(x * _SEEDS[0, j] + _SEEDS[1, j]), first) for j in range(BINS)], 1)
+        for i, k in zip(at, _banded(signature, 1 << 32), strict=True):
             keys[i].append(k)
     return [k[0] if len(k) == 1 else np.concatenate(k) for k in keys]
 
