@@ -111,7 +111,7 @@ hosts AS (
 ),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
-total AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
+total AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 1) / (sum(n) + 2) END AS m FROM suffixes),
 s_rows AS (SELECT suffix, n, k, (SELECT m FROM total) AS m FROM suffixes),
 by_suffix AS ({_shrink("s_rows", "suffix")}),
 d_rows AS (SELECT domain, n, k, a / (a + b) AS m FROM domains JOIN by_suffix USING (suffix)),

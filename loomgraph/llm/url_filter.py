@@ -78,7 +78,7 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) ->
     hosts = hosts.withColumns({"domain": domain_of, "suffix": suffix_of})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
+    total = suffixes.agg(F.when(F.sum("n") > 0, (F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
 
     def shrink(rows: DataFrame, keys: list[str]) -> DataFrame:
         rows = rows.withColumn("weight", _strength(rows, least, most).scalar())
