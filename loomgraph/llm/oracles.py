@@ -29,6 +29,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
 """
 
+OP2 = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
+lines AS (SELECT row_id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM docs WHERE text IS NOT NULL),
+normal AS (
+  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS x FROM lines
+),
+nodes AS (SELECT x, row_number() OVER (ORDER BY x) AS node FROM (SELECT DISTINCT x FROM normal WHERE x <> '')),
+shingles AS (SELECT DISTINCT node, substr(x, i, 9) AS s FROM nodes, unnest(range(1, greatest(length(x) - 8, 1) + 1)) AS t(i)),
+sized AS (SELECT node, s, count(*) OVER (PARTITION BY node) AS n, count(*) OVER (PARTITION BY s) AS f FROM shingles),
+prefix AS (SELECT node, s, n FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY f, s) AS r FROM sized) WHERE r <= n - ceil(0.8 * n) + 1 AND f > 1),
+pairs AS (SELECT DISTINCT a.node AS a, b.node AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.s = b.s AND a.node < b.node AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+links AS (
+  SELECT a, b FROM pairs JOIN shingles x ON x.node = a JOIN shingles y ON y.node = b AND x.s = y.s
+  GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))
+),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT node, b FROM reach JOIN edges ON seen = a),
+roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+placed AS (SELECT row_id, doc_id, line, place, node, coalesce(root, node) AS root FROM normal LEFT JOIN nodes USING (x) LEFT JOIN roots USING (node)),
+judged AS (
+  SELECT row_id, line, place, node IS NULL OR (doc_id IS NOT NULL, coalesce(doc_id, 0), place) = min((doc_id IS NOT NULL, coalesce(doc_id, 0), place)) OVER (PARTITION BY root) AS stays FROM placed
+),
+kept AS (SELECT row_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, string_agg(line, chr(10) ORDER BY place) FILTER (stays) AS text FROM judged GROUP BY row_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept k USING (row_id)
+"""
+
 OP5 = r"""
 WITH doc_words AS (
   SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -138,4 +165,4 @@ SELECT page_id, host, path, r.rule,
 FROM seen LEFT JOIN ruled r USING (host, path) JOIN judged USING (host)
 """
 
-SQL = {"op1_decontaminate": OP1, "op5_substring": OP5, "op9_jaccard": OP9, "op10_urls": OP10}
+SQL = {"op1_decontaminate": OP1, "op2_lines": OP2, "op5_substring": OP5, "op9_jaccard": OP9, "op10_urls": OP10}
