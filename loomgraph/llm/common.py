@@ -16,16 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import release, shared_dir, spill
+from loomgraph.sources.shared import forget, release, shared_dir, spill
 
-__all__ = ["CHUNK_CHARS", "chunks", "deal", "held_out", "parts_for", "pick", "position", "release", "shared_dir", "spill", "table", "words"]
+__all__ = ["CHUNK_CHARS", "chunks", "deal", "forget", "held_out", "parts_for", "pick", "position", "release", "shared_dir", "spill", "table", "words"]
 
 #: Text handled at once inside a Python worker, in characters; bounds numpy temporaries, not rows.
 CHUNK_CHARS = 1_000_000
-WHITE = b" \t\n\r\x0b\x0c"
 
 
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+def bound_batches(spark: SparkSession, size: str = "3m") -> None:
     """Batches that go to Python are bounded in bytes, whatever the length of their texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

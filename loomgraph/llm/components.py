@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import spill
+from loomgraph.llm.common import forget, spill
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,10 +24,14 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = _followed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).filter("root < node"))
         moved = roots.alias("r").join(hooked.alias("h"), F.col("r.root") == F.col("h.node"), "left")
-        roots = spill(moved.select("r.node", F.coalesce("h.root", "r.root").alias("root")).unionByName(hooked), "roots")
+        before, roots = roots, spill(moved.select("r.node", F.coalesce("h.root", "r.root").alias("root")).unionByName(hooked), "roots")
+        forget(before)
+        old = links
         for end in ("a", "b"):
             links = links.join(hooked.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
         links = spill(_tidy(links), "links")
+        forget(old, hooked)
+    forget(links)
     return roots
 
 
@@ -38,9 +42,12 @@ def _followed(hooked: DataFrame) -> DataFrame:
         a, b = hooked.alias("a"), hooked.alias("b")
         on = a.join(b, F.col("a.root") == F.col("b.node"), "left")
         further = spill(on.select("a.node", F.coalesce("b.root", "a.root").alias("root"), F.col("b.root").isNotNull().alias("moved")), "hooked")
-        hooked = further.drop("moved")
         if further.filter("moved").isEmpty():
+            forget(further)
             return hooked
+        forget(hooked)
+        hooked = further.drop("moved")
+        hooked._spilled = further._spilled
 
 
 def _tidy(links: DataFrame) -> DataFrame:

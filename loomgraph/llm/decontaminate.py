@@ -40,7 +40,7 @@ class Hashes(dict):
     """Word to 64-bit hash, kept for words met again; forgets all beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word, 7)
         return value

@@ -111,7 +111,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 4_000
     dealt, _, buckets = common.deal(docs, part_chars)
 
     def sign(table: pa.Table) -> similar.Signed:
-        out, seen = similar.Signed(), set()
+        out, seen = similar.Signed(sketches=[]), set()
         for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
             tokens = shingles(text, n)
             node = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
@@ -121,10 +121,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 4_000
                 out.nodes.append(node)
                 out.texts.append(text)
                 out.keys.append(sketch_keys(tokens, percent))
+                out.sketches.append((len(tokens), similar.parity(_mix(tokens * _FIRST))))
         return out
 
     found = common.spill(similar.shared_keys(dealt, sign, buckets), "jaccard")
-    roots = similar.link(found, lambda text: shingles(text, n), is_linked(percent))
+    roots = similar.link(found, lambda text: shingles(text, n), is_linked(percent), sketched=True)
     members = found.filter(F.col("kind") == similar.MEMBER).select("doc_id", F.col("place").cast("long").alias("n_shingles"), "node")
     rooted = members.filter("node is not null").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")

@@ -157,7 +157,9 @@ def winners(docs: DataFrame, width: int = 9, percent: int = 80, part_chars: int
     rooted = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = rooted.groupBy("root").agg(F.min("at").alias("at"), F.count("*").alias("nodes"), F.max("parts").alias("most")).filter("nodes > 1 or most > 1")
     stays = rooted.select("node", "root").join(by_root.select("root", "at"), "root").select("node", "at")
-    return common.spill(members.select("part", "node").join(stays, "node").select("part", "node", "at.doc_id", "at.place"), "winners")
+    out = common.spill(members.select("part", "node").join(stays, "node").select("part", "node", "at.doc_id", "at.place"), "winners")
+    common.forget(found, roots)
+    return out
 
 
 def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool = False, part_chars: int = 4_000_000) -> DataFrame:

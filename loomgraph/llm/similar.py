@@ -9,8 +9,10 @@ operator's keys promise). The search never forms the pairs of a group:
    nodes have it. Buckets answer one bit for each: has another node it too. Only such keys go on.
 2. The least node of a key is its head. Each node is compared with the least of its heads: both
    texts are read again and their sets compared exactly. What is linked so far forms components.
-3. Keys whose nodes are in one component are done. For the others every node is compared with the
-   key's head in the same way, and the difference of the two sets is kept.
+3. Keys whose nodes are in one component are done. Of the others, nodes whose parity sketch differs
+   from that of every node of the key in more bits than linked sets differ in tokens are done too
+   (keys with more nodes than `most` skip this test). Every node left is compared with the key's
+   head in the same way, and the difference of the two sets is kept.
 4. Where a head still has nodes that are not in one component with it, two of its nodes x and y may
    be similar all the same. The symmetric difference of x and y is that of their differences from
    the head, so they are compared exactly without their texts: first with the least such node as a
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import components
-from loomgraph.llm.common import spill
+from loomgraph.llm.common import forget, spill
 
 
 @dataclass
@@ -43,12 +45,13 @@ class Signed:
     texts: list[str] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)
     members: list[tuple[int | None, int, bytes]] = field(default_factory=list)  # doc_id, place, node
+    sketches: list[tuple[int, bytes]] | None = None  # size and parity sketch of each node, if the operator has them
 
 
 _PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())])
 _BITS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.binary()), ("key", pa.int64()), ("text", pa.string())])
-FOUND = "kind int, part int, doc_id long, place int, node binary, key long, text string"
+_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.binary()), ("key", pa.int64()), ("text", pa.string()), ("sketch", pa.binary())])
+FOUND = "kind int, part int, doc_id long, place int, node binary, key long, text string, sketch binary"
 MEMBER, KEY, TEXT = 0, 1, 2
 
 
@@ -110,13 +113,14 @@ def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], buckets: i
             if b in given:
                 yes[s] = np.unpackbits(np.frombuffer(given[b], np.uint8), count=s.stop - s.start)
         hit, begin = yes[inverse], 0
-        rows = [(MEMBER, part, doc_id, place, node, None, None) for doc_id, place, node in signed.members]
-        for node, text, keys in zip(signed.nodes, signed.texts, signed.keys, strict=True):
+        rows = [(MEMBER, part, doc_id, place, node, None, None, None) for doc_id, place, node in signed.members]
+        sketches = signed.sketches or [(None, None)] * len(signed.nodes)
+        for node, text, keys, (size, sketch) in zip(signed.nodes, signed.texts, signed.keys, sketches, strict=True):
             own = keys[hit[begin : begin + len(keys)]].view(np.int64).tolist()
             begin += len(keys)
             if own:
-                rows.append((TEXT, part, None, None, node, None, text))
-                rows += [(KEY, part, None, None, node, k, None) for k in own]
+                rows.append((TEXT, part, None, size, node, None, text, sketch))
+                rows += [(KEY, part, None, None, node, k, None, None) for k in own]
         return _table(rows, _FOUND)
 
     packed = dealt.groupBy("part").applyInArrow(probe, "part int, bucket int, hashes binary, owners binary, flags binary")
@@ -134,8 +138,8 @@ def _linked_delta(linked: Linked, n_a, n_b, size):
     return linked((n_a + n_b - size) // 2, n_a, n_b)
 
 
-def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked, block: int = 1500, rounds: int = 4) -> DataFrame:
-    """(node, root) of nodes that are linked, from shared_keys(), written before. tokens: sorted and distinct."""
+def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked, block: int = 1500, rounds: int = 4, sketched: bool = False) -> DataFrame:
+    """(node, root) of nodes that are linked, from shared_keys(), written before. tokens: sorted and distinct. sketched: nodes have sketches."""
     keys, texts = found.filter(F.col("kind") == KEY).select("key", "node"), found.filter(F.col("kind") == TEXT).select("node", "text")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # equal texts, one of each part
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
@@ -146,12 +150,19 @@ def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked,
 
     rooted = keyed.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("key")
-    pairs = keyed.join(open_keys, "key").filter("node <> head").select("head", "node").distinct()
+    rows = rooted.join(open_keys, "key")
+    sketches = found.filter((F.col("kind") == TEXT) & F.col("sketch").isNotNull()).groupBy("node").agg(F.first("place").alias("size"), F.first("sketch").alias("sketch"))
+    if sketched:
+        rows = _possible(rows, sketches, linked)
+    pairs = rows.filter("node <> head").select("head", "node").distinct()
     apart = spill(_compared(pairs, texts, tokens, linked), "apart")
+    forget(keyed)
     if apart.isEmpty():
         return roots
     links = spill(links.unionByName(_direct(apart)), "direct")
+    state = None
     for i in range(rounds + 1):
+        forget(roots, *([state] if state else []))
         roots = components.components(links)
         state = spill(_with_roots(apart, roots), "state")
         away = F.col("own") != F.col("of_head")
@@ -164,9 +175,64 @@ def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked,
     if open_.isEmpty():
         return roots
     links = spill(links.unionByName(_exhaust(state, open_, linked, block)), "rest")
+    forget(apart, state, open_, roots)
     return components.components(links)
 
 
+def parity(hashes: np.ndarray, most: int = 8192) -> bytes:
+    """A bit sketch: each hash flips a bit. About two bits a hash, up to `most`."""
+    bits = min(most, 1 << max(6, (2 * len(hashes) - 1).bit_length()))
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def partners(sizes: np.ndarray, sketches: list[bytes], own: list[bytes], linked: Linked) -> np.ndarray:
+    """Which nodes may be linked with one of another component: sketches differ in no more bits than sets in tokens."""
+    width = min(map(len, sketches))
+    x = np.zeros((len(sketches), width), dtype=np.uint8)
+    for i, s in enumerate(sketches):
+        x[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0)  # folding keeps the bound
+    _, comp = np.unique(np.array(own, dtype=object), return_inverse=True)
+    out = np.zeros(len(sketches), dtype=bool)
+    for i in range(len(sketches)):
+        bits = np.maximum(np.bitwise_count(x ^ x[i]).sum(1, dtype=np.int64), np.abs(sizes - sizes[i]))
+        out[i] = (_linked_delta(linked, sizes, sizes[i], bits) & (comp != comp[i])).any()
+    return out
+
+
+def _possible(rows: DataFrame, sketches: DataFrame, linked: Linked, most: int = 2000) -> DataFrame:
+    """(key, head, node) without nodes that no sketch of another component's node of the key allows to be linked."""
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    small = counted.filter(F.col("n") <= most).join(sketches, "node").select("key", "head", "node", "own", "size", "sketch")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # rows of one key, `most` at most
+
+        def kept() -> list[tuple]:
+            _, _, _, own, size, sketch = zip(*held, strict=True)
+            yes = partners(np.array(size, dtype=np.int64), list(sketch), list(own), linked)
+            return [r[:3] for r, y in zip(held, yes, strict=True) if y]
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "head", "node"])
+
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    found += kept()
+                    held = []
+                held.append(row)
+            if found:
+                yield out(found)
+        if held and (found := kept()):
+            yield out(found)
+
+    tested = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(task, "key long, head binary, node binary")
+    return tested.unionByName(counted.filter(F.col("n") > most).select("key", "head", "node"))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked) -> DataFrame:
     """DIFFERENCE rows of pairs (head, node)."""
 
@@ -181,11 +247,12 @@ def _compared(pairs: DataFrame, texts: DataFrame, tokens: Callable[[str], np.nda
                 delta = np.setxor1d(x, y, assume_unique=True)
                 rows.append((head, node, len(x), len(y), delta.tobytes(), bool(_linked_delta(linked, len(x), len(y), len(delta)))))
                 size += 8 * len(delta)
-                if size > 8_000_000:
+                if size > 2_000_000:
                     yield from _table(rows, _DIFFERENCE).to_batches()
                     rows, size = [], 0
             if rows:
                 yield from _table(rows, _DIFFERENCE).to_batches()
+            pa.default_memory_pool().release_unused()
 
     both = pairs.join(texts, "node").withColumnRenamed("text", "b").join(texts.select(F.col("node").alias("head"), F.col("text").alias("a")), "head")
     return both.select("head", "node", "a", "b").mapInArrow(difference, DIFFERENCE)
