@@ -1,4 +1,8 @@
-"""A training corpus from raw documents, in five stages. Counted as part of loomgraph.llm."""
+"""A training corpus from raw documents, in five stages. Counted as part of loomgraph.llm.
+
+Each stage's result is written as Parquet before the next stage begins, so a stage first deletes
+what earlier ones had written for themselves.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, jaccard, lines, packing, quality
-from loomgraph.llm.common import spill, table
+from loomgraph.llm.common import release, spill, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the decoded lines reject go."""
+    release()
     return quality.keep_good(docs, quality.train_rules(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and similar lines the first stays; documents without a line left go. n_chars follows the text, if there is such a column."""
+    release()
     out = lines.dedupe(docs, drop_empty=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document of the smallest id stays."""
+    release()
     return jaccard.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    release()
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, packed into sequences."""
+    release()
     return packing.pack(docs)
 
 
@@ -46,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = spill(docs, name.replace(" ", "-"))
+            docs = spill(docs, name.replace(" ", "-"), keep=True)
     return docs
