@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,29 +24,48 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends, and lost executors cost nothing that came before."""
+def spill(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends, and lost executors cost nothing that came before.
+
+    With `keep`, the table outlives release().
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    (_kept if keep else _written).append((spark, path))
     del df
     for _ in range(2):  # shuffle files of the finished job go with the last references to it, some of which only the first round finds
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.1)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._spilled = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables of spill() that nothing will read any more; other frames are let be."""
+    for path in (getattr(f, "_spilled", None) for f in frames):
+        for entry in [e for e in _written if e[1] == path]:
+            _written.remove(entry)
+            _delete(*entry)
 
 
 def release() -> None:
-    """Delete the tables that spill() wrote. Runs when the driver ends; call it earlier once results are written."""
+    """Delete the tables that spill() wrote and not kept. Call it once results that read them are written."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
+        _delete(*_written.pop())
 
 
-atexit.register(release)
+@atexit.register
+def _at_end() -> None:
+    try:
+        _written.extend(_kept)
+        release()
+    except Exception:  # noqa: BLE001  the session has ended
+        return
