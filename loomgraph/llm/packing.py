@@ -17,6 +17,7 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +30,34 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 TYPES = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
 
-def encoder(path: str) -> Callable[[str], np.ndarray]:
+def encoder(path: str, added: bool = False) -> Callable[[str], np.ndarray]:
     """Text to ids for a byte-level BPE tokenizer file of the `tokenizers` library.
 
     The merges of such a file are ordered as its ids are, so its vocabulary serves as ranks for
-    tiktoken, which yields equal ids in a third of the time (a test compares both). Strings of
-    special tokens within a text are ordinary text.
+    tiktoken, which yields equal ids in a third of the time (a test compares both). With `added`,
+    strings of the file's added tokens within a text get their own ids, as `tokenizers` gives them
+    by default: it encodes the texts that hold one. Otherwise they are ordinary text.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {x["content"] for x in model["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    contents = {x["content"] for x in model["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in contents}
     own = tiktoken.Encoding("loomgraph", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(own.encode_ordinary(text), dtype="<u4")
+    whole = cache(lambda: Tokenizer.from_file(path))
+
+    def encode(text: str) -> np.ndarray:
+        if added and any(x in text for x in contents):
+            return np.array(whole().encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(own.encode_ordinary(text), dtype="<u4")
+
+    return encode
 
 
 def default_tokenizer() -> str:
@@ -115,11 +125,11 @@ class Packer:
             yield window
 
 
-def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 0, max_open: int = 8192) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 0, max_open: int = 8192, added: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. added: as in encoder()."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer or default_tokenizer()), Packer(size, max_open)
+        encode, packer = encoder(tokenizer or default_tokenizer(), added), Packer(size, max_open)
         sequence = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4")
         rows: list[tuple] = []

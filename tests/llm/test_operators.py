@@ -251,6 +251,28 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    """The query gives the ids of a tokenizer left at its defaults, added tokens within texts included."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm import queries
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "near <|endoftext| >", "<|endoftext|>é漢字 " * 3, "plain"]
+    assert 50256 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+    spark.createDataFrame(list(enumerate(texts)), EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op8_packing(spark, str(tmp_path)).orderBy("start", ascending=False).collect()}
+    encode = packing.encoder(packing.default_tokenizer(), added=True)
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert encode(t).tolist() == ids
+        assert rows[i]["doc_tokens"] == len(ids) + 1
+        if rows[i]["length"] == len(ids) + 1:
+            assert rows[i]["ids_crc32"] == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
 def test_sum_of_squares_choice():
     rng = random.Random(8)
     packer = packing.Packer(32)
