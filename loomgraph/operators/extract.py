@@ -6,19 +6,24 @@ were worked on, so everything downstream is deterministic.
 
 from __future__ import annotations
 
+import copy
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import combinations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 
+log = logging.getLogger("loomgraph")
+
 ANSWER = (
     "struct<entities:array<struct<name:string,type:string,aliases:array<string>>>,people:array<struct<name:string,role:string>>,"
     "facts:array<string>,decisions:array<string>,preferences:array<string>,frustrations:array<string>,"
@@ -215,10 +220,51 @@ def consolidation(call: Callable[[str, str, int], dict], names: list[str]) -> di
     try:
         found = parse_lenient(call(system, "\n".join(names), 1000)["content"])
     except ValueError:
+        log.warning("consolidation of %d names: no JSON in the answer", len(names))
         return none
     return {k: found.get(k) or [] for k in none}
 
 
+def consolidate_all(call: Callable[[str, str, int], dict], names: list[str], most: int = 2000, retry: Retry | None = None) -> dict:
+    """consolidation() of any number of names, at most `most` in a call.
+
+    Beyond that, any two halves of a block meet in one call, so that every pair of names is seen by
+    one; the answers are united. The calls grow with the square of the names.
+    """
+    if len(names) <= most:
+        return consolidation(call, names)
+    half, retry = most // 2, retry or Retry()
+    halves = [names[i : i + half] for i in range(0, len(names), half)]
+    log.info("consolidation of %d names in %d calls", len(names), len(halves) * (len(halves) - 1) // 2)
+    asked = lambda *a: retry.run(lambda: call(*a), lambda e: getattr(e, "code", None) == 429)
+    return united([consolidation(asked, a + b) for a, b in combinations(halves, 2)])
+
+
+def united(answers: list[dict]) -> dict:
+    """Several answers as one: merges that share a name become one, under the canonical name named first; parts are listed once."""
+    parent: dict[str, str] = {}
+    order: dict[str, int] = {}
+
+    def root(name: str) -> str:
+        while parent.setdefault(name, name) != name:
+            name = parent[name] = parent[parent[name]]
+        return name
+
+    for m in (m for answer in answers for m in answer["merges"]):
+        order.setdefault(m["canonical"], len(order))
+        for alias in m.get("aliases") or []:
+            a, b = root(m["canonical"]), root(alias)
+            if order.get(b, len(order)) < order.get(a, len(order)):
+                a, b = b, a
+            parent[b] = a
+    groups: dict[str, list[str]] = {}
+    for name in list(parent):
+        if root(name) != name:
+            groups.setdefault(root(name), []).append(name)
+    parts = {(p["child"], p["parent"]): p for answer in answers for p in answer["part_of"]}
+    return {"merges": [{"canonical": k, "aliases": v} for k, v in groups.items()], "part_of": list(parts.values())}
+
+
 def extractions(extractor: Extractor, chunks: DataFrame) -> DataFrame:
     """Flat extractions: ext_ord (a struct of file_ord, chunk_index), source, content_hash, FIELDS, usage_tokens, error."""
     found = extractor.extract(chunks)

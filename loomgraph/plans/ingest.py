@@ -63,7 +63,7 @@ def ingest(
     if call is not None:
         from loomgraph.operators.dedup import merge_entities
 
-        found = extract.consolidation(call, [r["name"] for r in merge_entities(ext).orderBy("ord").select("name").limit(2000).collect()])
+        found = extract.consolidate_all(call, [r["name"] for r in merge_entities(ext).orderBy("ord").select("name").collect()])
         pairs = [(i, m["canonical"], a) for i, (m, a) in enumerate((m, a) for m in found["merges"] for a in m.get("aliases", []))]
         merges = spark.createDataFrame(pairs, "ord long, canonical string, alias string")
         part_of = spark.createDataFrame([(i, p["child"], p["parent"]) for i, p in enumerate(found["part_of"])], "ord long, child string, parent string")

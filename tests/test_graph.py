@@ -189,6 +189,28 @@ def test_prescan_and_guide():
     assert extract.consolidation(lambda *a: {"content": "no json"}, ["a", "b", "c"]) == {"merges": [], "part_of": []}
 
 
+def test_consolidation_sees_every_pair(spark):
+    names = [f"N{i:04}" for i in range(2600)]
+    groups = [{"N0001", "N1500", "N2599"}, {"N0002", "N0003"}, {"N1100", "N1101"}]
+    asked = []
+
+    def call(system, user, limit):
+        here = user.split("\n")
+        asked.append(here)
+        both = [sorted(g & set(here), reverse=True) for g in groups]
+        return {"content": json.dumps({"merges": [{"canonical": g[0], "aliases": g[1:]} for g in both if len(g) > 1], "part_of": [{"child": "N0001", "parent": "N2598"}] if {"N0001", "N2598"} <= set(here) else []})}
+
+    found = extract.consolidate_all(call, names)
+    assert max(map(len, asked)) <= 2000 and len(asked) == 3
+    assert [{m["canonical"], *m["aliases"]} for m in sorted(found["merges"], key=lambda m: min(m["aliases"]))] == groups
+    assert found["part_of"] == [{"child": "N0001", "parent": "N2598"}]
+    asked.clear()
+    names = ["Q" + "".join(chr(97 + i // 26**j % 26) for j in range(5)) for i in range(2400)]
+    text = "\n\n".join(" ".join(names[i : i + 8]) for i in range(0, len(names), 8))
+    ingest.ingest(spark, [], extract.RuleExtractor(), chunk_size=20, call=call, text=text, now="t")
+    assert {n for here in asked for n in here} >= set(names[:2300])  # short paragraphs at the end share a chunk, of which eight names count
+
+
 def test_config(tmp_path):
     stored = tmp_path / "c.json"
     stored.write_text('{"provider": "groq", "chunkSize": 77}')
