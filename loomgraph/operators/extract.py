@@ -119,6 +119,12 @@ class ModelExtractor:
     def __init__(self, call: Callable[[str, str, int], dict], guide: str | None = None, concurrent: int = 3, partitions: int | None = None, retry: Retry | None = None):
         self.call, self.guide, self.concurrent, self.partitions, self.retry = call, guide, concurrent, partitions, retry or Retry()
 
+    def guided(self, guide: str | None) -> ModelExtractor:
+        """The same extractor with a guide."""
+        out = copy.copy(self)
+        out.guide = guide
+        return out
+
     def extract(self, chunks: DataFrame) -> DataFrame:
         asked = chunks.select("file_ord", "chunk_index", "source", "content_hash", system_prompt(F.coalesce("is_chat", F.lit(False)), self.guide).alias("system"), user_prompt().alias("user"))
         asked = asked.repartition(self.partitions) if self.partitions else asked
@@ -174,7 +180,8 @@ def sample_positions(n: int, most: int = 8) -> list[int]:
 def prescan_sample(chunks: DataFrame, budget: int = 24_000, most_each: int = 3_000) -> DataFrame:
     """(position, text) of the sampled chunks, texts cut to their share of the budget.
 
-    Positions in the order (file_ord, chunk_index) come from counts by file, not from a sort of all chunks.
+    Positions in the order (file_ord, chunk_index) come from counts by file and places within a
+    file, not from a sort of all chunks; indexes may have gaps.
     """
     sizes = chunks.groupBy("file_ord").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -185,8 +192,28 @@ def prescan_sample(chunks: DataFrame, budget: int = 24_000, most_each: int = 3_0
     from loomgraph.functions.order import running_total
 
     first = running_total(sizes, "file_ord", "n", "before")
-    at = (F.col("before") + F.col("chunk_index")).cast("long")
-    return chunks.join(first.select("file_ord", "before"), "file_ord").select(at.alias("position"), T.utf16_left(F.col("text"), each).alias("text")).filter(F.col("position").isin(positions))
+    places = chunks.select("file_ord", "chunk_index", (F.row_number().over(Window.partitionBy("file_ord").orderBy("chunk_index")) - 1).alias("place"))
+    at = (F.col("before") + F.col("place")).cast("long").alias("position")
+    wanted = places.join(first.select("file_ord", "before"), "file_ord").select("file_ord", "chunk_index", at).filter(F.col("position").isin(positions))
+    return chunks.join(F.broadcast(wanted), ["file_ord", "chunk_index"]).select("position", T.utf16_left(F.col("text"), each).alias("text"))
+
+
+PRESCAN = (
+    "These are samples of a larger whole. List everyone named, the entities with names of their own (with other spellings and abbreviations as aliases), and which entities are parts of a larger one, "
+    'as one JSON object shaped like {"people": [{"name", "role"}], "entities": [{"name", "type", "aliases": []}], "entity_groups": [{"parent", "children": []}], "context": "what the whole is about, in a sentence or two"}.'
+)
+
+
+def prescan(call: Callable[[str, str, int], dict], chunks: DataFrame) -> str | None:
+    """The guide that a first look at sampled chunks gives. None below three chunks, and, with a warning, if the call or its answer fails."""
+    samples = prescan_sample(chunks).orderBy("position").collect()  # eight at most
+    if not samples:
+        return None
+    try:
+        return guide_text(parse_lenient(call(PRESCAN, "\n\n".join(f"--- Sample {i} ---\n{r['text']}" for i, r in enumerate(samples, 1)), 1500)["content"]))
+    except Exception as error:  # noqa: BLE001
+        log.warning("no guide, the first look failed: %s", error)
+        return None
 
 
 def guide_text(found: dict) -> str | None:

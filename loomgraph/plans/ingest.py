@@ -58,6 +58,8 @@ def ingest(
     cost = incremental.estimate(chunks, model).first().asDict()
     if dry_run:
         return Result(spark.createDataFrame([], "id string"), spark.createDataFrame([], "source string"), cost, failed, 0)
+    if isinstance(extractor, extract.ModelExtractor) and extractor.guide is None:
+        extractor = extractor.guided(extract.prescan(extractor.call, chunks))
     ext = spill(extract.extractions(extractor, chunks), "extractions")
     merges = part_of = None
     if call is not None:

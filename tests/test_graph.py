@@ -211,6 +211,29 @@ def test_consolidation_sees_every_pair(spark):
     assert {n for here in asked for n in here} >= set(names[:2300])  # short paragraphs at the end share a chunk, of which eight names count
 
 
+def test_ingest_is_guided(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"{i}.txt").write_text(f"Passage {i} tells of the lighthouse and its keeper.")
+    asked = []
+
+    def ask(answer):
+        def call(system, user, limit):
+            asked.append((system, user))
+            if system == extract.PRESCAN:
+                return {"content": answer}
+            name = "Guided" if "KNOWN PEOPLE: Ada" in system else "Unguided"
+            return {"content": json.dumps({"entities": [{"name": name, "type": "tool"}, {"name": "Lighthouse", "type": "place"}], "relationships": [{"from": name, "to": "Lighthouse", "type": "USES"}]})}
+
+        done = ingest.ingest(spark, [str(tmp_path)], extract.ModelExtractor(call), now="t")
+        return {r["name"] for r in done.nodes.filter("type = 'entity'").collect()}
+
+    assert ask('{"people": [{"name": "Ada"}]}') == {"Guided", "Lighthouse"}
+    assert [s for s, _ in asked] == [extract.PRESCAN] and all(f"Passage {i} " in asked[0][1] for i in range(4))
+    assert ask("no json") == {"Unguided", "Lighthouse"}
+    gaps = spark.createDataFrame([(0, i, f"t{i}") for i in (1, 4, 6)] + [(2, 5, "u")], "file_ord long, chunk_index int, text string")
+    assert [tuple(r) for r in extract.prescan_sample(gaps).orderBy("position").collect()] == [(0, "t1"), (1, "t4"), (2, "t6"), (3, "u")]
+
+
 def test_config(tmp_path):
     stored = tmp_path / "c.json"
     stored.write_text('{"provider": "groq", "chunkSize": 77}')
