@@ -6,7 +6,8 @@ identity numbers, and credentials. On every candidate, base ones included, label
 or nothing:
 
 * regex labelers: strict form, check digit, plausible length;
-* gazetteer labelers: known top-level domains, area-code ranges, documentation-free address ranges;
+* gazetteer labelers: known top-level domains; country codes and North American area-code ranges
+  (nothing for national numbers of other forms); address ranges that are no documentation or local ones;
 * context labelers: telling words shortly before ("call", "mail", "card", "ssn", ...) and telling
   surroundings of ordinary numbers ("page", "version", "figure", ...).
 
@@ -49,6 +50,19 @@ WIDER = {
 KINDS = (*BASE, *(k for k in WIDER if k not in BASE))
 #: Gazetteer of frequent top-level domains, and words that tell what a number is.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz de fr es it nl uk us ca au jp cn in br ru ch at se no dk fi pl pt be ie eu io".split())
+#: Ranges of addresses for documentation, of this host and network, and broadcast, by their first octets.
+NO_HOST = frozenset([(192, 0, 2), (198, 51, 100), (203, 0, 113), (0,), (127,), (255,)])
+#: Country codes of telephone numbers as assigned by the ITU.
+COUNTRY_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 246 247 248 249 "
+    "250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 290 291 297 298 299 350 351 352 353 354 355 356 357 358 359 "
+    "370 371 372 373 374 375 376 377 378 379 380 381 382 383 385 386 387 389 420 421 423 500 501 502 503 504 505 506 507 508 509 590 591 592 593 "
+    "594 595 596 597 598 599 670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692 800 808 850 852 853 855 856 870 "
+    "878 880 881 882 883 886 888 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 979 992 993 994 995 996 998".split()
+)
+#: North American area codes: 2-9, then 0-8, no x11, and not the reserved 37x and 96x.
+AREA_CODE = re.compile(r"(?!.11|37|96)[2-9][0-8][0-9]")
 TELLING = {
     "email": re.compile(r"(?i)mail|contact|write|correo|courriel|adresse"),
     "ip": re.compile(r"(?i)\bip\b|address|host|login|client"),
@@ -76,6 +90,16 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
+def phone_known(span: str, number: str) -> str:
+    """+ or - from the code tables, 0 for national numbers that do not begin with an area code of three digits."""
+    if span.startswith("+"):
+        code = next((number[:k] for k in (1, 2, 3) if number[:k] in COUNTRY_CODES), None)
+        return "+" if code and (code != "1" or AREA_CODE.match(number, 1)) else "-"
+    if len(number) != 10 or number[0] == "0":
+        return "0"
+    return "+" if AREA_CODE.match(number) else "-"
+
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
@@ -134,9 +158,10 @@ def votes(kind: str, text: str, a: int, b: int, base: bool) -> str:
     if kind == "email":
         gazetteer = sign(re.split(r"[.\s)\]}]+", span.lower())[-1] in TOP_LEVEL)
     elif kind == "ip":
-        gazetteer = sign(span.split(".")[0] not in ("0", "127", "255"))
+        octets = tuple(map(int, span.split(".")))
+        gazetteer = sign(octets[:1] not in NO_HOST and octets[:3] not in NO_HOST)
     elif kind == "phone":
-        gazetteer = sign(len(set(number)) > 2)
+        gazetteer = phone_known(span, number)
     told = "+" if TELLING[kind].search(before) else "0"
     ordinary = "-" if ORDINARY.search(before) else "0"
     mixed = sign(len(set(number)) > 3) if number and kind != "ip" else "0"

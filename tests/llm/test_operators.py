@@ -404,6 +404,13 @@ def test_pii(spark):
     assert pii.digest(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_pii_gazetteers():
+    vote = lambda kind, span: pii.votes(kind, span, 0, len(span), True)[3]
+    assert [vote("ip", x) for x in ("192.0.2.7", "198.51.100.9", "203.0.113.4", "127.0.0.1", "192.0.3.7", "198.51.101.9", "8.8.4.4")] == list("----+++")
+    assert [vote("phone", x) for x in ("+1 (310) 555-4510", "+1 (152) 555-8590", "+1 411 555 8590", "+44 20 7946 0958", "+999 12345678")] == list("+--+-")
+    assert [vote("phone", x) for x in ("310-555-4510", "111-555-4510", "(030) 555-4510", "20 555 4510")] == list("+-00")
+
+
 def test_em_learns_reliability():
     patterns = {("phone", "+0++++0"): 50, ("phone", "+0++0+0"): 40, ("phone", "-0-+0-0"): 60, ("phone", "-0-00--"): 30}
     likely, rates = pii.estimate(patterns)
