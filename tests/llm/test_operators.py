@@ -369,6 +369,12 @@ def test_quality(spark):
     assert quality.rules(docs.limit(0), chain).count() == 0
 
 
+def test_stock_phrases_in_long_lines():
+    at = crf.NAMES.index("stock")
+    long_ = "word " * 200
+    assert crf.line_features([f"{long_}\n{long_}All rights reserved {long_}\nAll rights reserved"])[0][:, at].tolist() == [0, 1, 1]
+
+
 def test_rule_counts():
     text = "a b c d\na b c e\n\n  \nx | y\nx | y\n*x*"
     out = quality.judge(crf.Chain(), [text, ""])
