@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where it is unset and the master is local (tests)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="loomgraph-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,17 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 def spill(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends, and lost executors cost nothing that came before.
 
-    With `keep`, the table outlives release().
+    With `keep`, the table outlives release(). Shuffle files of the job go when it ends.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     (_kept if keep else _written).append((spark, path))
-    del df
-    for _ in range(2):  # shuffle files of the finished job go with the last references to it, some of which only the first round finds
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
     out = spark.read.schema(schema).parquet(path)
     out._spilled = path
     return out
