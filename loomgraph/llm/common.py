@@ -84,12 +84,11 @@ def parts_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def deal(docs: DataFrame, part_chars: int) -> tuple[DataFrame, int, int]:
+def deal(docs: DataFrame, part_chars: int) -> tuple[DataFrame, int]:
     """Documents dealt evenly to parts of about `part_chars` bytes of text, by a hash of id and text, in a column `part`;
-    how many parts, and a power of two of hash buckets for what the parts send.
+    and the bytes of all texts.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = parts_for(docs.sparkSession, -(-size // part_chars))
-    buckets = 1 << (n - 1).bit_length()
     dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    return dealt.repartition(n, "part"), n, buckets
+    return dealt.repartition(n, "part"), size

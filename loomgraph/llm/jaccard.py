@@ -19,8 +19,8 @@ Bands are `ratio` wide.
 
 Documents without words have an empty set and are linked with nothing; so are null texts. With
 fewer words than n the whole sequence is one shingle. Documents of equal sets and at least one
-word are linked. A null id is in no component of others' making: its component is null, but
-documents may be linked through its text. Repeated rows each get a row.
+word are linked. A null id is no smallest one: a row without id has the smallest id that it
+reaches, null only if it reaches none. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ _FIRST = np.uint64(0x9E3779B97F4A7C15)
 RATIO = 1.25
 
 
-def shingles(text: str | None, n: int = 3) -> np.ndarray:
+def shingles(text: str | bytes | None, n: int = 3) -> np.ndarray:
     """Distinct hashes of a text's shingles, sorted."""
-    found = text.encode().lower().split() if text else []
+    found = (text if isinstance(text, bytes) else text.encode()).lower().split() if text else []
     h = hashed(found, _KNOWN)
     if not len(h):
         return h
@@ -105,38 +105,58 @@ def is_linked(percent: int):
     return lambda both, a, b: 100 * both >= percent * (a + b - both)
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 4_000_000) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-    docs = common.pick(docs, doc_id="long", text="string")
-    dealt, _, buckets = common.deal(docs, part_chars)
+def _rooted(docs: DataFrame, n: int, percent: int, part_chars: int) -> DataFrame:
+    """(doc_id, n_shingles, mark, root) of every row of docs (doc_id, text, mark); the root is null where the set is empty."""
+    dealt, size = common.deal(docs, part_chars)
 
     def sign(table: pa.Table) -> similar.Signed:
-        out, seen = similar.Signed(sketches=[]), set()
-        for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
+        out, number = similar.Signed(), {}
+        for doc_id, text, mark in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "mark")), strict=True):
             tokens = shingles(text, n)
             node = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
-            out.members.append((doc_id, len(tokens), node))
-            if node and node not in seen:
-                seen.add(node)
+            out.members.append((doc_id, len(tokens), None if node is None else number.setdefault(node, len(number)), mark))
+            if node and len(number) > len(out.nodes):
                 out.nodes.append(node)
-                out.texts.append(text)
+                out.texts.append(text.encode())
                 out.keys.append(sketch_keys(tokens, percent))
-                out.sketches.append((len(tokens), similar.parity(_mix(tokens * _FIRST))))
         return out
 
-    found = common.spill(similar.shared_keys(dealt, sign, buckets), "jaccard")
-    roots = similar.link(found, lambda text: shingles(text, n), is_linked(percent), sketched=True)
-    members = found.filter(F.col("kind") == similar.MEMBER).select("doc_id", F.col("place").cast("long").alias("n_shingles"), "node")
-    rooted = members.filter("node is not null").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    linked = rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    alone = members.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    def sketch(texts: list[bytes]) -> list[tuple[int, bytes]]:
+        return [(len(x), similar.parity(_mix(x * _FIRST))) for x in (shingles(t, n) for t in texts)]
+
+    found = similar.shared_keys(dealt, sign, sketch, similar.buckets_for(size // 20), every=True)
+    roots = similar.link(found, lambda texts: [shingles(t, n) for t in texts], is_linked(percent))
+    members = found.filter(F.col("kind") == similar.MEMBER).select("doc_id", F.col("place").cast("long").alias("n_shingles"), "node", F.col("key").alias("mark"))
+    return members.join(roots, "node", "left").select("doc_id", "n_shingles", "mark", F.coalesce("root", "node").alias("root"))
+
+
+def join(docs: DataFrame, n: int = 3, percent: int = 90, part_chars: int = 4_000_000) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    rooted = _rooted(common.pick(docs, doc_id="long", text="string").withColumn("mark", F.lit(None).cast("long")), n, percent, part_chars)
+    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, part_chars: int = 4_000_000) -> DataFrame:
-    """The documents, all columns, but for those linked with one of a smaller id in their component."""
-    at = common.position(docs, "doc_id")
-    gone = join(docs, n, percent, part_chars).filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    flat = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    return flat.join(gone, F.col(f"_{at}").cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    """The documents, all columns, but for those linked with another of their component that comes first.
+
+    Each row is judged by itself: rows of a component come in the order of their ids, nulls last,
+    then of a digest of their texts; of rows alike in both, one stays. Rows without words all stay.
+    """
+    at, text_at, names = common.position(docs, "doc_id"), common.position(docs, "text"), docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    flat = flat.withColumns({"doc_id": F.col(f"_{at}").cast("long"), "mark": F.xxhash64(F.col(f"_{text_at}").cast("string"))})
+    rows = _rooted(flat.select("doc_id", F.col(f"_{text_at}").cast("string").alias("text"), "mark"), n, percent, part_chars).filter("root is not null")
+    marked = rows.select("root", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark").alias("row"))
+    firsts = marked.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    judged = marked.groupBy("root", "row").agg(F.count("*").alias("alike")).join(firsts, "root")
+    goes = ~F.col("row").eqNullSafe(F.col("first"))
+    judged = common.spill(judged.filter(goes | (F.col("alike") > 1)).select(F.col("row.doc_id").alias("id"), F.col("row.mark").alias("of"), goes.alias("goes")), "judged")
+    same = flat["doc_id"].eqNullSafe(judged["id"]) & (flat["mark"] == judged["of"])
+    columns = [f"_{i}" for i in range(len(names))]
+    out = flat.join(judged, same, "left_anti").select(columns)
+    if judged.filter("not goes").isEmpty():
+        return out.toDF(*names)
+    once = flat.join(judged.filter("not goes"), same, "left_semi").groupBy("doc_id", "mark")
+    once = once.agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return out.unionByName(once).toDF(*names)

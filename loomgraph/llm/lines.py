@@ -18,6 +18,9 @@ hold the same line at the same place, each keeps it.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,48 +29,110 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import common, similar
 from loomgraph.llm.jaccard import is_linked
-from loomgraph.llm.substring import rolling
 
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
-_SEEDS = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, BINS), dtype=np.uint64) | np.uint64(1)
+#: Lines of few shingles are hashed so many times over, each time into BINS // ROUNDS bins.
+ROUNDS = 6
+_SEEDS = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
+_EMPTY = np.uint32(0xFFFFFFFF)
+_ODD = np.uint64(0xFF51AFD7ED558CCD)
+_PLAIN = re.compile(rb"[\t\x0b\x0c\r]|  | \n|\n |^ | $")
 
 
-def normal(line: str) -> str:
-    """A-Z lower-cased, runs of U+0020 and U+0009 to U+000D one space, none at the ends."""
-    return b" ".join(line.encode().lower().split()).decode()
+def normalised(text: str | None) -> list[bytes]:
+    """The lines of a text as UTF-8: A-Z lower-cased, runs of U+0020 and U+0009 to U+000D one space, none at the ends."""
+    if not text:
+        return []
+    raw = text.encode().lower()
+    if not _PLAIN.search(raw):
+        return raw.split(b"\n")
+    return [b" ".join(x.split()) for x in raw.split(b"\n")]
 
 
-def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32), np.array([len(x) for x in lines], dtype=np.int64)
+def normal(line: str) -> str:
+    """One line, as of normalised()."""
+    return b" ".join(line.encode().lower().split()).decode()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * _ODD
     return x ^ (x >> np.uint64(33))
 
 
-def hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines, repeats included, and how many each line has."""
-    codes, size = _codes(lines)
-    h = _mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    ends = np.cumsum(size)
-    short = size < width
-    left = np.repeat(ends, size) - np.arange(len(codes))
-    rolled = rolling(h, width, 0)
-    at = np.flatnonzero(left[: len(rolled)] >= width)
+def hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines, repeats included, and how many each line has.
+
+    A shingle's hash is a sum of its code points times odd numbers, mixed.
+    """
+    joined = b"".join(lines)
+    codes = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    if len(codes) < len(joined):  # code points beyond ASCII
+        begins = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
+        size = np.diff(begins[np.concatenate([[0], np.cumsum(size)])])
+    n = max(len(codes) - width + 1, 0)
+    x = codes[:n] * _SEEDS[0, 0]
+    for j in range(1, width):
+        x += codes[j : n + j] * _SEEDS[0, j % 64]
     count = np.maximum(size - width + 1, 1)
-    out = np.zeros(count.sum(), dtype=np.uint64)
-    begin = np.cumsum(count) - count
-    long_ = np.repeat(~short, count)
-    out[long_] = rolled[at]
-    for i in np.flatnonzero(short):
-        out[begin[i]] = xxhash.xxh64_intdigest(lines[i].encode())
-    return out, count
+    begin = np.cumsum(size) - size
+    offset = begin - (np.cumsum(count) - count)
+    at = np.arange(count.sum()) + np.repeat(offset, count)
+    short = np.flatnonzero(size < width)
+    if len(short):
+        out = x[np.minimum(at, max(n - 1, 0))] if n else np.zeros(len(at), np.uint64)
+        out = _mix(out)
+        place = np.cumsum(count) - count
+        for i in short:
+            out[place[i]] = xxhash.xxh64_intdigest(lines[i])
+        return out, count
+    return _mix(x[at]), count
+
+
+def tokens_of(lines: list[bytes], width: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line, sorted."""
+    out: list[np.ndarray] = []
+    for some in _batches(lines):
+        h, count = hashes(some, width)
+        out += [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+    return out
 
 
 def tokens(line: str, width: int) -> np.ndarray:
-    return np.unique(hashes([line], width)[0])
+    return tokens_of([line.encode()], width)[0]
+
+
+def _batches(lines: list[bytes], limit: int = common.CHUNK_CHARS // 8) -> Iterator[list[bytes]]:
+    start = total = 0
+    for i, line in enumerate(lines):
+        if total and total + len(line) > limit:
+            yield lines[start:i]
+            start, total = i, 0
+        total += len(line)
+    if start < len(lines):
+        yield lines[start:]
+
+
+def _least(x: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
+    """Signatures [rows, bins]: the least hash of each row in each bin of the range of hashes."""
+    out = np.full(rows * bins, _EMPTY, dtype=np.uint32)
+    high = x >> np.uint64(32)
+    np.minimum.at(out, row * bins + (high * np.uint64(bins) >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    return out.reshape(rows, bins)
+
+
+def _filled(signature: np.ndarray) -> np.ndarray:
+    """Empty bins take the next full bin's value, around the end, and how far it is."""
+    bins = signature.shape[1]
+    out = signature.astype(np.uint64)
+    at = np.flatnonzero((signature == _EMPTY).any(1))
+    if len(at):
+        twice = np.concatenate([signature[at], signature[at]], 1)
+        place = np.where(twice != _EMPTY, np.arange(2 * bins), 2 * bins)
+        nxt = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :bins]
+        out[at] = np.take_along_axis(twice, np.minimum(nxt, 2 * bins - 1), 1) + ((nxt - np.arange(bins)).astype(np.uint64) << np.uint64(32))
+    return out
 
 
 def _banded(signature: np.ndarray, kind: int) -> np.ndarray:
@@ -79,43 +144,35 @@ def _banded(signature: np.ndarray, kind: int) -> np.ndarray:
     return out
 
 
-def line_keys(lines: list[str], width: int, percent: int) -> list[np.ndarray]:
+def line_keys(lines: list[str] | list[bytes], width: int, percent: int) -> list[np.ndarray]:
     """The band keys of each line."""
+    lines = [x.encode() if isinstance(x, str) else x for x in lines]
     h, count = hashes(lines, width)
-    keys: list[list[np.ndarray]] = [[] for _ in lines]
-    begin = np.cumsum(count) - count
     edge = BINS * 100 // percent
-    few, many = count <= BINS, count > BINS
+    few, many = count <= edge, count > BINS
+    # Which kinds of keys a line has must depend on its distinct shingles. Lines that repeat some have many empty bins.
     at = np.flatnonzero(many)
-    if len(at):
-        x = _mix(h[np.repeat(many, count)])
-        line = np.repeat(np.arange(len(at)), count[at])
-        empty = np.iinfo(np.uint64).max
-        signature = np.full(len(at) * BINS, empty, dtype=np.uint64)
-        np.minimum.at(signature, line * BINS + (x >> np.uint64(58)).astype(np.int64), x & np.uint64((1 << 58) - 1))
-        twice = np.concatenate([s := signature.reshape(-1, BINS), s], 1)
-        # Which kinds of keys a line has must depend on its distinct shingles; so many bins are only filled by more than `edge` of them.
-        for i in np.flatnonzero((s != empty).sum(1) <= BINS - 2):
-            n = len(np.unique(h[begin[at[i]] : begin[at[i]] + count[at[i]]]))
-            few[at[i]], many[at[i]] = n <= edge, n > BINS
-        # the next full bin to the right, around the end
-        place = np.where(twice != empty, np.arange(2 * BINS), 2 * BINS)
-        nxt = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :BINS]
-        filled = np.take_along_axis(twice, nxt, 1) + ((nxt - np.arange(BINS)).astype(np.uint64) << np.uint64(58))
-        for i, k in zip(at, _banded(filled, 2 << 32), strict=True):
-            if many[i]:
-                keys[i].append(k)
+    signature = _least(h[np.repeat(many, count)], np.repeat(np.arange(len(at)), count[at]), len(at), BINS)
+    begin = np.cumsum(count) - count
+    for k in np.flatnonzero(((signature != _EMPTY).sum(1) <= BINS * 7 // 10 + 12) & (count[at] > BINS)):
+        i = at[k]
+        n = len(np.unique(h[begin[i] : begin[i] + count[i]]))
+        few[i], many[i] = n <= edge, n > BINS
+    both: list[np.ndarray | None] = [None] * len(lines)
+    for i, keys in zip(at, _banded(_filled(signature), 2 << 32), strict=True):
+        if many[i]:
+            both[i] = keys
     at = np.flatnonzero(few)
     if len(at):
-        x, first = h[np.repeat(few, count)], np.cumsum(count[at]) - count[at]
-        signature = np.stack([np.minimum.reduceat(_mix(x * _SEEDS[0, j] + _SEEDS[1, j]), first) for j in range(BINS)], 1)
-        for i, k in zip(at, _banded(signature, 1 << 32), strict=True):
-            keys[i].append(k)
-    return [k[0] if len(k) == 1 else np.concatenate(k) for k in keys]
+        x, row = h[np.repeat(few, count)], np.repeat(np.arange(len(at)), count[at])
+        rounds = [_filled(_least(_mix(x * _SEEDS[0, j] + _SEEDS[1, j]), row, len(at), BINS // ROUNDS)) for j in range(ROUNDS)]
+        for i, keys in zip(at, _banded(np.concatenate(rounds, 1), 1 << 32), strict=True):
+            both[i] = keys if both[i] is None else np.concatenate([both[i], keys])
+    return both
 
 
-def node_of(line: str) -> bytes:
-    return xxhash.xxh3_128_digest(line.encode())
+def node_of(line: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(line)
 
 
 def _order(doc_id: int | None, place: int) -> tuple:
@@ -124,34 +181,36 @@ def _order(doc_id: int | None, place: int) -> tuple:
 
 def _sign(width: int, percent: int):
     def sign(table: pa.Table) -> similar.Signed:
-        first: dict[str, tuple] = {}
-        for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
-            for place, raw in enumerate(text.split("\n") if text else ()):
-                if line := normal(raw):
-                    here = (_order(doc_id, place), doc_id, place)
-                    if line not in first or here[0] < first[line][0]:
-                        first[line] = here
-        texts = list(first)
-        out = similar.Signed([node_of(x) for x in texts], texts)
-        out.members = [(doc_id, place, node) for (_, doc_id, place), node in zip(first.values(), out.nodes, strict=True)]
-        batch, chars = [], 0
-        for i, line in enumerate(texts):
-            batch.append(line)
-            chars += len(line)
-            if chars > common.CHUNK_CHARS // 4 or i + 1 == len(texts):
-                out.keys += line_keys(batch, width, percent)
-                batch, chars = [], 0
+        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        number: dict[bytes, int] = {}
+        members: list[tuple] = []
+        for doc_id, text in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)):
+            for place, line in enumerate(normalised(text)):
+                if line:
+                    i = number.setdefault(line, len(members))
+                    if i == len(members):
+                        members.append((doc_id, place, i, None))
+                    elif place < members[i][1] and members[i][0] == doc_id:  # another row of this id
+                        members[i] = doc_id, place, i, None
+        out = similar.Signed(list(map(node_of, number)), list(number), members=members)
+        for some in _batches(out.texts):
+            out.keys += line_keys(some, width, percent)
         return out
 
     return sign
 
 
-def winners(docs: DataFrame, width: int = 9, percent: int = 80, part_chars: int = 4_000_000) -> DataFrame:
-    """(part, node, doc_id, place): for nodes that occur in several parts or are linked, as met in each part, the line that stays."""
-    docs = common.pick(docs, doc_id="long", text="string")
-    dealt, _, buckets = common.deal(docs, part_chars)
-    found = common.spill(similar.shared_keys(dealt, _sign(width, percent), buckets), "lines")
-    roots = similar.link(found, lambda line: tokens(line, width), is_linked(percent))
+def _sketch(width: int) -> similar.Sketcher:
+    return lambda texts: [(len(x), similar.parity(x)) for x in tokens_of(texts, width)]
+
+
+def winners(dealt: DataFrame, size: int, width: int = 9, percent: int = 80) -> DataFrame:
+    """(part, node, doc_id, place): for nodes that occur in several parts or are linked, as met in each part, the line that stays.
+
+    dealt: doc_id, text and part, `size` bytes of text in all.
+    """
+    found = similar.shared_keys(dealt, _sign(width, percent), _sketch(width), similar.buckets_for(size // 12), every=False)
+    roots = similar.link(found, lambda texts: tokens_of(texts, width), is_linked(percent))
     members = found.filter(F.col("kind") == similar.MEMBER).select("part", "node", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "place").alias("at"))
     by_node = members.groupBy("node").agg(F.min("at").alias("at"), F.count("*").alias("parts"))
     rooted = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -170,10 +229,10 @@ def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool
     """
     schema, names = docs.schema, docs.columns
     id_at, text_at = common.position(docs, "doc_id"), common.position(docs, "text")
-    kept_lines = winners(docs, width, percent, part_chars)
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
     plain = flat.withColumns({"doc_id": F.col(f"_{id_at}").cast("long"), "text": F.col(f"_{text_at}").cast("string")})
-    dealt, _, _ = common.deal(plain, part_chars)
+    dealt, size = common.deal(plain, part_chars)
+    kept_lines = winners(dealt.select("doc_id", "text", "part"), size, width, percent)
     extra = [] if drop_empty else [c for c in ("n_lines", "n_removed") if c not in [n.lower() for n in names]]
 
     def clean(table: pa.Table, winning: pa.Table) -> pa.Table:
@@ -183,7 +242,7 @@ def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool
         split, named = [], []
         for doc_id, text in zip(ids, texts, strict=True):
             split.append(text.split("\n") if text is not None else None)
-            named.append([node_of(x) if (x := normal(raw)) else None for raw in split[-1] or ()])
+            named.append([node_of(x) if x else None for x in normalised(text)] or [None] * len(split[-1] or ()))
             for place, node in enumerate(named[-1]):
                 if node is not None and node not in stays:
                     mine = (_order(doc_id, place), doc_id, place)

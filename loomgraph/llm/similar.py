@@ -4,11 +4,14 @@ A node is a set of 64-bit tokens, known by a 128-bit digest of its text; equal t
 Each node has keys; two nodes whose sets are similar share a key (surely or almost surely, as the
 operator's keys promise). The search never forms the pairs of a group:
 
-1. Nodes are dealt to parts. Each part sends every distinct key once, cut to 32 bits and packed by
-   hash bucket, with 32 bits that tell its node from others and a bit saying whether several of its
-   nodes have it. Buckets answer one bit for each: has another node it too. Only such keys go on.
-2. The least node of a key is its head. Each node is compared with the least of its heads: both
-   texts are read again and their sets compared exactly. What is linked so far forms components.
+1. Nodes are dealt to parts, each of which is signed once: its nodes, keys and members are packed
+   into one row. It sends every distinct key once, cut to 32 bits and packed by hash bucket, with 32
+   bits that tell its node from others and a bit saying whether several of its nodes have it; and of
+   every node 64 bits of its digest. Buckets answer bits: has another node this key too; has another
+   part this node too, and an earlier one. Only such keys go on, each node from its first part.
+2. The least node of a key is its head. Each node is compared with the least of its heads, if their
+   parity sketches allow a link: both texts are read again and their sets compared exactly. What is
+   linked so far forms components.
 3. Keys whose nodes are in one component are done. Of the others, nodes whose parity sketch differs
    from that of every node of the key in more bits than linked sets differ in tokens are done too
    (keys with more nodes than `most` skip this test). Every node left is compared with the key's
@@ -19,8 +22,10 @@ operator's keys promise). The search never forms the pairs of a group:
    new head while more than `block` nodes are left, then all that still are in different
    components, in blocks of bounded size. A block emits a spanning forest of its links.
 
-So no link is lost between nodes that share a key, one head may have any share of all nodes, and
-work beyond linear is spent only on nodes of one head that are similar to it yet not linked.
+So no link is lost between nodes that share a key, but for two nodes that agree in the 32 bits
+that tell them apart. A head may have any share of all nodes: it is met by blocks of them, each of
+which reads the head's text once. Work beyond linear is spent only on nodes of one head that are
+similar to it yet not linked; it grows with the square of their number over `block`.
 """
 
 from __future__ import annotations
@@ -42,35 +47,50 @@ class Signed:
     """What an operator reads off the rows of a part: distinct nodes with their texts and keys, and rows for members."""
 
     nodes: list[bytes] = field(default_factory=list)
-    texts: list[str] = field(default_factory=list)
+    texts: list[bytes] = field(default_factory=list)  # UTF-8
     keys: list[np.ndarray] = field(default_factory=list)
-    members: list[tuple[int | None, int, bytes]] = field(default_factory=list)  # doc_id, place, node
-    sketches: list[tuple[int, bytes]] | None = None  # size and parity sketch of each node, if the operator has them
+    members: list[tuple[int | None, int, int | None, int | None]] = field(default_factory=list)  # doc_id, place, number of the node, any mark
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())])
-_BITS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.binary()), ("key", pa.int64()), ("text", pa.string()), ("sketch", pa.binary())])
-FOUND = "kind int, part int, doc_id long, place int, node binary, key long, text string, sketch binary"
+_SIGNED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary()), ("nodes", pa.binary()), ("members", pa.binary())])
+_BITS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("later", pa.binary())])
+_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.binary()), ("key", pa.int64()), ("text", pa.binary()), ("sketch", pa.binary())])
+FOUND = "kind int, part int, doc_id long, place int, node binary, key long, text binary, sketch binary"
 MEMBER, KEY, TEXT = 0, 1, 2
+#: Distinct keys of a bucket, on average: bounds the memory of the task that answers for it.
+BUCKET_KEYS = 1_000_000
+Sketcher = Callable[[list[bytes]], list[tuple[int, bytes]]]  # size and parity sketch of the set of each text
 
 
-def _distinct(signed: Signed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted; the distinct key of each key; whether several nodes have it (keys of a node are distinct);
-    and 32 bits made of the key and its node, which differ by node."""
-    keys = np.concatenate(signed.keys) if signed.keys else np.zeros(0, np.uint64)
-    distinct, at, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    node = np.frombuffer(b"".join(signed.nodes), "<u8")[::2]
-    owner = np.repeat(node, [len(k) for k in signed.keys])[at] if len(keys) else keys
-    mixed = (owner ^ distinct) * np.uint64(0x9E3779B97F4A7C15)
-    return distinct, inverse, count > 1, (mixed >> np.uint64(32)).astype("<u4")
+def buckets_for(keys: int, least: int = 8) -> int:
+    """A power of two of hash buckets for about so many keys."""
+    return 1 << (max(least, -(-keys // BUCKET_KEYS)) - 1).bit_length()
+
+
+def _packed_table(columns: dict[str, pa.Array]) -> bytes:
+    sink, table = pa.BufferOutputStream(), pa.table(columns)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    found = table.column(name)
+    return found.chunk(0) if found.num_chunks == 1 else pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], found.type)
 
 
 def _slices(distinct: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    cut = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(distinct)])
-    for b in range(1 << bits):
-        if cut[b] < cut[b + 1]:
-            yield b, slice(int(cut[b]), int(cut[b + 1]))
+    """The buckets, those with a hash, of sorted hashes."""
+    if not len(distinct):
+        return
+    bucket = distinct >> np.uint64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for b, i, j in zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield b, slice(i, j)
 
 
 def _table(rows: list[tuple], types: pa.Schema) -> pa.Table:
@@ -78,59 +98,130 @@ def _table(rows: list[tuple], types: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
 
-def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], buckets: int) -> DataFrame:
-    """FOUND rows: members of every row of `dealt` (a frame with `part`); keys met elsewhere, and texts, of nodes that have such."""
-    bits = buckets.bit_length() - 1
+def _node_hashes(nodes: bytes) -> np.ndarray:
+    return np.frombuffer(nodes, "<u8")[::2]
 
-    def probe(table: pa.Table) -> pa.Table:
-        distinct, _, several, owners = _distinct(sign(table))
-        cut = ((distinct << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-        part = table.column("part")[0].as_py()
-        return _table([(part, b, cut[s].tobytes(), owners[s].tobytes(), np.packbits(several[s]).tobytes()) for b, s in _slices(distinct, bits)], _PACKED)
 
-    def match(table: pa.Table) -> pa.Table:
-        parts = table.column("part").to_pylist()
-        arrays = [np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(a)) for f, a in zip(table.column("flags").to_pylist(), arrays, strict=True)])
-        v, owner = np.concatenate(arrays), np.concatenate([np.frombuffer(x, "<u4") for x in table.column("owners").to_pylist()])
+def _probe(part: int, signed: Signed, bits: int) -> pa.Table:
+    keys = np.concatenate(signed.keys) if signed.keys else np.zeros(0, np.uint64)
+    sizes = np.array([len(k) for k in signed.keys], dtype=np.int32)
+    nodes = b"".join(signed.nodes)
+    own = _node_hashes(nodes)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    distinct, count = ordered[first], np.diff(np.append(first, len(keys)))
+    mixed = (np.repeat(own, sizes)[order[first]] ^ distinct) * np.uint64(0x9E3779B97F4A7C15)
+    owners, several = (mixed >> np.uint64(32)).astype("<u4"), count > 1  # keys of a node are distinct
+    cut = ((distinct << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+    rows = [(part, b, cut[s].tobytes(), owners[s].tobytes(), np.packbits(several[s]).tobytes(), None, None) for b, s in _slices(distinct, bits)]
+    rows += [(part, (1 << bits) + b, h.tobytes(), None, None, None, None) for h, b in ((x[s], b) for x in (np.sort(own),) for b, s in _slices(x, bits))]
+    packed = _packed_table({"node": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(signed.nodes), [None, pa.py_buffer(nodes)]), "text": pa.array(signed.texts, pa.binary()), "keys": pa.array(sizes, pa.int32())})
+    ids, places, at, marks = zip(*signed.members, strict=True) if signed.members else ([], [], [], [])
+    members = _packed_table({"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32()), "at": pa.array(at, pa.int32()), "mark": pa.array(marks, pa.int64())})
+    return _table([*rows, (part, -1, keys.tobytes(), None, None, packed, members)], _SIGNED)
+
+
+def _starts(v: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+
+
+def _match(table: pa.Table, buckets: int) -> pa.Table:
+    parts, bucket, hashes = table.column("part").to_pylist(), table.column("bucket")[0].as_py(), table.column("hashes").to_pylist()
+    if bucket < 0:
+        return _BITS.empty_table()
+    exact = bucket >= buckets
+    arrays = [np.frombuffer(x, "<u8" if exact else "<u4") for x in hashes]
+    v, cut = np.concatenate(arrays), np.cumsum([0] + [len(a) for a in arrays])
+    yes, later = np.zeros(len(v), dtype=bool), None
+    if exact:  # 64 bits of each distinct node of a part
+        order = np.lexsort((np.repeat(np.array(parts), [len(a) for a in arrays]), v))
+        starts = _starts(v[order])
+        yes[order] = np.repeat(np.diff(np.append(starts, len(v))) > 1, np.diff(np.append(starts, len(v))))
+        later = yes.copy()
+        later[order[starts]] = False
+    else:
         order = np.argsort(v, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
-        owner = owner[order]
+        starts = _starts(v[order])
+        owner = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("owners").to_pylist()])[order]
+        several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(a)) for f, a in zip(table.column("flags").to_pylist(), arrays, strict=True)])
         shared = (np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts)) | (np.maximum.reduceat(several[order], starts) > 0)
-        yes = np.zeros(len(v), dtype=bool)
         yes[order] = np.repeat(shared, np.diff(np.append(starts, len(v))))
-        cut, bucket = np.cumsum([0] + [len(a) for a in arrays]), table.column("bucket")[0].as_py()
-        return _table([(p, bucket, np.packbits(yes[cut[i] : cut[i + 1]]).tobytes()) for i, p in enumerate(parts) if yes[cut[i] : cut[i + 1]].any()], _BITS)
-
-    def collect(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return _FOUND.empty_table()
-        signed, part = sign(table), table.column("part")[0].as_py()
-        distinct, inverse, _, _ = _distinct(signed)
-        yes = np.zeros(len(distinct), dtype=bool)
-        given = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
-        for b, s in _slices(distinct, bits):
-            if b in given:
-                yes[s] = np.unpackbits(np.frombuffer(given[b], np.uint8), count=s.stop - s.start)
-        hit, begin = yes[inverse], 0
-        rows = [(MEMBER, part, doc_id, place, node, None, None, None) for doc_id, place, node in signed.members]
-        sketches = signed.sketches or [(None, None)] * len(signed.nodes)
-        for node, text, keys, (size, sketch) in zip(signed.nodes, signed.texts, signed.keys, sketches, strict=True):
-            own = keys[hit[begin : begin + len(keys)]].view(np.int64).tolist()
-            begin += len(keys)
-            if own:
-                rows.append((TEXT, part, None, size, node, None, text, sketch))
-                rows += [(KEY, part, None, None, node, k, None, None) for k in own]
-        return _table(rows, _FOUND)
-
-    packed = dealt.groupBy("part").applyInArrow(probe, "part int, bucket int, hashes binary, owners binary, flags binary")
-    answers = packed.groupBy("bucket").applyInArrow(match, "part int, bucket int, bits binary")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(collect, FOUND)
+    bits = lambda x, i: None if x is None else np.packbits(x[cut[i] : cut[i + 1]]).tobytes()
+    return _table([(p, bucket, bits(yes, i), bits(later, i)) for i, p in enumerate(parts) if yes[cut[i] : cut[i + 1]].any()], _BITS)
+
+
+def _answered(ordered: np.ndarray, bits: int, given: dict[int, bytes], base: int) -> np.ndarray:
+    out = np.zeros(len(ordered), dtype=bool)
+    for b, s in _slices(ordered, bits):
+        if given.get(base + b) is not None:
+            out[s] = np.unpackbits(np.frombuffer(given[base + b], np.uint8), count=s.stop - s.start)
+    return out
+
+
+def _collect(row: dict, answers: pa.Table, bits: int, sketch: Sketcher, every: bool) -> Iterator[pa.Table]:
+    """FOUND rows of a part, from its packed row and the answers to what it sent."""
+    nodes, members = _unpacked(row["nodes"]), _unpacked(row["members"])
+    keys, part = np.frombuffer(row["hashes"], np.uint64), row["part"]
+    node = _column(nodes, "node").cast(pa.binary())
+    sizes = _column(nodes, "keys").to_numpy(zero_copy_only=False)
+    own = np.frombuffer(_column(nodes, "node").buffers()[1], "<u8", 2 * len(nodes))[::2] if len(nodes) else np.zeros(0, np.uint64)
+    by_bucket = answers.column("bucket").to_pylist()
+    yes, late = (dict(zip(by_bucket, answers.column(c).to_pylist(), strict=True)) for c in ("bits", "later"))
+    order = np.argsort(own)
+    met, later = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
+    met[order], later[order] = _answered(own[order], bits, yes, 1 << bits), _answered(own[order], bits, late, 1 << bits)
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    hit = _answered(distinct, bits, yes, 0)[inverse]
+    holder = np.repeat(np.arange(len(sizes)), sizes)
+    keyed = np.zeros(len(sizes), dtype=bool)
+    keyed[holder[hit]] = True
+    none = lambda n, t: pa.nulls(n, t)
+
+    at = _column(members, "at")
+    number = at.fill_null(-1).to_numpy(zero_copy_only=False)
+    shown = np.flatnonzero(every | ((number >= 0) & (met | keyed)[number])) if len(met) else np.arange(len(number) if every else 0)
+    n = len(shown)
+    yield pa.table([pa.array(np.full(n, MEMBER, np.int32)), pa.array(np.full(n, part, np.int32)), _column(members, "doc_id").take(pa.array(shown)), _column(members, "place").take(pa.array(shown)), node.take(at.take(pa.array(shown))), _column(members, "mark").take(pa.array(shown)), none(n, pa.binary()), none(n, pa.binary())], schema=_FOUND)
+
+    good = hit & ~later[holder] if len(holder) else hit
+    n = int(good.sum())
+    yield pa.table([pa.array(np.full(n, KEY, np.int32)), pa.array(np.full(n, part, np.int32)), none(n, pa.int64()), none(n, pa.int32()), node.take(pa.array(holder[good])), pa.array(keys[good].view(np.int64)), none(n, pa.binary()), none(n, pa.binary())], schema=_FOUND)
+
+    sent = np.flatnonzero(keyed & ~later)
+    text = _column(nodes, "text").take(pa.array(sent))
+    n, made = len(sent), sketch(text.to_pylist())
+    yield pa.table([pa.array(np.full(n, TEXT, np.int32)), pa.array(np.full(n, part, np.int32)), none(n, pa.int64()), pa.array([s for s, _ in made], pa.int32()), node.take(pa.array(sent)), none(n, pa.int64()), text, pa.array([x for _, x in made], pa.binary())], schema=_FOUND)
+
+
+def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], sketch: Sketcher, buckets: int, every: bool) -> DataFrame:
+    """FOUND rows, written to the shared folder: of nodes with keys met elsewhere these keys, text, size and parity sketch;
+    of rows of `dealt` (a frame with `part`) members, if their node was met elsewhere or, with `every`, all."""
+    bits = buckets.bit_length() - 1
+
+    def probe(table: pa.Table) -> pa.Table:
+        return _probe(table.column("part")[0].as_py(), sign(table), bits)
+
+    def match(table: pa.Table) -> pa.Table:
+        return _match(table, buckets)
+
+    def collect(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        tables = [t for row in packed.to_pylist() for t in _collect(row, answers, bits, sketch, every)]
+        return pa.concat_tables([_FOUND.empty_table(), *tables])
+
+    signed = spill(dealt.groupBy("part").applyInArrow(probe, "part int, bucket int, hashes binary, owners binary, flags binary, nodes binary, members binary"), "signed")
+    sent = signed.filter("bucket >= 0").select("part", "bucket", "hashes", "owners", "flags")
+    answers = sent.groupBy("bucket").applyInArrow(match, "part int, bucket int, bits binary, later binary")
+    packed = signed.filter("bucket < 0").select("part", "hashes", "nodes", "members")
+    found = spill(packed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(collect, FOUND), "found")
+    forget(signed)
+    return found
 
 
 DIFFERENCE = "head binary, node binary, n_head int, n_node int, delta binary, linked boolean"
 _DIFFERENCE = pa.schema([("head", pa.binary()), ("node", pa.binary()), ("n_head", pa.int32()), ("n_node", pa.int32()), ("delta", pa.binary()), ("linked", pa.bool_())])
 Linked = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # sizes of intersection and of both sets
+Tokens = Callable[[list[bytes]], list[np.ndarray]]  # of each text its tokens, sorted and distinct
 
 
 def _linked_delta(linked: Linked, n_a, n_b, size):
@@ -138,31 +229,29 @@ def _linked_delta(linked: Linked, n_a, n_b, size):
     return linked((n_a + n_b - size) // 2, n_a, n_b)
 
 
-def link(found: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked, block: int = 1500, rounds: int = 4, sketched: bool = False) -> DataFrame:
-    """(node, root) of nodes that are linked, from shared_keys(), written before. tokens: sorted and distinct. sketched: nodes have sketches."""
+def link(found: DataFrame, tokens: Tokens, linked: Linked, block: int = 1500, rounds: int = 4) -> DataFrame:
+    """(node, root) of nodes that are linked, from shared_keys()."""
     keys, texts = found.filter(F.col("kind") == KEY).select("key", "node"), found.filter(F.col("kind") == TEXT).select("node", "text")
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # equal texts, one of each part
+    sketches = found.filter(F.col("kind") == TEXT).select("node", F.col("place").alias("size"), "sketch")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
     keyed = spill(keys.join(heads, "key"), "keyed")
-    first = keyed.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head")
-    links = spill(_direct(_compared(first, texts, tokens, linked)), "first")
+    first = spill(_near(keyed.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head"), sketches, linked), "first")
+    links = spill(_direct(_compared(first, texts, tokens, linked)), "links")
+    forget(first)
     roots = components.components(links)
 
     rooted = keyed.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("key")
-    rows = rooted.join(open_keys, "key")
-    sketches = found.filter((F.col("kind") == TEXT) & F.col("sketch").isNotNull()).groupBy("node").agg(F.first("place").alias("size"), F.first("sketch").alias("sketch"))
-    if sketched:
-        rows = _possible(rows, sketches, linked)
-    pairs = rows.filter("node <> head").select("head", "node").distinct()
-    apart = spill(_compared(pairs, texts, tokens, linked), "apart")
+    open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n")
+    pairs = spill(_possible(rooted.join(open_keys, "key"), sketches, linked).filter("node <> head").select("head", "node").distinct(), "pairs")
     forget(keyed)
-    if apart.isEmpty():
+    if pairs.isEmpty():
         return roots
+    apart = spill(_compared(pairs, texts, tokens, linked), "apart")
     links = spill(links.unionByName(_direct(apart)), "direct")
+    forget(pairs)
     state = None
     for i in range(rounds + 1):
-        forget(roots, *([state] if state else []))
+        forget(roots, state)
         roots = components.components(links)
         state = spill(_with_roots(apart, roots), "state")
         away = F.col("own") != F.col("of_head")
@@ -185,12 +274,40 @@ def parity(hashes: np.ndarray, most: int = 8192) -> bytes:
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length folded to `width` bytes; folding keeps the bound."""
+    return np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1, width), axis=1)
+
+
+def may_link(n_a: np.ndarray, a: list[bytes], n_b: np.ndarray, b: list[bytes], linked: Linked) -> np.ndarray:
+    """For each pair: sketches differ in no more bits than linked sets in tokens."""
+    lengths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
+    out = np.zeros(len(lengths), dtype=bool)
+    for of_a, of_b in np.unique(lengths, axis=0).tolist():
+        at = np.flatnonzero((lengths[:, 0] == of_a) & (lengths[:, 1] == of_b))
+        width = min(of_a, of_b)
+        bits = np.bitwise_count(_folded([a[i] for i in at], width) ^ _folded([b[i] for i in at], width)).sum(1, dtype=np.int64)
+        out[at] = _linked_delta(linked, n_a[at], n_b[at], np.maximum(bits, np.abs(n_a[at] - n_b[at])))
+    return out
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, linked: Linked) -> DataFrame:
+    """Those (head, node) whose sketches allow a link."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = ([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4)], [batch.column(i).to_pylist() for i in (3, 5)])
+            yield batch.select(["head", "node"]).filter(pa.array(may_link(sizes[0], marks[0], sizes[1], marks[1], linked), pa.bool_()))
+
+    of_head = sketches.select(F.col("node").alias("head"), F.col("size").alias("n_head"), F.col("sketch").alias("of_head"))
+    both = pairs.join(sketches, "node").join(of_head, "head").select("head", "node", "size", "sketch", "n_head", "of_head")
+    return both.mapInArrow(task, "head binary, node binary")
+
+
 def partners(sizes: np.ndarray, sketches: list[bytes], own: list[bytes], linked: Linked) -> np.ndarray:
     """Which nodes may be linked with one of another component: sketches differ in no more bits than sets in tokens."""
     width = min(map(len, sketches))
-    x = np.zeros((len(sketches), width), dtype=np.uint8)
-    for i, s in enumerate(sketches):
-        x[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0)  # folding keeps the bound
+    x = np.concatenate([_folded([s], width) for s in sketches])
     _, comp = np.unique(np.array(own, dtype=object), return_inverse=True)
     out = np.zeros(len(sketches), dtype=bool)
     for i in range(len(sketches)):
@@ -199,53 +316,64 @@ def partners(sizes: np.ndarray, sketches: list[bytes], own: list[bytes], linked:
     return out
 
 
+def _tested(key: np.ndarray, own: list[bytes], sizes: np.ndarray, sketches: list[bytes], linked: Linked, small: int = 24) -> np.ndarray:
+    """Which of rows sorted by key may be linked with one of another component of the same key."""
+    out = np.zeros(len(key), dtype=bool)
+    starts = _starts(key)
+    count = np.diff(np.append(starts, len(key)))
+    for i, n in zip(starts[count > small].tolist(), count[count > small].tolist(), strict=True):
+        out[i : i + n] = partners(sizes[i : i + n], sketches[i : i + n], own[i : i + n], linked)
+    comp = np.unique(np.array(own, dtype=object), return_inverse=True)[1]
+    end = np.repeat(starts + count, count)
+    few = np.repeat(count <= small, count)
+    for d in range(1, min(small, int(count.max(initial=0)))):
+        i = np.flatnonzero(few[:-d] & (np.arange(len(key) - d) + d < end[:-d]) & (comp[:-d] != comp[d:]))
+        good = i[may_link(sizes[i], [sketches[k] for k in i], sizes[i + d], [sketches[k + d] for k in i], linked)] if len(i) else i
+        out[good] = out[good + d] = True
+    return out
+
+
 def _possible(rows: DataFrame, sketches: DataFrame, linked: Linked, most: int = 2000) -> DataFrame:
-    """(key, head, node) without nodes that no sketch of another component's node of the key allows to be linked."""
-    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
-    small = counted.filter(F.col("n") <= most).join(sketches, "node").select("key", "head", "node", "own", "size", "sketch")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(head, node) of rows (key, head, node, own, n nodes of the key), without nodes that no sketch of another component's node of the key allows to be linked."""
+    small = rows.filter(F.col("n") <= most).join(sketches, "node").select("key", "head", "node", "own", "size", "sketch")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows of one key, `most` at most
-
-        def kept() -> list[tuple]:
-            _, _, _, own, size, sketch = zip(*held, strict=True)
-            yes = partners(np.array(size, dtype=np.int64), list(sketch), list(own), linked)
-            return [r[:3] for r, y in zip(held, yes, strict=True) if y]
+        held = None  # rows of one key, `most` at most
 
-        def out(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "head", "node"])
+        def kept(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [table.column(c).to_pylist() for c in ("own", "sketch")]
+            yes = _tested(table.column("key").to_numpy(), columns[0], table.column("size").to_numpy().astype(np.int64), columns[1], linked)
+            yield from table.select(["head", "node"]).filter(pa.array(yes, pa.bool_())).to_batches()
 
         for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
-                    found += kept()
-                    held = []
-                held.append(row)
-            if found:
-                yield out(found)
-        if held and (found := kept()):
-            yield out(found)
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key = held.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield from kept(held.slice(0, last))
+                held = held.slice(last).combine_chunks()
+        if held is not None and len(held):
+            yield from kept(held)
 
-    tested = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(task, "key long, head binary, node binary")
-    return tested.unionByName(counted.filter(F.col("n") > most).select("key", "head", "node"))
+    tested = small.repartition("key").sortWithinPartitions("key").mapInArrow(task, "head binary, node binary")
+    return tested.unionByName(rows.filter(F.col("n") > most).select("head", "node"))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, tokens: Callable[[str], np.ndarray], linked: Linked) -> DataFrame:
-    """DIFFERENCE rows of pairs (head, node)."""
+def _compared(pairs: DataFrame, texts: DataFrame, tokens: Tokens, linked: Linked, block: int = 500) -> DataFrame:
+    """DIFFERENCE rows of pairs (head, node), a written table. The nodes of a head are dealt to blocks; each meets the head's text once."""
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] | None = None
+        last: np.ndarray | None = None
         for batch in batches:
             rows, size = [], 0
-            for head, node, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is None or last[0] != head:
-                    last = head, tokens(a)
-                x, y = last[1], tokens(b)
-                delta = np.setxor1d(x, y, assume_unique=True)
-                rows.append((head, node, len(x), len(y), delta.tobytes(), bool(_linked_delta(linked, len(x), len(y), len(delta)))))
+            heads, nodes, given = (batch.column(i).to_pylist() for i in range(3))
+            for head, node, y in zip(heads, nodes, tokens(given), strict=True):
+                if node is None:
+                    last = y
+                    continue
+                delta = np.setxor1d(last, y, assume_unique=True)
+                rows.append((head, node, len(last), len(y), delta.tobytes(), bool(_linked_delta(linked, len(last), len(y), len(delta)))))
                 size += 8 * len(delta)
                 if size > 2_000_000:
                     yield from _table(rows, _DIFFERENCE).to_batches()
@@ -254,8 +382,11 @@ def _compared(pairs: DataFrame, texts: DataFrame, tokens: Callable[[str], np.nda
                 yield from _table(rows, _DIFFERENCE).to_batches()
             pa.default_memory_pool().release_unused()
 
-    both = pairs.join(texts, "node").withColumnRenamed("text", "b").join(texts.select(F.col("node").alias("head"), F.col("text").alias("a")), "head")
-    return both.select("head", "node", "a", "b").mapInArrow(difference, DIFFERENCE)
+    blocks = pairs.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    asked = pairs.join(blocks, "head").join(texts, "node").select("head", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "text")
+    met = blocks.join(texts.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("node"), "text")
+    both = asked.unionByName(met).repartition("head", "block").sortWithinPartitions("head", "block", F.col("node").asc_nulls_first())
+    return both.select("head", "node", "text").mapInArrow(difference, DIFFERENCE)
 
 
 def _direct(compared: DataFrame) -> DataFrame:

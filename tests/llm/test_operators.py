@@ -142,7 +142,7 @@ def test_large_heads_and_blocks(spark):
     want = {i: c for i, (_, c) in brute.jaccard(docs).items()}
     original = similar.link.__defaults__
     try:
-        similar.link.__defaults__ = (2, 2, False)
+        similar.link.__defaults__ = (2, 2)
         rows = jaccard.join(frame(spark, docs)).collect()
     finally:
         similar.link.__defaults__ = original
