@@ -18,7 +18,6 @@ hold the same line at the same place, each keeps it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ ROUNDS = 6
 _SEEDS = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0xFF51AFD7ED558CCD)
-_PLAIN = re.compile(rb"[\t\x0b\x0c\r]|  | \n|\n |^ | $")
+_ODD_SPACE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -45,9 +44,9 @@ def normalised(text: str | None) -> list[bytes]:
     if not text:
         return []
     raw = text.encode().lower()
-    if not _PLAIN.search(raw):
-        return raw.split(b"\n")
-    return [b" ".join(x.split()) for x in raw.split(b"\n")]
+    if any(x in raw for x in _ODD_SPACE) or raw[:1] == b" " or raw[-1:] == b" ":
+        return [b" ".join(x.split()) for x in raw.split(b"\n")]
+    return raw.split(b"\n")
 
 
 def normal(line: str) -> str:
@@ -56,8 +55,10 @@ def normal(line: str) -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _ODD
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(33))
+    x *= _ODD
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,27 +68,24 @@ def hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """
     joined = b"".join(lines)
     codes = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) for x in lines], dtype=np.int64)
-    if len(codes) < len(joined):  # code points beyond ASCII
-        begins = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
-        size = np.diff(begins[np.concatenate([[0], np.cumsum(size)])])
-    n = max(len(codes) - width + 1, 0)
+    size = np.array([len(x) if x.isascii() else len(x.decode()) for x in lines], dtype=np.int64)
+    n, ends, count = max(len(codes) - width + 1, 0), np.cumsum(size), np.maximum(size - width + 1, 1)
     x = codes[:n] * _SEEDS[0, 0]
+    more = np.empty_like(x)
     for j in range(1, width):
-        x += codes[j : n + j] * _SEEDS[0, j % 64]
-    count = np.maximum(size - width + 1, 1)
-    begin = np.cumsum(size) - size
-    offset = begin - (np.cumsum(count) - count)
-    at = np.arange(count.sum()) + np.repeat(offset, count)
+        x += np.multiply(codes[j : n + j], _SEEDS[0, j % 64], out=more)
+    inside = np.ones(len(codes), dtype=bool)  # where a whole shingle starts
+    inside[(ends[:, None] - np.minimum(np.arange(1, width), np.maximum(size, 1)[:, None])).ravel()] = False
     short = np.flatnonzero(size < width)
-    if len(short):
-        out = x[np.minimum(at, max(n - 1, 0))] if n else np.zeros(len(at), np.uint64)
-        out = _mix(out)
-        place = np.cumsum(count) - count
-        for i in short:
-            out[place[i]] = xxhash.xxh64_intdigest(lines[i])
-        return out, count
-    return _mix(x[at]), count
+    if not len(short):
+        return _mix(x[inside[:n]]), count
+    inside[(ends - size)[short]] = False
+    out, place = np.empty(count.sum(), dtype=np.uint64), np.cumsum(count) - count
+    long_ = np.ones(len(out), dtype=bool)
+    long_[place[short]] = False
+    out[long_] = _mix(x[inside[:n]])
+    out[place[short]] = [xxhash.xxh64_intdigest(lines[i]) for i in short]
+    return out, count
 
 
 def tokens_of(lines: list[bytes], width: int) -> list[np.ndarray]:
@@ -95,7 +93,11 @@ def tokens_of(lines: list[bytes], width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for some in _batches(lines):
         h, count = hashes(some, width)
-        out += [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+        ends = np.cumsum(count).tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            x = np.sort(h[a:b])
+            fresh = x[1:] != x[:-1]
+            out.append(x if fresh.all() else x[np.concatenate([[True], fresh])])
     return out
 
 
@@ -115,23 +117,29 @@ def _batches(lines: list[bytes], limit: int = common.CHUNK_CHARS // 8) -> Iterat
 
 
 def _least(x: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
-    """Signatures [rows, bins]: the least hash of each row in each bin of the range of hashes."""
+    """Signatures [rows, bins]: the least hash of each row in each bin of the range of hashes. row: the row of each hash times bins."""
     out = np.full(rows * bins, _EMPTY, dtype=np.uint32)
-    high = x >> np.uint64(32)
-    np.minimum.at(out, row * bins + (high * np.uint64(bins) >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    at = x >> np.uint64(32)
+    at *= np.uint64(bins)
+    at >>= np.uint64(32)
+    at += row
+    np.minimum.at(out, at.view(np.int64), x.astype(np.uint32))
     return out.reshape(rows, bins)
 
 
 def _filled(signature: np.ndarray) -> np.ndarray:
     """Empty bins take the next full bin's value, around the end, and how far it is."""
-    bins = signature.shape[1]
+    rows, bins = signature.shape
     out = signature.astype(np.uint64)
     at = np.flatnonzero((signature == _EMPTY).any(1))
     if len(at):
-        twice = np.concatenate([signature[at], signature[at]], 1)
-        place = np.where(twice != _EMPTY, np.arange(2 * bins), 2 * bins)
-        nxt = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :bins]
-        out[at] = np.take_along_axis(twice, np.minimum(nxt, 2 * bins - 1), 1) + ((nxt - np.arange(bins)).astype(np.uint64) << np.uint64(32))
+        some = signature[at]
+        place = np.where(some != _EMPTY, np.arange(bins, dtype=np.int32), np.int32(2 * bins))
+        least = place.min(1, keepdims=True) + np.int32(bins)  # the first full bin, met again after the end
+        nxt = np.minimum(np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1], least)
+        far = nxt - np.arange(bins, dtype=np.int32)
+        nxt %= bins
+        out[at] = some.ravel()[nxt + (np.arange(len(at), dtype=np.int32) * bins)[:, None]] + (far.astype(np.uint64) << np.uint64(32))
     return out
 
 
@@ -150,25 +158,23 @@ def line_keys(lines: list[str] | list[bytes], width: int, percent: int) -> list[
     h, count = hashes(lines, width)
     edge = BINS * 100 // percent
     few, many = count <= edge, count > BINS
-    # Which kinds of keys a line has must depend on its distinct shingles. Lines that repeat some have many empty bins.
     at = np.flatnonzero(many)
-    signature = _least(h[np.repeat(many, count)], np.repeat(np.arange(len(at)), count[at]), len(at), BINS)
+    signature = _least(h[np.repeat(many, count)], np.repeat(np.arange(len(at), dtype=np.uint64) * np.uint64(BINS), count[at]), len(at), BINS)
+    # Which kinds of keys a line must have depends on its distinct shingles, of which lines with many empty bins may have few.
     begin = np.cumsum(count) - count
-    for k in np.flatnonzero(((signature != _EMPTY).sum(1) <= BINS * 7 // 10 + 12) & (count[at] > BINS)):
-        i = at[k]
-        n = len(np.unique(h[begin[i] : begin[i] + count[i]]))
-        few[i], many[i] = n <= edge, n > BINS
-    both: list[np.ndarray | None] = [None] * len(lines)
-    for i, keys in zip(at, _banded(_filled(signature), 2 << 32), strict=True):
-        if many[i]:
-            both[i] = keys
+    for i in at[((signature != _EMPTY).sum(1) <= BINS * 5 // 6) & (count[at] > edge)]:
+        few[i] = len(np.unique(h[begin[i] : begin[i] + count[i]])) <= edge
+    keys: list[np.ndarray | None] = [None] * len(lines)
+    for i, x in zip(at.tolist(), _banded(_filled(signature), 2 << 32), strict=True):
+        keys[i] = x
     at = np.flatnonzero(few)
     if len(at):
-        x, row = h[np.repeat(few, count)], np.repeat(np.arange(len(at)), count[at])
-        rounds = [_filled(_least(_mix(x * _SEEDS[0, j] + _SEEDS[1, j]), row, len(at), BINS // ROUNDS)) for j in range(ROUNDS)]
-        for i, keys in zip(at, _banded(np.concatenate(rounds, 1), 1 << 32), strict=True):
-            both[i] = keys if both[i] is None else np.concatenate([both[i], keys])
-    return both
+        bins = BINS // ROUNDS
+        x, row = h[np.repeat(few, count)], np.repeat(np.arange(len(at), dtype=np.uint64) * np.uint64(bins), count[at])
+        rounds = [_filled(_least(_mix(x * _SEEDS[0, j] + _SEEDS[1, j]), row, len(at), bins)) for j in range(ROUNDS)]
+        for i, x in zip(at.tolist(), _banded(np.concatenate(rounds, 1), 1 << 32), strict=True):
+            keys[i] = x if keys[i] is None else np.concatenate([keys[i], x])
+    return keys
 
 
 def node_of(line: bytes) -> bytes:
