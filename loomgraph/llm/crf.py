@@ -76,11 +76,11 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for text in texts:
         seen: set[str] = set()
         for line in text.split("\n"):
-            if found := line.split():
+            if found := line.encode().split():  # words end at U+0020 and U+0009 to U+000D alone
                 x[i, 8] = len(set(found)) / len(found)
-                x[i, 12] = sum(map(str.__eq__, found, found[1:])) / len(found)
-                x[i, 10] = found[-1][-1] in ".!?:;\"'"
-                x[i, 11] = found[0][0].isupper()
+                x[i, 12] = sum(map(bytes.__eq__, found, found[1:])) / len(found)
+                x[i, 10] = found[-1][-1] in b".!?:;\"'"
+                x[i, 11] = found[0].decode()[0].isupper()
                 x[i, 13] = STOCK.search(line) is not None
                 dup[i] = line in seen
                 seen.add(line)
@@ -188,31 +188,60 @@ class Chain:
         return self
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.chunks(batches, 0):
-        x, per_text, _, _ = line_features([t or "" for t in batch.column(0).to_pylist()])
-        cut = np.cumsum(per_text)[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array([p.astype("<f4").tobytes() for p in np.split(x, cut)], pa.binary()), batch.column(1)], names=["x", "y"])
+def line_labels(x: np.ndarray, per_text: np.ndarray, y: np.ndarray, rounds: int = 30, decay: float = 1.0) -> np.ndarray:
+    """Weak labels of lines from labels of their documents (y, for each line), 1: content, 0: boilerplate.
 
-
-def train(docs: DataFrame, labels: DataFrame, limit: int = 3000) -> Chain:
+    A line model, logistic in the line's own features alone, learns from the documents' labels, both
+    weighing the same; documents are mixed, so it meets the same kinds of lines under both labels. A
+    line of a bad document that the model takes for one of a good document is content. Lines with
+    stock phrases, and lines that repeat an earlier one of their document, are boilerplate anywhere.
+    """
+    own = np.hstack([x, np.ones((len(x), 1))])
+    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
+    w = np.zeros(own.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+        step = np.linalg.solve((own * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ own + decay * np.eye(len(w)), own.T @ (weight * (y - p)) - decay * w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    content = (y == 1) | (own @ w > 0)
+    return (content & (x[:, NAMES.index("stock")] == 0) & (x[:, NAMES.index("seen")] == 0)).astype(y.dtype)
+
+
+def _sample_features(most_lines: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, 0):
+            texts, y = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            some = [(t, k) for t, k in zip(texts, y, strict=True) if t.count("\n") < most_lines]
+            if some:
+                x, per_text, _, _ = line_features([t for t, _ in some])
+                cut = np.cumsum(per_text)[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([p.astype("<f4").tobytes() for p in np.split(x, cut)], pa.binary()), pa.array([k for _, k in some], pa.int32())], names=["x", "y"])
+
+    return task
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = 3000, most_lines: int = 500, weak: bool = False) -> Chain:
     """A chain trained on at most `limit` labelled documents of each label, those with the least hash of their id.
 
-    docs: doc_id, text. labels: doc_id, y (0 or 1). Every line takes its document's label; what
-    good and bad documents share, the neighbouring lines have to settle. Only ids are compared to
-    choose the sample, 2 * limit ids at most are broadcast, and only line features reach the driver.
-    Without rows of both labels the chain stays at zero, where everything scores 0.5.
+    docs: doc_id, text. labels: doc_id, y (0 or 1); of several labels of a document the least
+    counts. Every line takes its document's label or, with `weak`, one of line_labels(). Only ids
+    are compared to choose the sample, 2 * limit ids at most are broadcast, and only features of
+    lines reach the driver, of documents of up to `most_lines` lines. Without rows of both labels
+    the chain stays at zero, where everything scores 0.5.
     """
+    labels = labels.filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = None
     for y in (0, 1):
         rows = labels.filter(F.col("y") == y).select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         chosen = rows if chosen is None else chosen.unionByName(rows)
-    sample = docs.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("text", F.col("y").cast("int").alias("y"))
-    rows = sample.mapInArrow(_sample_features, "x binary, y int").collect()
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    rows = sample.mapInArrow(_sample_features(most_lines), "x binary, y int").collect()
     if len({r["y"] for r in rows}) < 2:
         return Chain()
     rows.sort(key=lambda r: (r["y"], bytes(r["x"])))  # the order in which tasks end must not matter
     parts = [np.frombuffer(r["x"], "<f4").reshape(-1, N).astype(float) for r in rows]
     per_text = np.array([len(p) for p in parts])
-    y = np.repeat([r["y"] for r in rows], per_text)
-    return Chain().fit(neighbours(np.vstack(parts), per_text), per_text, y)
+    x, y = np.vstack(parts), np.repeat([r["y"] for r in rows], per_text)
+    return Chain().fit(neighbours(x, per_text), per_text, line_labels(x, per_text, y) if weak else y)

@@ -29,13 +29,15 @@ _FIRST = np.array([a for a, _ in RANGES])
 SCRIPTS = sorted({s for _, s in RANGES})
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s in RANGES])
 _TABLES: dict[str, np.ndarray] = {}
+#: No code point from here on is a letter, nor is this one.
+LAST = 0x3FFFF
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For code points below U+30000: is it a letter, and its lower case (one code point, else itself)."""
+    """For code points up to LAST: is it a letter, and its lower case (one code point, else itself)."""
     if not _TABLES:
-        letter, lower = np.zeros(0x30000, dtype=bool), np.arange(0x30000, dtype=np.uint32)
-        for i in range(0x30000):
+        letter, lower = np.zeros(LAST + 1, dtype=bool), np.arange(LAST + 1, dtype=np.uint32)
+        for i in range(LAST + 1):
             c = chr(i)
             letter[i] = c.isalpha()
             if len(c.lower()) == 1:
@@ -50,8 +52,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     letter, lower = _tables()
     joined = "\n".join(texts) + "\n"
     raw = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-    inside = letter[np.minimum(raw, 0x2FFFF)]
-    edge = np.concatenate([[0], np.where(inside, lower[np.minimum(raw, 0x2FFFF)], 0), [0]]).astype(np.int64)
+    inside = letter[np.minimum(raw, LAST)]
+    edge = np.concatenate([[0], np.where(inside, lower[np.minimum(raw, LAST)], 0), [0]]).astype(np.int64)
     at = np.flatnonzero(inside)
     codes = (edge[at] << 42) | (edge[at + 1] << 21) | edge[at + 2]
     begins = np.flatnonzero(edge[at] == 0)
@@ -133,7 +135,7 @@ def spans(model: Model, text: str) -> list[tuple[int, int, str]]:
     letter, _ = _tables()
     labels, _, _ = model.label([text])
     out: list[tuple[int, int, str]] = []
-    inside = letter[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), 0x2FFFF)]
+    inside = letter[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), LAST)]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))).reshape(-1, 2)
     for (a, b), k in zip(edges.tolist(), labels, strict=False):
         name = model.languages[k]
@@ -151,7 +153,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, per_language: int = 1500, penalty: float = 8.0) -> Model:
-    """A model from about `per_language` documents of each language that are not held out, chosen by hash of id and text.
+    """A model from about `per_language` documents of each language that are not held out, chosen by hash of the id.
 
     docs: doc_id, text, lang. The bound is met on average: the share that the language's count
     calls for is taken of the range of the hash. Only trigram counts reach the driver.

@@ -210,7 +210,7 @@ def _sketch(width: int) -> similar.Sketcher:
     return lambda texts: [(len(x), similar.parity(x)) for x in tokens_of(texts, width)]
 
 
-def winners(dealt: DataFrame, size: int, width: int = 9, percent: int = 80) -> DataFrame:
+def winners(dealt: DataFrame, size: int, width: int = 5, percent: int = 80) -> DataFrame:
     """(part, node, doc_id, place): for nodes that occur in several parts or are linked, as met in each part, the line that stays.
 
     dealt: doc_id, text and part, `size` bytes of text in all.
@@ -227,7 +227,7 @@ def winners(dealt: DataFrame, size: int, width: int = 9, percent: int = 80) -> D
     return out
 
 
-def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool = False, part_chars: int = 4_000_000) -> DataFrame:
+def dedupe(docs: DataFrame, width: int = 5, percent: int = 80, drop_empty: bool = False, part_chars: int = 4_000_000) -> DataFrame:
     """The documents, all columns, without the lines that go; with drop_empty, documents that lose all their lines with a word go too.
 
     Columns n_lines and n_removed (of the document's lines) follow unless drop_empty is set, named
@@ -281,7 +281,7 @@ def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool
     return result.applyInArrow(task, fields).toDF(*names, *extra)
 
 
-def digest(docs: DataFrame, width: int = 9, percent: int = 80) -> DataFrame:
+def digest(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; a null text as the empty one)."""
     done = dedupe(common.pick(docs, doc_id="long", text="string"), width, percent)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -36,7 +36,7 @@ normal AS (
   SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS x FROM lines
 ),
 nodes AS (SELECT x, row_number() OVER (ORDER BY x) AS node FROM (SELECT DISTINCT x FROM normal WHERE x <> '')),
-shingles AS (SELECT DISTINCT node, substr(x, i, 9) AS s FROM nodes, unnest(range(1, greatest(length(x) - 8, 1) + 1)) AS t(i)),
+shingles AS (SELECT DISTINCT node, substr(x, i, 5) AS s FROM nodes, unnest(range(1, greatest(length(x) - 4, 1) + 1)) AS t(i)),
 sized AS (SELECT node, s, count(*) OVER (PARTITION BY node) AS n, count(*) OVER (PARTITION BY s) AS f FROM shingles),
 prefix AS (SELECT node, s, n FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY f, s) AS r FROM sized) WHERE r <= n - ceil(0.8 * n) + 1 AND f > 1),
 pairs AS (SELECT DISTINCT a.node AS a, b.node AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.s = b.s AND a.node < b.node AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
@@ -128,7 +128,7 @@ WITH seen AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 outcomes AS (
   SELECT host, quality AS good
   FROM (SELECT host, regexp_extract(path, '/([0-9]{{1,18}})(?:\.html)?/?$', 1) AS d FROM seen) s
-  JOIN (SELECT doc_id, any_value(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l ON s.d <> '' AND TRY_CAST(s.d AS BIGINT) = l.doc_id
+  JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l ON s.d <> '' AND TRY_CAST(s.d AS BIGINT) = l.doc_id
 ),
 hosts AS (
   SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k,
@@ -159,10 +159,32 @@ judged AS (
       regexp_extract(host, '(?:^|\.)({_TAIL})$', 1) AS suffix
     FROM seen
   ) x LEFT JOIN by_host h USING (host) LEFT JOIN by_domain d USING (domain) LEFT JOIN by_suffix s USING (suffix), total t
+), bounds AS (
+  SELECT host, a, b, 1 / (2 * a - 1) AS p, 1 / (2 * b - 1) AS q, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h, (1.645 * 1.645 - 3) / 6 AS lam FROM judged
+), quantiles AS (
+  SELECT host, CASE WHEN a > 0.5 AND b > 0.5 AND h + lam > 0
+    THEN a / (a + b * exp(2 * (-1.645 * sqrt(greatest(h + lam, 0)) / h - (q - p) * (lam + 5.0::DOUBLE / 6 - 2 / (3 * h)))))
+    ELSE pow(sin(least(greatest(asin(sqrt(a / (a + b))) + 1.645 / (2 * sqrt(a + b)), 0), 1.5707963267948966)), 2) END AS upper_bound
+  FROM bounds
 )
 SELECT page_id, host, path, r.rule,
-  coalesce(r.verdict, CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) < 0.6 THEN 'block' ELSE 'allow' END) AS verdict
-FROM seen LEFT JOIN ruled r USING (host, path) JOIN judged USING (host)
+  coalesce(r.verdict, CASE WHEN upper_bound < (SELECT m FROM total) THEN 'block' ELSE 'allow' END) AS verdict
+FROM seen LEFT JOIN ruled r USING (host, path) JOIN quantiles USING (host)
+"""
+
+#: The columns of op6_rules that do not come from the trained chain.
+OP6_BASE = r"""
+WITH doc AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM doc),
+dups AS (SELECT row_id, sum(n - 1) AS n FROM (SELECT row_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY row_id),
+windows AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, w[i], w[i + 1], w[i + 2]) AS n FROM doc, unnest(range(1, len(w) - 1)) AS t(i)),
+repeated AS (SELECT row_id, count(DISTINCT i + j) AS n FROM windows, unnest(range(0, 3)) AS t(j) WHERE n > 1 GROUP BY row_id),
+counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM doc LEFT JOIN dups d USING (row_id) LEFT JOIN repeated r USING (row_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
 """
 
 SQL = {"op1_decontaminate": OP1, "op2_lines": OP2, "op5_substring": OP5, "op9_jaccard": OP9, "op10_urls": OP10}

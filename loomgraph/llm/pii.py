@@ -11,10 +11,11 @@ or nothing:
 * context labelers: telling words shortly before ("call", "mail", "card", "ssn", ...) and telling
   surroundings of ordinary numbers ("page", "version", "figure", ...).
 
-Candidates with equal votes and features are counted over all documents (a table bounded by the
-number of vote patterns, whatever the corpus). Expectation-maximisation on those counts estimates
-how reliable each labeler is and how likely each pattern is personal; the counts weighted with
-these likelihoods train a logistic span classifier, which accepts candidates from `accept` on.
+Candidates of equal votes and shape are counted over all documents (a table bounded by the number
+of such patterns, whatever the corpus). Expectation-maximisation on the votes estimates how
+reliable each labeler is and how likely each pattern is personal; the counts weighted with these
+likelihoods train a logistic span classifier over kind, votes, the span's length and its shares of
+digits and capitals, and the characters beside it. It accepts candidates from `accept` on.
 
 Null texts hold nothing. Repeated rows each get a row. Overlapping spans: base spans come first,
 then the longer candidate, then the earlier. Candidates never reach over a line end.
@@ -39,13 +40,15 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Candidate patterns beyond the base ones, by kind.
+#: The ip pattern in time linear in the text: what follows a run of digits decides for all starts within the run.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+#: Candidate patterns beyond the base ones, by kind. None tries a run of characters from each of its starts.
 WIDER = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[{]at[)\]}] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]+)+"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "national_id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    "credential": re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[^\s\"]{8,})"),
+    "credential": re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[^\s\"]{8,})"),
 }
 KINDS = (*BASE, *(k for k in WIDER if k not in BASE))
 #: Gazetteer of frequent top-level domains, and words that tell what a number is.
@@ -123,7 +126,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     out += [("email", a, b) for a, b in _emails(text)]
     if re.search("[0-9]", text):
-        out += [("ip", *m.span()) for m in BASE["ip"].finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
         for m in BASE["card"].finditer(text):
             number = digits(m.group())
             if 13 <= len(number) <= 19 and luhn(number):
@@ -139,19 +142,36 @@ def wider_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         if kind == "email" and not re.search(r"[(\[{]at[)\]}]", text):
             continue
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
-    out, ends = [], [(a, b) for _, a, b in taken]
+    if not found:
+        return []
+    covered, out = bytearray(len(text)), []
+    for _, a, b in taken:
+        covered[a:b] = b"\1" * (b - a)
     for kind, a, b in sorted(found, key=lambda x: (x[1] - x[2], x[1], x[0])):
-        if all(b <= c or d <= a for c, d in ends):
-            ends.append((a, b))
+        if covered.find(1, a, b) < 0:
+            covered[a:b] = b"\1" * (b - a)
             out.append((kind, a, b))
     return out
 
 
+#: Bounds of span lengths that the classifier tells apart.
+LENGTHS = (8, 12, 16, 24, 40)
+SHAPES = (len(LENGTHS) + 1, 4, 3, 3, 3)
+
+
+def shape(text: str, a: int, b: int) -> str:
+    """A digit for each: length, share of digits, share of capitals, what stands before and after (nothing or white space, a word character, other)."""
+    span = text[a:b]
+    share = lambda n, of: min(of - 1, int(n * of / len(span)))
+    beside = lambda c: 0 if not c or c.isspace() else 1 if c.isalnum() or c == "_" else 2
+    return f"{sum(len(span) >= x for x in LENGTHS)}{share(len(digits(span)), SHAPES[1])}{share(sum(map(str.isupper, span)), SHAPES[2])}{beside(text[a - 1 : a])}{beside(text[b : b + 1])}"
+
+
 def votes(kind: str, text: str, a: int, b: int, base: bool) -> str:
     """One of + - 0 from each labeler."""
     span, before = text[a:b], text[max(0, a - 30) : a]
     number, sign = digits(span), lambda x: "+" if x else "-"
-    strict = sign(base or kind in ("iban", "national_id", "credential"))
+    strict = "+" if base or kind in ("iban", "national_id", "credential") else "0"  # a looser form tells nothing by itself
     check = {"card": lambda: sign(luhn(number)), "iban": lambda: sign(iban_ok(span)), "national_id": lambda: sign(number[:3] not in ("000", "666") and number[0] != "9" and number[3:5] != "00")}.get(kind, lambda: "0")()
     length = {"phone": lambda: sign(9 <= len(number) <= 15), "card": lambda: sign(len(number) in (13, 15, 16, 19)), "credential": lambda: sign(len(span) >= 12)}.get(kind, lambda: "0")()
     gazetteer = "0"
@@ -168,11 +188,13 @@ def votes(kind: str, text: str, a: int, b: int, base: bool) -> str:
     return strict + check + length + gazetteer + told + ordinary + mixed
 
 
-def estimate(patterns: dict[tuple[str, str], int], rounds: int = 50, prior: float = 0.7) -> tuple[dict, dict]:
+def estimate(patterns: dict[tuple[str, ...], int], rounds: int = 50, prior: float = 0.7) -> tuple[dict, dict]:
     """EM over counted vote patterns: how likely each is personal, and each labeler's (true, false) rates of +, - and 0.
 
-    Labelers are taken as independent given the truth; pseudo-counts favour the case that a
-    plus is right, which also settles which class is which.
+    Labelers are taken as independent given the truth. A plus never speaks against a candidate, a
+    minus never for it, and no vote says nothing; so no class can stand for a kind in place of the
+    truth. Base spans (a plus of the first labeler, in a kind that has base spans) are personal by
+    definition and anchor the estimate.
     """
     keys = sorted(patterns)
     if not keys:
@@ -183,6 +205,8 @@ def estimate(patterns: dict[tuple[str, str], int], rounds: int = 50, prior: floa
     kind = np.array([kinds.index(k[0]) for k in keys])
     smooth = np.array([[3.0, 1.0, 2.0], [1.0, 3.0, 2.0]])  # [truth][vote]
     likely = np.clip((1 + (v == 0).sum(1)) / (2 + (v != 2).sum(1)), 0.05, 0.95)
+    known = np.array([k[0] in BASE and k[1][0] == "+" for k in keys])
+    likely[known] = 0.98
     rates = np.zeros((2, LABELERS, 3))
     for _ in range(rounds):
         weight = np.stack([n * likely, n * (1 - likely)])
@@ -191,27 +215,37 @@ def estimate(patterns: dict[tuple[str, str], int], rounds: int = 50, prior: floa
                 c = np.bincount(v[:, j], weight[truth], 3) + smooth[truth]
                 rates[truth, j] = c / c.sum()
         share = (np.bincount(kind, weight[0], len(kinds)) + 10 * prior) / (np.bincount(kind, n, len(kinds)) + 10)
-        log = np.log(rates[:, np.arange(LABELERS)[None, :], v]).sum(2)
-        likely = 1 / (1 + np.exp(np.clip(log[1] + np.log(1 - share[kind]) - log[0] - np.log(share[kind]), -50, 50)))
+        odds = np.log(rates[0]) - np.log(rates[1])  # [labeler][vote]
+        odds = np.stack([np.maximum(odds[:, 0], 0), np.minimum(odds[:, 1], 0), np.zeros(LABELERS)], 1)
+        log = odds[np.arange(LABELERS)[None, :], v].sum(1)
+        likely = 1 / (1 + np.exp(np.clip(np.log(1 - share[kind]) - np.log(share[kind]) - log, -50, 50)))
+        likely[known] = np.maximum(likely[known], 0.98)
     return dict(zip(keys, likely, strict=True)), {j: rates[:, j] for j in range(LABELERS)}
 
 
-def features(kind: str, vote: str) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * LABELERS)
+WIDTH = 1 + len(KINDS) + 2 * LABELERS + sum(SHAPES)
+
+
+def features(kind: str, vote: str, form: str) -> np.ndarray:
+    x = np.zeros(WIDTH)
     x[0] = x[1 + KINDS.index(kind)] = 1
     for j, c in enumerate(vote):
         if c != "0":
             x[1 + len(KINDS) + 2 * j + (c == "-")] = 1
+    begin = WIDTH - sum(SHAPES)
+    for c, n in zip(form, SHAPES, strict=True):
+        x[begin + int(c)] = 1
+        begin += n
     return x
 
 
-def train(patterns: dict[tuple[str, str], int], likely: dict[tuple[str, str], float], rounds: int = 200, decay: float = 1.0) -> np.ndarray:
+def train(patterns: dict[tuple[str, str, str], int], likely: dict[tuple[str, str], float], rounds: int = 200, decay: float = 1.0) -> np.ndarray:
     """Weights of the span classifier, by Newton steps on likelihood-weighted counts."""
     keys = sorted(patterns)
-    w = np.zeros(1 + len(KINDS) + 2 * LABELERS)
+    w = np.zeros(WIDTH)
     if not keys:
         return w
-    x, n, y = np.array([features(*k) for k in keys]), np.array([patterns[k] for k in keys], float), np.array([likely[k] for k in keys])
+    x, n, y = np.array([features(*k) for k in keys]), np.array([patterns[k] for k in keys], float), np.array([likely[k[:2]] for k in keys])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + decay * np.eye(len(w)), x.T @ (n * (y - p)) - decay * w)
@@ -235,17 +269,20 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = base_spans(text)
             w = wider_spans(text, b)
             base.append([{"kind": k, "a": x, "b": y} for k, x, y in b])
-            wide.append([{"kind": k, "a": x, "b": y, "votes": votes(k, text, x, y, False)} for k, x, y in w])
-            voted.append([k + " " + votes(k, text, x, y, True) for k, x, y in b])
+            wide.append([{"kind": k, "a": x, "b": y, "votes": f"{votes(k, text, x, y, False)} {shape(text, x, y)}"} for k, x, y in w])
+            voted.append([f"{k} {votes(k, text, x, y, True)} {shape(text, x, y)}" for k, x, y in b])
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((base, wide, voted), CANDIDATE_TYPES.types[1:], strict=True))], schema=CANDIDATE_TYPES)
 
 
 def learn(found: DataFrame, accept: float = 0.5) -> list[str]:
-    """The vote patterns, "kind votes", that the classifier accepts, from candidates of a whole corpus."""
+    """The patterns, "kind votes shape", that the classifier accepts, from candidates of a whole corpus."""
     wide = found.select(F.explode("wide").alias("c")).select(F.concat_ws(" ", "c.kind", "c.votes").alias("p"))
     counted = found.select(F.explode("base_votes").alias("p")).unionByName(wide).groupBy("p").count()
-    patterns = {tuple(r["p"].split(" ")): r["count"] for r in counted.collect()}  # at most 7 kinds * 3 ** 7
-    likely, _ = estimate(patterns)
+    patterns = {tuple(r["p"].split(" ")): r["count"] for r in counted.collect()}  # bounded by kinds, votes and shapes
+    by_votes: dict[tuple[str, str], int] = {}
+    for k, n in patterns.items():
+        by_votes[k[:2]] = by_votes.get(k[:2], 0) + n
+    likely, _ = estimate(by_votes)
     weights = train(patterns, likely)
     return [" ".join(k) for k in sorted(patterns) if features(*k) @ weights >= np.log(accept / (1 - accept))]
 
@@ -271,11 +308,11 @@ def joined(spans) -> F.Column:
 
 
 def digest(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """Per document row: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all)."""
+    """Per document row: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all), n_spans (of all)."""
     found = find(docs, accept)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, accept: float = 0.5) -> DataFrame:
@@ -288,7 +325,7 @@ def redact(docs: DataFrame, accept: float = 0.5) -> DataFrame:
             out = []
             for text in batch.column(at).to_pylist():
                 spans = base_spans(text or "")
-                spans += [s for s in wider_spans(text or "", spans) if f"{s[0]} {votes(s[0], text, s[1], s[2], False)}" in chosen]
+                spans += [s for s in wider_spans(text or "", spans) if f"{s[0]} {votes(s[0], text, s[1], s[2], False)} {shape(text, s[1], s[2])}" in chosen]
                 last = len(text or "") + 1
                 for kind, a, b in sorted(spans, key=lambda s: (-s[1], s[2])):
                     if b <= last:  # of base spans of two kinds that overlap, the later start is replaced

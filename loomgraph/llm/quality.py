@@ -82,8 +82,9 @@ def judge(chain: crf.Chain, texts: list[str], least_words: int = 50, most_repeat
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> crf.Chain:
+    """A chain over weak labels of lines, so that labels change within documents."""
     known = common.pick(labels, doc_id="long", quality="int").withColumnRenamed("quality", "y").filter(F.col("doc_id").isNotNull())
-    return crf.train(common.pick(docs, doc_id="long", text="string"), known, sample)
+    return crf.train(common.pick(docs, doc_id="long", text="string"), known, sample, weak=True)
 
 
 def rules(docs: DataFrame, chain: crf.Chain, **limits) -> DataFrame:

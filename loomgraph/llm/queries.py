@@ -51,13 +51,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, good: a page shows the document whose id ends its url's path; that document's quality label is its outcome.
+    """host, good: a page shows the document whose id ends its url's path; that document's quality label, the least of several, is its outcome.
 
     Only labelled pages are needed, so the labels are joined to pages and the rest left out.
     """
     pages = pick(pages, url="string").select(url_filter.host(F.col("url")).alias("host"), F.regexp_extract(url_filter.path(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1).alias("d"))
     shown = pages.filter("d <> ''").select("host", F.col("d").cast("long").alias("doc_id"))
-    labels = pick(labels, doc_id="long", quality="int").filter("quality is not null").dropDuplicates(["doc_id"])
+    labels = pick(labels, doc_id="long", quality="int").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return shown.join(labels, "doc_id").select("host", F.col("quality").alias("good"))
 
 

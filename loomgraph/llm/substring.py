@@ -18,8 +18,9 @@ of its occurrences, and nothing is paired with anything. Traffic follows the num
 Anchor hashes are cut to 32 bits within their bucket and only select; windows are compared by
 64 bits, on top of the anchor's.
 
-Null texts have no words; the empty result has the digest of the empty text. A null id counts as
-smaller than every id. Repeated rows of one id are no repeats of each other; each gets a row.
+Null texts have no words; the empty result has the digest of the empty text. A null id is neither
+smaller nor greater than any: its row loses nothing and takes nothing from others. Repeated rows of
+one id are no repeats of each other; each gets a row.
 """
 
 from __future__ import annotations
@@ -115,10 +116,13 @@ class Range:
         return distinct, inverse, self.rank[starts] > first[inverse]
 
     def slices(self, distinct: np.ndarray) -> Iterator[tuple[int, slice]]:
-        cut = np.searchsorted(distinct >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1)) if self.bits else np.array([0, len(distinct)])
-        for b in range(1 << self.bits):
-            if cut[b] < cut[b + 1]:
-                yield b, slice(int(cut[b]), int(cut[b + 1]))
+        """The buckets, those with a hash, of sorted hashes."""
+        if not len(distinct):
+            return
+        bucket = distinct >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(distinct), np.uint64)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for b, i, j in zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield b, slice(i, j)
 
     def answered(self, distinct: np.ndarray, answers: pa.Table, step: int) -> np.ndarray:
         """The bits that buckets gave for the distinct hashes of a step."""
@@ -183,16 +187,17 @@ def dedupe(docs: DataFrame, length: int = 50, part_chars: int = 4_000_000, bucke
     part_chars bounds the text of an id range, bucket_words the hashes of a bucket, on average;
     both numbers of tasks are derived from the size of the input.
     """
-    docs, spark = common.pick(docs, doc_id="long", text="string"), docs.sparkSession
+    every, spark = common.pick(docs, doc_id="long", text="string"), docs.sparkSession
+    docs = every.filter("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = common.parts_for(spark, -(-size // part_chars))
-    buckets = 1 << max(0, (max(n_parts, size // 6 // bucket_words) - 1).bit_length())
+    buckets = 1 << max(0, (max(8, size // 6 // bucket_words) - 1).bit_length())
     bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / n_parts for i in range(1, n_parts)], 0.1 / n_parts)}) if n_parts > 1 else []
     cut = np.array(bounds, dtype=np.int64)
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(cut, ids.fillna(0).astype("int64"), "right")).astype("int32"))
+        return pd.Series(np.searchsorted(cut, ids.astype("int64"), "right").astype("int32"))
 
     dealt = docs.withColumn("part", part_of("doc_id")).repartition(n_parts, "part")
     part_at = lambda t: t.column("part")[0].as_py()
@@ -234,9 +239,17 @@ def dedupe(docs: DataFrame, length: int = 50, part_chars: int = 4_000_000, bucke
             begin = end
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out_types.types, strict=True)], schema=out_types)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(None, len(w), 0, (kept := b" ".join(w)).decode(), hashlib.sha256(kept).hexdigest()) for w in map(common.words, batch.column(1).to_pylist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out_types.types, strict=True)], schema=out_types)
+
     anchors = dealt.groupBy("part").applyInArrow(probe, PACKED)
     hits = anchors.groupBy("bucket").applyInArrow(_match_anchors, ANSWER)
     windows = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(extend, PACKED)
     earlier = windows.groupBy("bucket").applyInArrow(_match_windows, ANSWER)
     answers = hits.unionByName(earlier)
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    result = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+    done = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, result)
+    return done.unionByName(every.filter("doc_id is null").mapInArrow(whole, result))

@@ -3,9 +3,9 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and suffix. A
 beta-binomial prior is fitted at each level by the method of moments and handed down: the
 suffix is shrunk towards all pages, the domain towards its suffix, the host towards its domain.
-A host is blocked if, even at the upper end of its posterior, too few of its pages are good:
-mean + z * sd < floor. Unlabelled hosts take their domain's posterior, or the suffix's, or that
-of all pages.
+A host is blocked if even the upper bound of its posterior, a beta quantile, lies below `floor`
+times the share of good pages among all: it is worse than the average host with that confidence.
+Unlabelled hosts take their domain's posterior, or the suffix's, or that of all pages.
 
 A suffix is a host's last label, or its last two if the last has two letters and the one before
 is a second-level name (fixed list below). Null urls and urls without `://` have an empty host
@@ -53,8 +53,19 @@ def matching_rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]
     return out
 
 
-def _strength(rows: DataFrame, least: float, most: float) -> DataFrame:
-    """One row: the prior's weight in pages, from how far shares of groups scatter beyond chance.
+def beta_quantile(a: Column, b: Column, z: float) -> Column:
+    """The quantile of a beta distribution that the normal one has at z, by formula 26.5.22 of Abramowitz and Stegun;
+    for parameters of up to a half, where it does not hold, on the arcsine scale."""
+    p, q = 1 / (2 * a - 1), 1 / (2 * b - 1)
+    h, lam = 2 / (p + q), (z * z - 3) / 6
+    w = -z * F.sqrt(h + lam) / h - (q - p) * (lam + 5 / 6 - 2 / (3 * h))
+    rough = F.asin(F.sqrt(a / (a + b))) + z / (2 * F.sqrt(a + b))
+    rough = F.pow(F.sin(F.least(F.greatest(rough, F.lit(0.0)), F.lit(1.5707963267948966))), 2)
+    return F.when((a > 0.5) & (b > 0.5) & (h + lam > 0), a / (a + b * F.exp(2 * w))).otherwise(rough)
+
+
+def _strength(rows: DataFrame, least: float, most: float) -> float:
+    """The prior's weight in pages, from how far shares of groups scatter beyond chance.
 
     rows: n pages and k good ones of each group, and m, the mean that its prior has.
     With q = sum (k - n m)^2 / (m (1 - m)) over groups and independent pages, E q = sum n (1 + (n - 1) r),
@@ -64,43 +75,45 @@ def _strength(rows: DataFrame, least: float, most: float) -> DataFrame:
     q, n, pairs = F.sum(F.pow(F.col("k") - F.col("n") * m, 2) / (m * (1 - m))), F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))
     r = (q - n) / pairs
     weight = F.when((pairs > 0) & (r > 0), F.least(F.greatest(1 / r - 1, F.lit(least)), F.lit(most))).otherwise(F.lit(most))
-    return rows.agg(F.coalesce(weight, F.lit(most)).alias("weight"))
+    return float(rows.agg(F.coalesce(weight, F.lit(most)).alias("weight")).first()["weight"])
 
 
-def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posteriors (a, b) by host, domain, suffix and for all pages, from outcomes (host, good 0/1).
+def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) -> tuple[DataFrame, DataFrame, DataFrame, float | None]:
+    """Posteriors (a, b) by host, domain and suffix, and the share of good pages of all, from outcomes (host, good 0/1).
 
     Pages are summed by host within each task before anything is shuffled, so one host with a
-    third of all pages is one row per task.
+    third of all pages is one row per task. The sums are written once; the levels above read them.
+    Four numbers reach the driver.
     """
     domain_of, suffix_of = levels(F.col("host"))
-    hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
-    hosts = hosts.withColumns({"domain": domain_of, "suffix": suffix_of})
+    hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("long")).cast("double").alias("k"))
+    hosts = common.spill(hosts.withColumns({"domain": domain_of, "suffix": suffix_of}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = suffixes.agg(F.when(F.sum("n") > 0, (F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
+    share = hosts.agg(F.when(F.sum("n") > 0, (F.sum("k") + 1) / (F.sum("n") + 2)).alias("m")).first()["m"]
 
     def shrink(rows: DataFrame, keys: list[str]) -> DataFrame:
-        rows = rows.withColumn("weight", _strength(rows, least, most).scalar())
-        return rows.select(*keys, (F.col("m") * F.col("weight") + F.col("k")).alias("a"), ((1 - F.col("m")) * F.col("weight") + F.col("n") - F.col("k")).alias("b"))
+        weight = _strength(rows, least, most)
+        return rows.select(*keys, (F.col("m") * weight + F.col("k")).alias("a"), ((1 - F.col("m")) * weight + F.col("n") - F.col("k")).alias("b"))
 
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("m")
-    by_suffix = shrink(suffixes.withColumn("m", total.scalar()), ["suffix"])
+    by_suffix = shrink(suffixes.withColumn("m", F.lit(share).cast("double")), ["suffix"])
     by_domain = shrink(domains.join(by_suffix.select("suffix", mean), "suffix"), ["domain"])
     by_host = shrink(hosts.join(by_domain.select("domain", mean), "domain"), ["host"])
-    everyone = total.select((F.col("m") * most).alias("a"), ((1 - F.col("m")) * most).alias("b"))
-    return by_host, by_domain, by_suffix, everyone
+    return by_host, by_domain, by_suffix, share
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], floor: float = 0.6, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], floor: float = 1.0, z: float = 1.645, least: float = 2.0, most: float = 1000.0) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, reputation (posterior mean of its host, null where a rule decided).
 
     pages: page_id, url. outcomes: host, good (0/1, null: unlabelled). rules: (allow or block, host, path).
+    floor: of the share of good pages. z: the upper bound, as a quantile of the normal distribution.
+    least, most: bounds of a prior's weight, in pages.
     """
     pages = common.pick(pages, page_id="long", url="string")
     pages = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     pages = pages.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
-    by_host, by_domain, by_suffix, everyone = reputation(outcomes)
+    by_host, by_domain, by_suffix, share = reputation(outcomes, least, most)
 
     # Every distinct host is judged once; pages then meet the verdict of their host.
     domain_of, suffix_of = levels(F.col("host"))
@@ -108,11 +121,10 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     judged = judged.withColumns({"domain": domain_of, "suffix": suffix_of})
     for rows, key in ((by_host, "host"), (by_domain, "domain"), (by_suffix, "suffix")):
         judged = judged.join(rows.select(key, F.struct("a", "b").alias(f"of_{key}")), key, "left")
-    judged = judged.withColumn("of_all", everyone.select(F.struct("a", "b")).scalar())
-    judged = judged.withColumn("p", F.coalesce("of_host", "of_domain", "of_suffix", "of_all"))
+    of_all = F.when(F.lit(share is not None), F.struct(F.lit((share or 0) * most).alias("a"), F.lit((1 - (share or 0)) * most).alias("b")))
+    judged = judged.withColumn("p", F.coalesce("of_host", "of_domain", "of_suffix", of_all))
     a, b = F.col("p.a"), F.col("p.b")
-    sd = F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    judged = judged.select("host", (a / (a + b)).alias("reputation"), (a / (a + b) + z * sd < floor).alias("bad"))
+    judged = judged.select("host", (a / (a + b)).alias("reputation"), (beta_quantile(a, b, z) < floor * (share or 0)).alias("bad"))
 
     out = pages.join(judged, "host", "left")
     rule = F.when(F.col("found").isNotNull(), F.concat("found.host", "found.path"))

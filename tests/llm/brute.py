@@ -29,7 +29,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def line_dedupe(docs, width=9, percent=80):
+def line_dedupe(docs, width=5, percent=80):
     """docs: (doc_id, text). Texts that are left, in the same order."""
     at = defaultdict(list)
     for i, (doc_id, text) in enumerate(docs):

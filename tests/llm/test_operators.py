@@ -60,7 +60,7 @@ def test_substring(spark, docs):
 def test_substring_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = substring.dedupe(spark.createDataFrame([(None, text), (4, text), (4, text), (9, text)], EMPTY)).collect()
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 0), (4, 60), (4, 60), (9, 60)]
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in rows) == [(0, 60, 0), (4, 60, 0), (4, 60, 0), (9, 60, 60)]
     rows = substring.dedupe(spark.createDataFrame([(4, text), (4, text)], EMPTY)).collect()
     assert [r["n_removed"] for r in rows] == [0, 0]
 
@@ -78,6 +78,49 @@ def test_jaccard(spark, docs):
     assert jaccard.join(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_jaccard_null_ids(spark):
+    text, other = "one two three four five six", "seven eight nine ten"
+    rows = jaccard.join(spark.createDataFrame([(None, text), (7, text), (5, text), (None, other), (None, None)], EMPTY)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows) == [(0, 0, 0), (0, 2, 0), (0, 4, 5), (5, 4, 5), (7, 4, 5)]
+
+
+def test_keep_first_judges_rows(spark):
+    """Rows of one id are judged by themselves; of exact copies of a row one stays; null ids come last."""
+    text, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, text, "p"), (2, text, "q"), (2, other, "r"), (1, text, "p"), (None, other, "s"), (None, None, "t"), (None, None, "t"), (3, "", "u"), (None, "c " * 9, "v")]
+    left = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, TEXT_ string"))
+    assert left.columns == ["doc_id", "text", "TEXT_"]
+    assert sorted(r["TEXT_"] for r in left.collect()) == ["p", "r", "t", "t", "u", "v"]
+
+
+def test_lines_null_and_repeated_ids(spark):
+    a, b = "a line of words that is long enough to be compared with others", "another line, which is not like the first one in any way at all"
+    rows = [(4, f"{a}\n{b}"), (4, f"{b}\n{a}"), (None, a), (9, f"{a}x\n\n{b}"), (9, None), (9, "")]
+    want = brute.line_dedupe(rows)
+    got = lines.dedupe(spark.createDataFrame(rows, EMPTY)).collect()
+    key = lambda r: (r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(((i, t) for (i, _), t in zip(rows, want, strict=True)), key=key)
+
+
+def test_one_key_of_many_nodes(spark):
+    """A third of all documents are near copies of one another, beside small groups: the result is that of brute force."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(80)]
+    docs = []
+    for i in range(150):
+        w = list(base) if i % 3 == 0 else [f"d{i // 4}x{k}" for k in range(60)]
+        w[rng.randrange(len(w))] = f"c{i}"
+        docs.append((i, " ".join(w)))
+    want = {i: c for i, (_, c) in brute.jaccard(docs).items()}
+    original = similar._compared.__defaults__
+    try:
+        similar._compared.__defaults__ = (7,)
+        rows = jaccard.join(spark.createDataFrame(docs, EMPTY)).collect()
+    finally:
+        similar._compared.__defaults__ = original
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want and list(want.values()).count(0) >= 50
+
+
 def test_jaccard_chains(spark):
     """Copies that drift apart: the least is not linked with most, neighbours are linked with each other."""
     rng = random.Random(3)
@@ -158,6 +201,10 @@ def test_components(spark):
     assert len(rows) == len(got)
     assert {n: got.get(n, n) for n in range(500)} == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for local in (0, 60):  # rounds alone, and rounds before the last links
+        rows = components.components(spark.createDataFrame(links, "a long, b long"), local).collect()
+        assert {r["node"]: r["root"] for r in rows} == got
+    assert components.components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
 
 
 def test_lines(spark, docs):
@@ -173,17 +220,18 @@ def test_lines(spark, docs):
     assert lines.digest(spark.createDataFrame([], EMPTY)).count() == 0
 
 
-def test_line_signatures_recall():
+@pytest.mark.parametrize("width", [5, 9])
+def test_line_signatures_recall(width):
     rng = random.Random(6)
     missed = total = 0
     for _ in range(300):
         a = "".join(rng.choices("abcdefgh ", k=rng.randint(30, 400)))
         b = a[: rng.randint(0, len(a))] + "z" + a[rng.randint(0, 3) :][-rng.randint(0, len(a)) :] if rng.random() < 0.3 else a[:-1] + "zq"
         a, b = lines.normal(a), lines.normal(b)
-        x, y = set(lines.tokens(a, 9).tolist()), set(lines.tokens(b, 9).tolist())
+        x, y = set(lines.tokens(a, width).tolist()), set(lines.tokens(b, width).tolist())
         if a and b and len(x & y) >= 0.8 * len(x | y):
             total += 1
-            k, m = lines.line_keys([a, b], 9, 80)
+            k, m = lines.line_keys([a, b], width, 80)
             missed += not set(k.tolist()) & set(m.tolist())
     assert total > 150 and missed <= 1
 
@@ -308,6 +356,22 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(docs, language.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_letters_beyond_the_second_plane(spark):
+    docs = spark.createDataFrame([(i, chr(0x30001 + i % 7) * 20, "zz") for i in range(40)] + [(99, "\U000e0041\U000f0000", "zz")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.train(docs)).collect()}
+    assert {found[i] for i in range(40)} == {"zz"} and found[99] == "und"
+    assert not any(chr(i).isalpha() for i in range(language.LAST, 0x110000))
+
+
+def test_language_ties_and_long_texts(spark):
+    """Of languages with equal evidence the first by name is taken; a text of a megabyte is one row like others."""
+    rows = [(i, "same words here", lang) for i, lang in enumerate(["b", "a"] * 40)]
+    docs = spark.createDataFrame([*rows, (500, "same words " * 100_000, "a"), (501, "é" * 1_000_000, "a")], "doc_id long, text string, lang string")
+    model = language.train(docs.filter("doc_id < 400"))
+    model.log[:] = model.log.mean(1, keepdims=True)
+    assert {r["lang_pred"] for r in language.identify(docs, model).collect()} == {"a"}
+
+
 def test_viterbi_is_best():
     model = language.Model({"a": {1: 1}, "b": {2: 1}, "c": {3: 1}}, {}, penalty=1.5)
     rng = np.random.default_rng(3)
@@ -369,6 +433,37 @@ def test_quality(spark):
     assert quality.rules(docs.limit(0), chain).count() == 0
 
 
+def test_rule_lines_are_labelled_within_documents(spark):
+    """Documents of either label hold lines of both kinds; the chain tells the lines apart and the share decides."""
+    rng = random.Random(14)
+    words = ["river", "stone", "walks", "under", "quiet", "light", "seven", "often", "bring", "early", "music", "found", "paper", "round", "table"]
+    content = lambda: " ".join(rng.choices(words, k=25)).capitalize() + "."
+    junk = lambda: " | ".join(w.upper() + rng.choice(["!!", "$$$"]) for w in rng.choices(words, k=25))
+    docs, labels = [], []
+    for i in range(300):
+        good = i % 2
+        n = rng.choice([4, 5, 6]) if good else rng.choice([0, 1, 2])
+        docs.append((i, "\n".join([junk() for _ in range(3 - n // 2)] + [content() for _ in range(n)])))
+        labels += [(i, good), (i, 1)] if i % 10 == 0 else [(i, good)]  # of two labels the least counts
+    chain = quality.train_rules(spark.createDataFrame(docs, EMPTY), spark.createDataFrame(labels, "doc_id long, quality int"))
+    half = "\n".join([content(), content(), junk(), junk()])
+    share = quality.judge(chain, [half, "\n".join(content() for _ in range(4)), "\n".join(junk() for _ in range(4))])["content"]
+    assert 0.3 < share[0] < 0.7 and share[1] == 1 and share[2] == 0
+    x, per_text, _, _ = crf.line_features([half])
+    assert chain.decode(crf.neighbours(x, per_text) @ chain.w, per_text).tolist() == [1, 1, 0, 0]
+    again = quality.train_rules(spark.createDataFrame(docs[::-1], EMPTY).repartition(3), spark.createDataFrame(labels[::-1], "doc_id long, quality int"))
+    assert np.allclose(again.w, chain.w) and np.allclose(again.t, chain.t)
+
+
+def test_quality_long_texts_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000), (2, "a\n" * 100_000), (3, None)], EMPTY)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert all(0 <= r["score"] <= 1 for r in quality.classify(docs, labels).collect())
+    rows = {r["doc_id"]: r for r in quality.rules(docs, quality.train_rules(docs, labels)).collect()}
+    assert (rows[1]["n_words"], rows[2]["n_dup_lines"], rows[1]["base_failed"]) == (200_000, 99_999, True)
+    assert quality.classify(docs.limit(0), labels).count() == quality.keep_good(docs.limit(0), crf.Chain()).count() == 0
+
+
 def test_stock_phrases_in_long_lines():
     at = crf.NAMES.index("stock")
     long_ = "word " * 200
@@ -382,6 +477,12 @@ def test_rule_counts():
     assert [int(out[c][1]) for c in quality.COUNTS] == [0, 0, 0, 0, 0]
 
 
+def test_rule_counts_of_other_white_space():
+    """Only U+0020 and U+0009 to U+000D end words; a line of a no-break space has a word."""
+    out = quality.judge(crf.Chain(), ["\u00a0\n\u00a0\nx\nx", "a\u3000b c\x1cd\n\u0085", "a\x0bb\r\n \n \t"])
+    assert [out[c].tolist() for c in ("n_words", "n_dup_lines")] == [[4, 3, 2], [2, 0, 0]]
+
+
 PII = "Mail me at jo.doe+x@mail.example.com or call +1 (555) 123-4567; host 10.0.0.255 not 10.0.0.256, card 4111 1111 1111 1111, not 4111 1111 1111 1112."
 
 
@@ -397,6 +498,55 @@ def test_pii_emails_like_the_pattern():
         assert list(pii._emails(text)) == [m.span() for m in pii.BASE["email"].finditer(text)]
 
 
+def test_pii_ips_like_the_pattern():
+    rng = random.Random(15)
+    for _ in range(6000):
+        text = "".join(rng.choices("12.a +", [4, 3, 6, 1, 1, 1], k=rng.randint(0, 24)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in pii.BASE["ip"].finditer(text)]
+
+
+def test_pii_of_long_texts_takes_linear_time():
+    import time
+
+    for text in ("7" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "a" * 1_000_000, "1 " * 500_000, "a@" * 300_000, "+1" + "(" * 500_000, "555 123 4567 , " * 30_000):
+        began = time.process_time()
+        pii.wider_spans(text, pii.base_spans(text))
+        assert time.process_time() - began < 10
+
+
+def plain_pii(text):
+    """The base patterns as they stand, with their checks."""
+    out = []
+    for kind, pattern in pii.BASE.items():
+        for m in pattern.finditer(text or ""):
+            n = [int(c) for c in m.group() if c.isdigit()]
+            luhn = sum(n[-1::-2]) + sum(d * 2 - 9 * (d > 4) for d in n[-2::-2])
+            fits = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else 0, "card": 13 <= len(n) <= 19 and luhn % 10 == 0, "phone": 9 <= len(n) <= 15}[kind]
+            if fits:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_query_against_plain_search(spark, tmp_path):
+    from loomgraph.llm import queries
+
+    rng = random.Random(16)
+    bits = ["10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (310) 555-4510", "+1 555", "x@y.org", "a b", "é漢", "12-34", "1.2.3.4.5", "token = \"04dbebab91ab85687d33\"", "310-555-4510", "\n"]
+    docs = [(i, " ".join(rng.choices(bits, k=rng.randint(0, 9)))) for i in range(300)] + [(None, bits[0]), (900, None), (900, bits[2])]
+    spark.createDataFrame(docs, EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in queries.op7_pii(spark, str(tmp_path)).collect()]
+    name = lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (list(pii.KINDS).index(x[0]), x[1])))
+    want = [(i, *(sum(k == kind for k, _, _ in found) for kind in pii.BASE), hashlib.sha256(name(found).encode()).hexdigest()) for i, t in docs for found in [plain_pii(t)]]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1:6])
+    assert sorted((r[:6] for r in rows), key=order) == sorted(want, key=order)
+    by_id = {r[0]: r for r in rows}
+    for i, t in docs[:300]:
+        spans = [x.split(":") for x in by_id[i][6].split(",") if x]
+        assert by_id[i][7] == len(spans) and set(name(plain_pii(t)).split(",")) <= {*by_id[i][6].split(","), ""}
+        told = sum(t[int(a) : int(b)].startswith("token") for _, a, b in spans)
+        assert told == t.count("token =")
+
+
 def test_pii(spark):
     rows = [(i, f"Reach u{i}@a{i}.example.com today or AKIA{'ABCDEFGH12345678'} now") for i in range(50)]
     rows += [(100, PII), (101, None), (102, ""), (102, ""), (None, "x@y.com"), (103, "é" * 10 + " a@b.org"), (104, "page 123-45-6789")]
@@ -417,6 +567,14 @@ def test_pii_gazetteers():
     assert [vote("phone", x) for x in ("310-555-4510", "111-555-4510", "(030) 555-4510", "20 555 4510")] == list("+-00")
 
 
+def test_span_classifier_uses_shape():
+    """Votes alone cannot tell these apart; the shape can, once other patterns of the shape are known."""
+    patterns = {("phone", "+0++++0", "21012"): 90, ("phone", "-0-00--", "43020"): 90, ("phone", "0000000", "21012"): 10, ("phone", "0000000", "43020"): 10}
+    likely, _ = pii.estimate({k[:2]: n for k, n in patterns.items()})
+    w = pii.train(patterns, likely)
+    assert pii.features("phone", "0000000", "21012") @ w > pii.features("phone", "0000000", "43020") @ w
+
+
 def test_em_learns_reliability():
     patterns = {("phone", "+0++++0"): 50, ("phone", "+0++0+0"): 40, ("phone", "-0-+0-0"): 60, ("phone", "-0-00--"): 30}
     likely, rates = pii.estimate(patterns)
@@ -444,6 +602,31 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages, outcomes.limit(0), rules).filter("verdict = 'block'").count() == 1
 
 
+def test_beta_quantiles(spark):
+    grid = np.linspace(0, 1, 200_001)[1:-1]
+    cases = [(float(a), float(b), z) for a in (0.3, 2, 9, 60, 900) for b in (0.4, 3, 40, 300) for z in (-1.645, 1.645)]
+    rows = spark.createDataFrame(cases, "a double, b double, z double")
+    got = {}
+    for z in (-1.645, 1.645):
+        got |= {(r["a"], r["b"], z): r["x"] for r in rows.filter(F.col("z") == z).select("a", "b", url_filter.beta_quantile(F.col("a"), F.col("b"), z).alias("x")).collect()}
+    for a, b, z in cases:
+        log = (a - 1) * np.log(grid) + (b - 1) * np.log1p(-grid)
+        cdf = np.cumsum(np.exp(log - log.max()))
+        at = np.searchsorted(cdf / cdf[-1], 0.95 if z > 0 else 0.05)
+        assert abs(got[a, b, z] - grid[min(at, len(grid) - 1)]) < (0.012 if min(a, b) >= 2 else 0.25)
+
+
+def test_urls_by_reputation(spark):
+    """Hosts of a bad domain are blocked through the method, with or without labels of their own; of two labels of a page the least counts."""
+    hosts = [(f"h{i}.ok{i % 9}.org", i % 20 != 0) for i in range(200)] + [(f"h{i}.spam.org", i % 10 == 0) for i in range(40)]
+    outcomes = spark.createDataFrame([(h, int(good)) for h, good in hosts for _ in range(5)], "host string, good int")
+    pages = spark.createDataFrame([(1, "http://h1.spam.org/x"), (2, "http://new.spam.org/x"), (3, "http://h1.ok1.org/x"), (4, "http://new.ok2.org"), (5, "http://elsewhere.net")], "page_id long, url string")
+    out = url_filter.filter_urls(pages, outcomes, [])
+    assert [r["verdict"] for r in out.orderBy("page_id").collect()] == ["block", "block", "allow", "allow", "allow"]
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.count("Exchange") < 20 and "Python" not in plan and "Arrow" not in plan
+
+
 def test_chunks_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["x" * 5, None, "y" * 50, ""])], names=["a", "b"])
     assert [c.column(0).to_pylist() for c in common.chunks([batch], 1, 10)] == [[1, 2], [3], [4]]
