@@ -109,8 +109,8 @@ def _rooted(docs: DataFrame, n: int, percent: int, part_chars: int) -> DataFrame
     """(doc_id, n_shingles, mark, root) of every row of docs (doc_id, text, mark); the root is null where the set is empty."""
     dealt, size = common.deal(docs, part_chars)
 
-    def sign(table: pa.Table) -> similar.Signed:
-        out, number = similar.Signed(), {}
+    def pack(table: pa.Table) -> similar.Packed:
+        out, number = similar.Packed(keys=[]), {}
         for doc_id, text, mark in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "mark")), strict=True):
             tokens = shingles(text, n)
             node = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
@@ -121,12 +121,15 @@ def _rooted(docs: DataFrame, n: int, percent: int, part_chars: int) -> DataFrame
                 out.keys.append(sketch_keys(tokens, percent))
         return out
 
+    def keys_of(texts: list[bytes]) -> list[np.ndarray]:
+        return [sketch_keys(shingles(t, n), percent) for t in texts]
+
     def sketch(texts: list[bytes]) -> list[tuple[int, bytes]]:
         return [(len(x), similar.parity(_mix(x * _FIRST))) for x in (shingles(t, n) for t in texts)]
 
-    found = similar.shared_keys(dealt, sign, sketch, similar.buckets_for(size // 20), every=True)
-    roots = similar.link(found, lambda texts: [shingles(t, n) for t in texts], is_linked(percent))
-    members = found.filter(F.col("kind") == similar.MEMBER).select("doc_id", F.col("place").cast("long").alias("n_shingles"), "node", F.col("key").alias("mark"))
+    keyed, found = similar.shared_keys(dealt, pack, keys_of, sketch, size // 20, every=True)
+    roots = similar.link(keyed, found, lambda texts: [shingles(t, n) for t in texts], is_linked(percent))
+    members = found.filter(F.col("kind") == similar.MEMBER).select("doc_id", F.col("place").cast("long").alias("n_shingles"), "node", "mark")
     return members.join(roots, "node", "left").select("doc_id", "n_shingles", "mark", F.coalesce("root", "node").alias("root"))
 
 

@@ -185,25 +185,23 @@ def _order(doc_id: int | None, place: int) -> tuple:
     return doc_id is not None, doc_id or 0, place
 
 
-def _sign(width: int, percent: int):
-    def sign(table: pa.Table) -> similar.Signed:
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        number: dict[bytes, int] = {}
-        members: list[tuple] = []
-        for doc_id, text in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)):
-            for place, line in enumerate(normalised(text)):
-                if line:
-                    i = number.setdefault(line, len(members))
-                    if i == len(members):
-                        members.append((doc_id, place, i, None))
-                    elif place < members[i][1] and members[i][0] == doc_id:  # another row of this id
-                        members[i] = doc_id, place, i, None
-        out = similar.Signed(list(map(node_of, number)), list(number), members=members)
-        for some in _batches(out.texts):
-            out.keys += line_keys(some, width, percent)
-        return out
-
-    return sign
+def _packed(table: pa.Table) -> similar.Packed:
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    number: dict[bytes, int] = {}
+    members: list[tuple] = []
+    for doc_id, text in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)):
+        for place, line in enumerate(normalised(text)):
+            if line:
+                i = number.setdefault(line, len(members))
+                if i == len(members):
+                    members.append((doc_id, place, i, None))
+                elif place < members[i][1] and members[i][0] == doc_id:  # another row of this id
+                    members[i] = doc_id, place, i, None
+    return similar.Packed(list(map(node_of, number)), list(number), members)
+
+
+def _keys(width: int, percent: int) -> similar.Keys:
+    return lambda texts: [k for some in _batches(texts) for k in line_keys(some, width, percent)]
 
 
 def _sketch(width: int) -> similar.Sketcher:
@@ -215,14 +213,14 @@ def winners(dealt: DataFrame, size: int, width: int = 5, percent: int = 80) -> D
 
     dealt: doc_id, text and part, `size` bytes of text in all.
     """
-    found = similar.shared_keys(dealt, _sign(width, percent), _sketch(width), similar.buckets_for(size // 12), every=False)
-    roots = similar.link(found, lambda texts: tokens_of(texts, width), is_linked(percent))
-    members = found.filter(F.col("kind") == similar.MEMBER).select("part", "node", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "place").alias("at"))
+    keyed, found = similar.shared_keys(dealt, _packed, _keys(width, percent), _sketch(width), size // 12, every=False)
+    roots = similar.link(keyed, found, lambda texts: tokens_of(texts, width), is_linked(percent))
+    members = found.filter(F.col("kind") == similar.MEMBER).select("part", "node", "digest", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "place").alias("at"))
     by_node = members.groupBy("node").agg(F.min("at").alias("at"), F.count("*").alias("parts"))
     rooted = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = rooted.groupBy("root").agg(F.min("at").alias("at"), F.count("*").alias("nodes"), F.max("parts").alias("most")).filter("nodes > 1 or most > 1")
     stays = rooted.select("node", "root").join(by_root.select("root", "at"), "root").select("node", "at")
-    out = common.spill(members.select("part", "node").join(stays, "node").select("part", "node", "at.doc_id", "at.place"), "winners")
+    out = common.spill(members.select("part", "node", "digest").join(stays, "node").select("part", F.col("digest").alias("node"), "at.doc_id", "at.place"), "winners")
     common.forget(found, roots)
     return out
 

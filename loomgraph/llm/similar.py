@@ -4,28 +4,29 @@ A node is a set of 64-bit tokens, known by a 128-bit digest of its text; equal t
 Each node has keys; two nodes whose sets are similar share a key (surely or almost surely, as the
 operator's keys promise). The search never forms the pairs of a group:
 
-1. Nodes are dealt to parts, each of which is signed once: its nodes, keys and members are packed
-   into one row. It sends every distinct key once, cut to 32 bits and packed by hash bucket, with 32
-   bits that tell its node from others and a bit saying whether several of its nodes have it; and of
-   every node 64 bits of its digest. Buckets answer bits: has another node this key too; has another
-   part this node too, and an earlier one. Only such keys go on, each node from its first part.
-2. The least node of a key is its head. Each node is compared with the least of its heads, if their
-   parity sketches allow a link: both texts are read again and their sets compared exactly. What is
-   linked so far forms components.
-3. Keys whose nodes are in one component are done. Of the others, nodes whose parity sketch differs
+1. Rows are dealt to parts. Each part is packed into one row of distinct nodes and their members, and
+   sends the digest of each node to a hash bucket, which names its first place: part and number
+   there. That is the node's id from then on; only the first place takes part in what follows.
+2. Each part signs its nodes once and sends every distinct key once, cut to 32 bits, with its least
+   node, to a hash bucket; further nodes of the key in that part are told of this least one. A
+   bucket tells the nodes of keys that come from several parts of the least of them. So a key of
+   any share of all nodes is one entry of each part. What a node is told of is its head.
+3. Each node is compared with the least of its heads, if their parity sketches allow a link: both
+   texts are read again and their sets compared exactly. What is linked so far forms components.
+4. Keys whose nodes are in one component are done. Of the others, nodes whose parity sketch differs
    from that of every node of the key in more bits than linked sets differ in tokens are done too
    (keys with more nodes than `most` skip this test). Every node left is compared with the key's
-   head in the same way, and the difference of the two sets is kept.
-4. Where a head still has nodes that are not in one component with it, two of its nodes x and y may
-   be similar all the same. The symmetric difference of x and y is that of their differences from
-   the head, so they are compared exactly without their texts: first with the least such node as a
-   new head while more than `block` nodes are left, then all that still are in different
+   least node in the same way, and the difference of the two sets is kept.
+5. Where such a head still has nodes that are not in one component with it, two of its nodes x and y
+   may be similar all the same. The symmetric difference of x and y is that of their differences
+   from the head, so they are compared exactly without their texts: first with the least such node
+   as a new head while more than `block` nodes are left, then all that still are in different
    components, in blocks of bounded size. A block emits a spanning forest of its links.
 
-So no link is lost between nodes that share a key, but for two nodes that agree in the 32 bits
-that tell them apart. A head may have any share of all nodes: it is met by blocks of them, each of
-which reads the head's text once. Work beyond linear is spent only on nodes of one head that are
-similar to it yet not linked; it grows with the square of their number over `block`.
+So no link is lost between nodes that share a key. A head may have any share of all nodes: it is
+met by blocks of them, each of which reads the head's text once. Work beyond linear is spent only on
+nodes of one head that are similar to it yet not linked; it grows with the square of their number
+over `block`.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +45,26 @@ from loomgraph.llm.common import forget, spill
 
 
 @dataclass
-class Signed:
-    """What an operator reads off the rows of a part: distinct nodes with their texts and keys, and rows for members."""
+class Packed:
+    """What an operator reads off the rows of a part: distinct nodes with their texts, and rows for members."""
 
-    nodes: list[bytes] = field(default_factory=list)
+    nodes: list[bytes] = field(default_factory=list)  # digests of 16 bytes
     texts: list[bytes] = field(default_factory=list)  # UTF-8
-    keys: list[np.ndarray] = field(default_factory=list)
     members: list[tuple[int | None, int, int | None, int | None]] = field(default_factory=list)  # doc_id, place, number of the node, any mark
+    keys: list[np.ndarray] | None = None  # of each node, if it takes its tokens to know the node; else they are made later
 
 
-_SIGNED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary()), ("nodes", pa.binary()), ("members", pa.binary())])
-_BITS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("later", pa.binary())])
-_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.binary()), ("key", pa.int64()), ("text", pa.binary()), ("sketch", pa.binary())])
-FOUND = "kind int, part int, doc_id long, place int, node binary, key long, text binary, sketch binary"
-MEMBER, KEY, TEXT = 0, 1, 2
-#: Distinct keys of a bucket, on average: bounds the memory of the task that answers for it.
+_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("nodes", pa.binary()), ("members", pa.binary())])
+_SAME = pa.schema([("part", pa.int32()), ("numbers", pa.binary()), ("first", pa.binary())])
+_SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("heads", pa.binary())])
+_KEYED = pa.schema([("key", pa.int64()), ("head", pa.int64()), ("node", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("node", pa.int64()), ("digest", pa.binary()), ("mark", pa.int64()), ("text", pa.binary()), ("sketch", pa.binary())])
+FOUND = "kind int, part int, doc_id long, place int, node long, digest binary, mark long, text binary, sketch binary"
+MEMBER, TEXT = 0, 1
+#: Entries of a bucket, on average: bounds the memory of the task that answers for it.
 BUCKET_KEYS = 1_000_000
 Sketcher = Callable[[list[bytes]], list[tuple[int, bytes]]]  # size and parity sketch of the set of each text
+Keys = Callable[[list[bytes]], list[np.ndarray]]  # distinct keys of the set of each text
 
 
 def buckets_for(keys: int, least: int = 8) -> int:
@@ -67,27 +72,23 @@ def buckets_for(keys: int, least: int = 8) -> int:
     return 1 << (max(least, -(-keys // BUCKET_KEYS)) - 1).bit_length()
 
 
-def _packed_table(columns: dict[str, pa.Array]) -> bytes:
+def _ipc(columns: dict[str, pa.Array]) -> bytes:
     sink, table = pa.BufferOutputStream(), pa.table(columns)
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all().combine_chunks()
+def _unpacked(data: bytes) -> dict[str, pa.Array]:
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return {n: c.chunk(0) if c.num_chunks else pa.array([], c.type) for n, c in zip(table.column_names, table.columns, strict=True)}
 
 
-def _column(table: pa.Table, name: str) -> pa.Array:
-    found = table.column(name)
-    return found.chunk(0) if found.num_chunks == 1 else pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], found.type)
-
-
-def _slices(distinct: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+def _slices(ordered: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The buckets, those with a hash, of sorted hashes."""
-    if not len(distinct):
+    if not len(ordered):
         return
-    bucket = distinct >> np.uint64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
+    bucket = ordered >> np.uint64(64 - bits) if bits else np.zeros(len(ordered), np.uint64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for b, i, j in zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         yield b, slice(i, j)
@@ -98,128 +99,154 @@ def _table(rows: list[tuple], types: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
 
-def _node_hashes(nodes: bytes) -> np.ndarray:
-    return np.frombuffer(nodes, "<u8")[::2]
-
-
-def _probe(part: int, signed: Signed, bits: int) -> pa.Table:
-    keys = np.concatenate(signed.keys) if signed.keys else np.zeros(0, np.uint64)
-    sizes = np.array([len(k) for k in signed.keys], dtype=np.int32)
-    nodes = b"".join(signed.nodes)
-    own = _node_hashes(nodes)
-    order = np.argsort(keys)
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    distinct, count = ordered[first], np.diff(np.append(first, len(keys)))
-    mixed = (np.repeat(own, sizes)[order[first]] ^ distinct) * np.uint64(0x9E3779B97F4A7C15)
-    owners, several = (mixed >> np.uint64(32)).astype("<u4"), count > 1  # keys of a node are distinct
-    cut = ((distinct << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-    rows = [(part, b, cut[s].tobytes(), owners[s].tobytes(), np.packbits(several[s]).tobytes(), None, None) for b, s in _slices(distinct, bits)]
-    rows += [(part, (1 << bits) + b, h.tobytes(), None, None, None, None) for h, b in ((x[s], b) for x in (np.sort(own),) for b, s in _slices(x, bits))]
-    packed = _packed_table({"node": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(signed.nodes), [None, pa.py_buffer(nodes)]), "text": pa.array(signed.texts, pa.binary()), "keys": pa.array(sizes, pa.int32())})
-    ids, places, at, marks = zip(*signed.members, strict=True) if signed.members else ([], [], [], [])
-    members = _packed_table({"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32()), "at": pa.array(at, pa.int32()), "mark": pa.array(marks, pa.int64())})
-    return _table([*rows, (part, -1, keys.tobytes(), None, None, packed, members)], _SIGNED)
-
-
 def _starts(v: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-
-
-def _match(table: pa.Table, buckets: int) -> pa.Table:
-    parts, bucket, hashes = table.column("part").to_pylist(), table.column("bucket")[0].as_py(), table.column("hashes").to_pylist()
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+
+
+def _pack(part: int, packed: Packed, bits: int) -> pa.Table:
+    """The row of a part, and its digests by bucket."""
+    joined = b"".join(packed.nodes)
+    digests = np.frombuffer(joined, "<u8").reshape(-1, 2)
+    order = np.argsort(digests[:, 0], kind="stable")
+    by_hash = digests[order]
+    rows = [(part, b, by_hash[s].tobytes(), order[s].astype("<u4").tobytes(), None, None) for b, s in _slices(by_hash[:, 0], bits)]
+    nodes = {"digest": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(packed.nodes), [None, pa.py_buffer(joined)]), "text": pa.array(packed.texts, pa.binary())}
+    if packed.keys is not None:
+        nodes["keys"] = pa.array([k.astype("<u8").tobytes() for k in packed.keys], pa.binary())
+    ids, places, at, marks = zip(*packed.members, strict=True) if packed.members else ([], [], [], [])
+    members = {"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32()), "at": pa.array(at, pa.int32()), "mark": pa.array(marks, pa.int64())}
+    return _table([*rows, (part, -1, None, None, _ipc(nodes), _ipc(members))], _PACKED)
+
+
+def _gathered(table: pa.Table, dtype: str, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, parts and numbers of all entries of a bucket, and the id of each."""
+    arrays = [np.frombuffer(x, dtype).reshape(-1, width) for x in table.column("hashes").to_pylist()]
+    part = np.repeat(table.column("part").to_numpy().astype(np.int64), [len(a) for a in arrays])
+    number = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("numbers").to_pylist()]).astype(np.int64)
+    return np.concatenate(arrays), part, number
+
+
+def _match_nodes(table: pa.Table) -> pa.Table:
+    """For parts that share nodes with others: numbers of such nodes and the id of their first place."""
+    digests, part, number = _gathered(table, "<u8", 2)
+    id_ = part << 32 | number
+    order = np.lexsort((id_, digests[:, 1], digests[:, 0]))
+    a, b = digests[order, 0], digests[order, 1]
+    starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    count = np.diff(np.append(starts, len(order)))
+    shared = np.repeat(count > 1, count)
+    at, first = order[shared], np.repeat(id_[order[starts]], count)[shared]
+    by_part = np.argsort(part[at], kind="stable")
+    at, first = at[by_part], first[by_part]
+    cut = np.append(_starts(part[at]), len(at)).tolist()
+    return _table([(int(part[at[i]]), number[at[i:j]].astype("<u4").tobytes(), first[i:j].astype("<i8").tobytes()) for i, j in zip(cut, cut[1:], strict=False)], _SAME)
+
+
+def _ids(part: int, n: int, same: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a part's nodes, and which of them other parts have too."""
+    ids, shared = part << 32 | np.arange(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for numbers, first in zip(same.column("numbers").to_pylist(), same.column("first").to_pylist(), strict=True):
+        at = np.frombuffer(numbers, "<u4")
+        ids[at], shared[at] = np.frombuffer(first, "<i8"), True
+    return ids, shared
+
+
+def _send(row: dict, same: pa.Table, keys_of: Keys, bits: int) -> pa.Table:
+    """The keys of a part by bucket, and those of several of its nodes."""
+    nodes, part = _unpacked(row["nodes"]), row["part"]
+    n = len(nodes["text"])
+    own = np.flatnonzero(_ids(part, n, same)[0] >> 32 == part)
+    some = pa.array(own)
+    keys = [np.frombuffer(x, "<u8") for x in nodes["keys"].take(some).to_pylist()] if "keys" in nodes else keys_of(nodes["text"].take(some).to_pylist())
+    number = np.repeat(own, [len(k) for k in keys]).astype("<u4")
+    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    order = np.argsort(keys, kind="stable")  # numbers ascend, so the first is the least
+    keys, number = keys[order], number[order]
+    cut = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+    bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)).astype(np.int64)
+    short = bucket << 32 | cut  # what a bucket tells apart
+    starts = _starts(short)
+    rows = [(part, b, cut[starts][s].tobytes(), number[starts][s].tobytes(), None) for b, s in _slices(keys[starts], bits)]
+    count = np.diff(np.append(starts, len(keys)))
+    several = np.repeat(count > 1, count)
+    if several.any():
+        rows.append((part, -1 - part, short[several].astype("<i8").tobytes(), number[several].tobytes(), np.repeat(number[starts], count)[several].tobytes()))
+    return _table(rows, _SENT)
+
+
+def _match_keys(table: pa.Table) -> pa.Table:
+    """(key, head, node) of keys that come from several parts; of keys of one part as that part says."""
+    bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
-        return _BITS.empty_table()
-    exact = bucket >= buckets
-    arrays = [np.frombuffer(x, "<u8" if exact else "<u4") for x in hashes]
-    v, cut = np.concatenate(arrays), np.cumsum([0] + [len(a) for a in arrays])
-    yes, later = np.zeros(len(v), dtype=bool), None
-    if exact:  # 64 bits of each distinct node of a part
-        order = np.lexsort((np.repeat(np.array(parts), [len(a) for a in arrays]), v))
-        starts = _starts(v[order])
-        yes[order] = np.repeat(np.diff(np.append(starts, len(v))) > 1, np.diff(np.append(starts, len(v))))
-        later = yes.copy()
-        later[order[starts]] = False
-    else:
-        order = np.argsort(v, kind="stable")
-        starts = _starts(v[order])
-        owner = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("owners").to_pylist()])[order]
-        several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(a)) for f, a in zip(table.column("flags").to_pylist(), arrays, strict=True)])
-        shared = (np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts)) | (np.maximum.reduceat(several[order], starts) > 0)
-        yes[order] = np.repeat(shared, np.diff(np.append(starts, len(v))))
-    bits = lambda x, i: None if x is None else np.packbits(x[cut[i] : cut[i + 1]]).tobytes()
-    return _table([(p, bucket, bits(yes, i), bits(later, i)) for i, p in enumerate(parts) if yes[cut[i] : cut[i + 1]].any()], _BITS)
-
-
-def _answered(ordered: np.ndarray, bits: int, given: dict[int, bytes], base: int) -> np.ndarray:
-    out = np.zeros(len(ordered), dtype=bool)
-    for b, s in _slices(ordered, bits):
-        if given.get(base + b) is not None:
-            out[s] = np.unpackbits(np.frombuffer(given[base + b], np.uint8), count=s.stop - s.start)
-    return out
-
-
-def _collect(row: dict, answers: pa.Table, bits: int, sketch: Sketcher, every: bool) -> Iterator[pa.Table]:
-    """FOUND rows of a part, from its packed row and the answers to what it sent."""
-    nodes, members = _unpacked(row["nodes"]), _unpacked(row["members"])
-    keys, part = np.frombuffer(row["hashes"], np.uint64), row["part"]
-    node = _column(nodes, "node").cast(pa.binary())
-    sizes = _column(nodes, "keys").to_numpy(zero_copy_only=False)
-    own = np.frombuffer(_column(nodes, "node").buffers()[1], "<u8", 2 * len(nodes))[::2] if len(nodes) else np.zeros(0, np.uint64)
-    by_bucket = answers.column("bucket").to_pylist()
-    yes, late = (dict(zip(by_bucket, answers.column(c).to_pylist(), strict=True)) for c in ("bits", "later"))
-    order = np.argsort(own)
-    met, later = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
-    met[order], later[order] = _answered(own[order], bits, yes, 1 << bits), _answered(own[order], bits, late, 1 << bits)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    hit = _answered(distinct, bits, yes, 0)[inverse]
-    holder = np.repeat(np.arange(len(sizes)), sizes)
-    keyed = np.zeros(len(sizes), dtype=bool)
-    keyed[holder[hit]] = True
-    none = lambda n, t: pa.nulls(n, t)
-
-    at = _column(members, "at")
-    number = at.fill_null(-1).to_numpy(zero_copy_only=False)
-    shown = np.flatnonzero(every | ((number >= 0) & (met | keyed)[number])) if len(met) else np.arange(len(number) if every else 0)
-    n = len(shown)
-    yield pa.table([pa.array(np.full(n, MEMBER, np.int32)), pa.array(np.full(n, part, np.int32)), _column(members, "doc_id").take(pa.array(shown)), _column(members, "place").take(pa.array(shown)), node.take(at.take(pa.array(shown))), _column(members, "mark").take(pa.array(shown)), none(n, pa.binary()), none(n, pa.binary())], schema=_FOUND)
-
-    good = hit & ~later[holder] if len(holder) else hit
-    n = int(good.sum())
-    yield pa.table([pa.array(np.full(n, KEY, np.int32)), pa.array(np.full(n, part, np.int32)), none(n, pa.int64()), none(n, pa.int32()), node.take(pa.array(holder[good])), pa.array(keys[good].view(np.int64)), none(n, pa.binary()), none(n, pa.binary())], schema=_FOUND)
-
-    sent = np.flatnonzero(keyed & ~later)
-    text = _column(nodes, "text").take(pa.array(sent))
+        row = table.to_pylist()[0]
+        base = row["part"] << 32
+        columns = np.frombuffer(row["hashes"], "<i8"), *(base | np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("heads", "numbers"))
+        return pa.table([pa.array(c) for c in columns], schema=_KEYED)
+    hashes, part, number = _gathered(table, "<u4")
+    id_, hashes = part << 32 | number, hashes[:, 0]
+    order = np.lexsort((id_, hashes))
+    v, id_ = hashes[order], id_[order]
+    starts = _starts(v)
+    count = np.diff(np.append(starts, len(v)))
+    shared = np.repeat(count > 1, count)
+    columns = bucket << 32 | v[shared].astype(np.int64), np.repeat(id_[starts], count)[shared], id_[shared]
+    return pa.table([pa.array(c) for c in columns], schema=_KEYED)
+
+
+def _collect(row: dict, same: pa.Table, asked: pa.Table, sketch: Sketcher, every: bool) -> Iterator[pa.Table]:
+    """FOUND rows of a part: members of nodes that are asked for or that other parts have too, or all; texts of those asked for."""
+    nodes, members, part = _unpacked(row["nodes"]), _unpacked(row["members"]), row["part"]
+    ids, shared = _ids(part, len(nodes["text"]), same)
+    digest = nodes["digest"].cast(pa.binary())
+    sent = np.sort(asked.column("node").to_numpy() & 0xFFFFFFFF).astype(np.int64)
+    shared[sent] = True
+    number = members["at"].fill_null(-1).to_numpy(zero_copy_only=False)
+    shown = np.arange(len(number)) if every else np.flatnonzero((number >= 0) & shared[number]) if len(shared) else np.zeros(0, np.int64)
+    n, take = len(shown), pa.array(shown)
+    at = members["at"].take(take)
+    fixed = lambda n, kind: (pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)))
+    yield pa.table([*fixed(n, MEMBER), members["doc_id"].take(take), members["place"].take(take), pa.array(ids).take(at), digest.take(at), members["mark"].take(take), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_FOUND)
+    text = nodes["text"].take(pa.array(sent))
     n, made = len(sent), sketch(text.to_pylist())
-    yield pa.table([pa.array(np.full(n, TEXT, np.int32)), pa.array(np.full(n, part, np.int32)), none(n, pa.int64()), pa.array([s for s, _ in made], pa.int32()), node.take(pa.array(sent)), none(n, pa.int64()), text, pa.array([x for _, x in made], pa.binary())], schema=_FOUND)
+    yield pa.table([*fixed(n, TEXT), pa.nulls(n, pa.int64()), pa.array([x for x, _ in made], pa.int32()), pa.array(ids[sent]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), text, pa.array([x for _, x in made], pa.binary())], schema=_FOUND)
+
 
+def shared_keys(dealt: DataFrame, pack: Callable[[pa.Table], Packed], keys_of: Keys, sketch: Sketcher, keys: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Two written tables, of rows of `dealt` (a frame with `part`) with about so many keys in all.
 
-def shared_keys(dealt: DataFrame, sign: Callable[[pa.Table], Signed], sketch: Sketcher, buckets: int, every: bool) -> DataFrame:
-    """FOUND rows, written to the shared folder: of nodes with keys met elsewhere these keys, text, size and parity sketch;
-    of rows of `dealt` (a frame with `part`) members, if their node was met elsewhere or, with `every`, all."""
+    (key, head, node): nodes of keys that several nodes have, each with a head, at times twice.
+    FOUND rows: texts, sizes and parity sketches of these nodes; members of these and of nodes that
+    several parts have or, with `every`, of all rows.
+    """
+    buckets = buckets_for(keys)
     bits = buckets.bit_length() - 1
 
-    def probe(table: pa.Table) -> pa.Table:
-        return _probe(table.column("part")[0].as_py(), sign(table), bits)
+    def first(table: pa.Table) -> pa.Table:
+        return _pack(table.column("part")[0].as_py(), pack(table), bits)
 
-    def match(table: pa.Table) -> pa.Table:
-        return _match(table, buckets)
+    def send(packed: pa.Table, same: pa.Table) -> pa.Table:
+        return pa.concat_tables([_SENT.empty_table(), *(_send(row, same, keys_of, bits) for row in packed.to_pylist())])
 
-    def collect(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        tables = [t for row in packed.to_pylist() for t in _collect(row, answers, bits, sketch, every)]
-        return pa.concat_tables([_FOUND.empty_table(), *tables])
+    def collect(packed: pa.Table, told: pa.Table) -> pa.Table:
+        same, asked = told.filter(pa.compute.is_null(told.column("node"))), told.filter(pa.compute.is_valid(told.column("node")))
+        return pa.concat_tables([_FOUND.empty_table(), *(t for row in packed.to_pylist() for t in _collect(row, same, asked, sketch, every))])
 
-    signed = spill(dealt.groupBy("part").applyInArrow(probe, "part int, bucket int, hashes binary, owners binary, flags binary, nodes binary, members binary"), "signed")
-    sent = signed.filter("bucket >= 0").select("part", "bucket", "hashes", "owners", "flags")
-    answers = sent.groupBy("bucket").applyInArrow(match, "part int, bucket int, bits binary, later binary")
-    packed = signed.filter("bucket < 0").select("part", "hashes", "nodes", "members")
-    found = spill(packed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(collect, FOUND), "found")
-    forget(signed)
-    return found
+    packed = spill(dealt.groupBy("part").applyInArrow(first, "part int, bucket int, hashes binary, numbers binary, nodes binary, members binary"), "packed")
+    digests = packed.filter("bucket >= 0").select("part", "bucket", "hashes", "numbers")
+    same = spill(digests.groupBy("bucket").applyInArrow(_match_nodes, "part int, numbers binary, first binary"), "same")
+    parts = packed.filter("bucket < 0").select("part", "nodes", "members")
+    sent = parts.select("part", "nodes").groupBy("part").cogroup(same.groupBy("part")).applyInArrow(send, "part int, bucket int, hashes binary, numbers binary, heads binary")
+    keyed = spill(sent.groupBy("bucket").applyInArrow(_match_keys, "key long, head long, node long"), "keyed")
+    asked = keyed.select("node").distinct().select(F.shiftright("node", 32).cast("int").alias("part"), F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("first"), "node")
+    told = asked.unionByName(same.withColumn("node", F.lit(None).cast("long")))
+    found = spill(parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(collect, FOUND), "found")
+    forget(packed, same)
+    return keyed, found
 
 
-DIFFERENCE = "head binary, node binary, n_head int, n_node int, delta binary, linked boolean"
-_DIFFERENCE = pa.schema([("head", pa.binary()), ("node", pa.binary()), ("n_head", pa.int32()), ("n_node", pa.int32()), ("delta", pa.binary()), ("linked", pa.bool_())])
+DIFFERENCE = "head long, node long, n_head int, n_node int, delta binary, linked boolean"
+_DIFFERENCE = pa.schema([("head", pa.int64()), ("node", pa.int64()), ("n_head", pa.int32()), ("n_node", pa.int32()), ("delta", pa.binary()), ("linked", pa.bool_())])
 Linked = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # sizes of intersection and of both sets
 Tokens = Callable[[list[bytes]], list[np.ndarray]]  # of each text its tokens, sorted and distinct
 
@@ -229,19 +256,17 @@ def _linked_delta(linked: Linked, n_a, n_b, size):
     return linked((n_a + n_b - size) // 2, n_a, n_b)
 
 
-def link(found: DataFrame, tokens: Tokens, linked: Linked, block: int = 1500, rounds: int = 4) -> DataFrame:
+def link(keyed: DataFrame, found: DataFrame, tokens: Tokens, linked: Linked, block: int = 1500, rounds: int = 4) -> DataFrame:
     """(node, root) of nodes that are linked, from shared_keys()."""
-    keys, texts = found.filter(F.col("kind") == KEY).select("key", "node"), found.filter(F.col("kind") == TEXT).select("node", "text")
+    texts = found.filter(F.col("kind") == TEXT).select("node", "text")
     sketches = found.filter(F.col("kind") == TEXT).select("node", F.col("place").alias("size"), "sketch")
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
-    keyed = spill(keys.join(heads, "key"), "keyed")
     first = spill(_near(keyed.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head"), sketches, linked), "first")
     links = spill(_direct(_compared(first, texts, tokens, linked)), "links")
     forget(first)
     roots = components.components(links)
 
-    rooted = keyed.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n")
+    rooted = keyed.select("key", "node").join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n"), F.min("node").alias("head")).filter("a < b").select("key", "n", "head")
     pairs = spill(_possible(rooted.join(open_keys, "key"), sketches, linked).filter("node <> head").select("head", "node").distinct(), "pairs")
     forget(keyed)
     if pairs.isEmpty():
@@ -301,14 +326,14 @@ def _near(pairs: DataFrame, sketches: DataFrame, linked: Linked) -> DataFrame:
 
     of_head = sketches.select(F.col("node").alias("head"), F.col("size").alias("n_head"), F.col("sketch").alias("of_head"))
     both = pairs.join(sketches, "node").join(of_head, "head").select("head", "node", "size", "sketch", "n_head", "of_head")
-    return both.mapInArrow(task, "head binary, node binary")
+    return both.mapInArrow(task, "head long, node long")
 
 
-def partners(sizes: np.ndarray, sketches: list[bytes], own: list[bytes], linked: Linked) -> np.ndarray:
+def partners(sizes: np.ndarray, sketches: list[bytes], own: list, linked: Linked) -> np.ndarray:
     """Which nodes may be linked with one of another component: sketches differ in no more bits than sets in tokens."""
     width = min(map(len, sketches))
     x = np.concatenate([_folded([s], width) for s in sketches])
-    _, comp = np.unique(np.array(own, dtype=object), return_inverse=True)
+    comp = np.unique(own, return_inverse=True)[1]
     out = np.zeros(len(sketches), dtype=bool)
     for i in range(len(sketches)):
         bits = np.maximum(np.bitwise_count(x ^ x[i]).sum(1, dtype=np.int64), np.abs(sizes - sizes[i]))
@@ -316,14 +341,14 @@ def partners(sizes: np.ndarray, sketches: list[bytes], own: list[bytes], linked:
     return out
 
 
-def _tested(key: np.ndarray, own: list[bytes], sizes: np.ndarray, sketches: list[bytes], linked: Linked, small: int = 24) -> np.ndarray:
+def _tested(key: np.ndarray, own: list, sizes: np.ndarray, sketches: list[bytes], linked: Linked, small: int = 24) -> np.ndarray:
     """Which of rows sorted by key may be linked with one of another component of the same key."""
     out = np.zeros(len(key), dtype=bool)
     starts = _starts(key)
     count = np.diff(np.append(starts, len(key)))
     for i, n in zip(starts[count > small].tolist(), count[count > small].tolist(), strict=True):
         out[i : i + n] = partners(sizes[i : i + n], sketches[i : i + n], own[i : i + n], linked)
-    comp = np.unique(np.array(own, dtype=object), return_inverse=True)[1]
+    comp = np.unique(own, return_inverse=True)[1]
     end = np.repeat(starts + count, count)
     few = np.repeat(count <= small, count)
     for d in range(1, min(small, int(count.max(initial=0)))):
@@ -356,7 +381,7 @@ def _possible(rows: DataFrame, sketches: DataFrame, linked: Linked, most: int =
         if held is not None and len(held):
             yield from kept(held)
 
-    tested = small.repartition("key").sortWithinPartitions("key").mapInArrow(task, "head binary, node binary")
+    tested = small.repartition("key").sortWithinPartitions("key").mapInArrow(task, "head long, node long")
     return tested.unionByName(rows.filter(F.col("n") > most).select("head", "node"))
 
 
@@ -384,7 +409,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, tokens: Tokens, linked: Linked
 
     blocks = pairs.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = pairs.join(blocks, "head").join(texts, "node").select("head", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "text")
-    met = blocks.join(texts.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("node"), "text")
+    met = blocks.join(texts.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("node"), "text")
     both = asked.unionByName(met).repartition("head", "block").sortWithinPartitions("head", "block", F.col("node").asc_nulls_first())
     return both.select("head", "node", "text").mapInArrow(difference, DIFFERENCE)
 
@@ -411,11 +436,11 @@ def _next_heads(state: DataFrame, large: DataFrame, linked: Linked) -> DataFrame
                 if _linked_delta(linked, np.int64(n), np.int64(m), np.int64(size)):
                     a.append(other)
                     b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     nexts = large.select("head", F.col("next").alias("node")).join(state.select("head", "node", "n_node", "delta"), ["head", "node"])
     nexts = nexts.select("head", F.col("node").alias("other"), F.col("n_node").alias("m"), F.col("delta").alias("theirs"))
-    return state.join(nexts, "head").filter("node <> other").select("node", "n_node", "delta", "other", "m", "theirs").mapInArrow(task, "a binary, b binary")
+    return state.join(nexts, "head").filter("node <> other").select("node", "n_node", "delta", "other", "m", "theirs").mapInArrow(task, "a long, b long")
 
 
 def _exhaust(state: DataFrame, open_: DataFrame, linked: Linked, block: int, block_bytes: int = 6_000_000) -> DataFrame:
@@ -436,12 +461,12 @@ def _exhaust(state: DataFrame, open_: DataFrame, linked: Linked, block: int, blo
 
     def compare(table: pa.Table) -> pa.Table:
         found = forest(*(table.column(c).to_pylist() for c in names), linked)
-        return pa.table({k: pa.array(v, pa.binary()) for k, v in zip("ab", found, strict=True)})
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip("ab", found, strict=True)})
 
-    return asking.select(columns).unionByName(asked.select(columns)).groupBy("head", "x", "y").applyInArrow(compare, "a binary, b binary")
+    return asking.select(columns).unionByName(asked.select(columns)).groupBy("head", "x", "y").applyInArrow(compare, "a long, b long")
 
 
-def forest(nodes: list[bytes], own: list[bytes], sizes: list[int], deltas: list[bytes], asks: list[bool], linked: Linked) -> tuple[list[bytes], list[bytes]]:
+def forest(nodes: list, own: list, sizes: list[int], deltas: list[bytes], asks: list[bool], linked: Linked) -> tuple[list, list]:
     """Links between nodes that ask and nodes that do not, as few as join the components `own`."""
     names = {c: i for i, c in enumerate(dict.fromkeys(own))}
     parent = list(range(len(names)))
