@@ -8,8 +8,12 @@ then compared exactly, and of each component of lines the first stays: of the sm
 then the smallest line number. All others go.
 
 Signatures split the range of one hash into as many bins as rows (one-permutation hashing); empty
-bins take the next full bin's value. Lines of fewer shingles than bins are hashed once for every
-row instead; lines near that size have both kinds of keys, so that similar lines always share one.
+bins take the next full bin's value. Lines of fewer shingles than bins are hashed ROUNDS times, each
+time into a share of the bins; lines near that size have both kinds of keys, so that similar lines
+always share one.
+
+Shingles have nine characters: of five, unrelated lines of a language share so many that candidates
+grow with the square of the corpus (README has figures).
 
 Lines without a word are blank; they are never removed. Null texts stay null and have no lines.
 A null doc_id counts as smaller than every id. Rows of one doc_id are one document: where they
@@ -29,10 +33,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common, similar
 from loomgraph.llm.jaccard import is_linked
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
 #: Lines of few shingles are hashed so many times over, each time into BINS // ROUNDS bins.
-ROUNDS = 6
+ROUNDS = 4
 _SEEDS = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0xFF51AFD7ED558CCD)
@@ -162,7 +166,7 @@ def line_keys(lines: list[str] | list[bytes], width: int, percent: int) -> list[
     signature = _least(h[np.repeat(many, count)], np.repeat(np.arange(len(at), dtype=np.uint64) * np.uint64(BINS), count[at]), len(at), BINS)
     # Which kinds of keys a line must have depends on its distinct shingles, of which lines with many empty bins may have few.
     begin = np.cumsum(count) - count
-    for i in at[((signature != _EMPTY).sum(1) <= BINS * 5 // 6) & (count[at] > edge)]:
+    for i in at[((signature != _EMPTY).sum(1) <= BINS * 7 // 8) & (count[at] > edge)]:
         few[i] = len(np.unique(h[begin[i] : begin[i] + count[i]])) <= edge
     keys: list[np.ndarray | None] = [None] * len(lines)
     for i, x in zip(at.tolist(), _banded(_filled(signature), 2 << 32), strict=True):
@@ -208,7 +212,7 @@ def _sketch(width: int) -> similar.Sketcher:
     return lambda texts: [(len(x), similar.parity(x)) for x in tokens_of(texts, width)]
 
 
-def winners(dealt: DataFrame, size: int, width: int = 5, percent: int = 80) -> DataFrame:
+def winners(dealt: DataFrame, size: int, width: int = 9, percent: int = 80) -> DataFrame:
     """(part, node, doc_id, place): for nodes that occur in several parts or are linked, as met in each part, the line that stays.
 
     dealt: doc_id, text and part, `size` bytes of text in all.
@@ -225,7 +229,7 @@ def winners(dealt: DataFrame, size: int, width: int = 5, percent: int = 80) -> D
     return out
 
 
-def dedupe(docs: DataFrame, width: int = 5, percent: int = 80, drop_empty: bool = False, part_chars: int = 4_000_000) -> DataFrame:
+def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool = False, part_chars: int = 4_000_000) -> DataFrame:
     """The documents, all columns, without the lines that go; with drop_empty, documents that lose all their lines with a word go too.
 
     Columns n_lines and n_removed (of the document's lines) follow unless drop_empty is set, named
@@ -279,7 +283,7 @@ def dedupe(docs: DataFrame, width: int = 5, percent: int = 80, drop_empty: bool
     return result.applyInArrow(task, fields).toDF(*names, *extra)
 
 
-def digest(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def digest(docs: DataFrame, width: int = 9, percent: int = 80) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; a null text as the empty one)."""
     done = dedupe(common.pick(docs, doc_id="long", text="string"), width, percent)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
