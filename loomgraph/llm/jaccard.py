@@ -121,13 +121,10 @@ def _rooted(docs: DataFrame, n: int, percent: int, part_chars: int) -> DataFrame
                 out.keys.append(sketch_keys(tokens, percent))
         return out
 
-    def keys_of(texts: list[bytes]) -> list[np.ndarray]:
-        return [sketch_keys(shingles(t, n), percent) for t in texts]
-
     def sketch(texts: list[bytes]) -> list[tuple[int, bytes]]:
         return [(len(x), similar.parity(_mix(x * _FIRST))) for x in (shingles(t, n) for t in texts)]
 
-    keyed, found = similar.shared_keys(dealt, pack, keys_of, sketch, size // 20, every=True)
+    keyed, found = similar.shared_keys(dealt, pack, None, sketch, size // 20, every=True)
     roots = similar.link(keyed, found, lambda texts: [shingles(t, n) for t in texts], is_linked(percent))
     members = found.filter(F.col("kind") == similar.MEMBER).select("doc_id", F.col("place").cast("long").alias("n_shingles"), "node", "mark")
     return members.join(roots, "node", "left").select("doc_id", "n_shingles", "mark", F.coalesce("root", "node").alias("root"))

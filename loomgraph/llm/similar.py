@@ -54,7 +54,7 @@ class Packed:
     keys: list[np.ndarray] | None = None  # of each node, if it takes its tokens to know the node; else they are made later
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("nodes", pa.binary()), ("members", pa.binary())])
+_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("nodes", pa.binary()), ("members", pa.binary()), ("keys", pa.binary())])
 _SAME = pa.schema([("part", pa.int32()), ("numbers", pa.binary()), ("first", pa.binary())])
 _SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("heads", pa.binary())])
 _KEYED = pa.schema([("key", pa.int64()), ("head", pa.int64()), ("node", pa.int64())])
@@ -110,13 +110,12 @@ def _pack(part: int, packed: Packed, bits: int) -> pa.Table:
     digests = np.frombuffer(joined, "<u8").reshape(-1, 2)
     order = np.argsort(digests[:, 0], kind="stable")
     by_hash = digests[order]
-    rows = [(part, b, by_hash[s].tobytes(), order[s].astype("<u4").tobytes(), None, None) for b, s in _slices(by_hash[:, 0], bits)]
+    rows = [(part, b, by_hash[s].tobytes(), order[s].astype("<u4").tobytes(), None, None, None) for b, s in _slices(by_hash[:, 0], bits)]
     nodes = {"digest": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(packed.nodes), [None, pa.py_buffer(joined)]), "text": pa.array(packed.texts, pa.binary())}
-    if packed.keys is not None:
-        nodes["keys"] = pa.array([k.astype("<u8").tobytes() for k in packed.keys], pa.binary())
+    keys = None if packed.keys is None else _ipc({"keys": pa.array([k.astype("<u8").tobytes() for k in packed.keys], pa.binary())})
     ids, places, at, marks = zip(*packed.members, strict=True) if packed.members else ([], [], [], [])
     members = {"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32()), "at": pa.array(at, pa.int32()), "mark": pa.array(marks, pa.int64())}
-    return _table([*rows, (part, -1, None, None, _ipc(nodes), _ipc(members))], _PACKED)
+    return _table([*rows, (part, -1, None, None, _ipc(nodes), _ipc(members), keys)], _PACKED)
 
 
 def _gathered(table: pa.Table, dtype: str, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,9 +152,9 @@ def _ids(part: int, n: int, same: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(row: dict, same: pa.Table, keys_of: Keys, bits: int) -> pa.Table:
-    """The keys of a part by bucket, and those of several of its nodes."""
-    nodes, part = _unpacked(row["nodes"]), row["part"]
-    n = len(nodes["text"])
+    """The keys of a part by bucket, and those of several of its nodes. row: part, and `keys` or else `nodes`."""
+    nodes, part = _unpacked(row["keys"] if "keys" in row else row["nodes"]), row["part"]
+    n = len(nodes["keys"] if "keys" in nodes else nodes["text"])
     own = np.flatnonzero(_ids(part, n, same)[0] >> 32 == part)
     some = pa.array(own)
     keys = [np.frombuffer(x, "<u8") for x in nodes["keys"].take(some).to_pylist()] if "keys" in nodes else keys_of(nodes["text"].take(some).to_pylist())
@@ -212,8 +211,8 @@ def _collect(row: dict, same: pa.Table, asked: pa.Table, sketch: Sketcher, every
     yield pa.table([*fixed(n, TEXT), pa.nulls(n, pa.int64()), pa.array([x for x, _ in made], pa.int32()), pa.array(ids[sent]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), text, pa.array([x for _, x in made], pa.binary())], schema=_FOUND)
 
 
-def shared_keys(dealt: DataFrame, pack: Callable[[pa.Table], Packed], keys_of: Keys, sketch: Sketcher, keys: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """Two written tables, of rows of `dealt` (a frame with `part`) with about so many keys in all.
+def shared_keys(dealt: DataFrame, pack: Callable[[pa.Table], Packed], keys_of: Keys | None, sketch: Sketcher, keys: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Two written tables, of rows of `dealt` (a frame with `part`) with about so many keys in all. keys_of: None if pack() gives keys.
 
     (key, head, node): nodes of keys that several nodes have, each with a head, at times twice.
     FOUND rows: texts, sizes and parity sketches of these nodes; members of these and of nodes that
@@ -232,11 +231,12 @@ def shared_keys(dealt: DataFrame, pack: Callable[[pa.Table], Packed], keys_of: K
         same, asked = told.filter(pa.compute.is_null(told.column("node"))), told.filter(pa.compute.is_valid(told.column("node")))
         return pa.concat_tables([_FOUND.empty_table(), *(t for row in packed.to_pylist() for t in _collect(row, same, asked, sketch, every))])
 
-    packed = spill(dealt.groupBy("part").applyInArrow(first, "part int, bucket int, hashes binary, numbers binary, nodes binary, members binary"), "packed")
+    packed = spill(dealt.groupBy("part").applyInArrow(first, "part int, bucket int, hashes binary, numbers binary, nodes binary, members binary, keys binary"), "packed")
     digests = packed.filter("bucket >= 0").select("part", "bucket", "hashes", "numbers")
     same = spill(digests.groupBy("bucket").applyInArrow(_match_nodes, "part int, numbers binary, first binary"), "same")
     parts = packed.filter("bucket < 0").select("part", "nodes", "members")
-    sent = parts.select("part", "nodes").groupBy("part").cogroup(same.groupBy("part")).applyInArrow(send, "part int, bucket int, hashes binary, numbers binary, heads binary")
+    signed = packed.filter("bucket < 0").select("part", "nodes" if keys_of else "keys")
+    sent = signed.groupBy("part").cogroup(same.groupBy("part")).applyInArrow(send, "part int, bucket int, hashes binary, numbers binary, heads binary")
     keyed = spill(sent.groupBy("bucket").applyInArrow(_match_keys, "key long, head long, node long"), "keyed")
     asked = keyed.select("node").distinct().select(F.shiftright("node", 32).cast("int").alias("part"), F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("first"), "node")
     told = asked.unionByName(same.withColumn("node", F.lit(None).cast("long")))
