@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import spill
+
 
 def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Adds the sum of `value` over all rows with a smaller key. Keys are unique.
 
-    Rows are dealt by ranges of the key and summed within a range; the sums of the ranges, one
-    row each, are added up on their own.
+    Rows are dealt by ranges of the key and summed within a range, and written; the sums of the
+    ranges, one row each, are added up on their own.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id())
     within = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    dealt = spill(dealt, "dealt")  # read twice; dealing anew could cut other ranges
     ranges = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = ranges.alias("a").join(ranges.alias("b"), F.col("b._range") < F.col("a._range"), "left").groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
     return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

@@ -38,6 +38,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: float
         sent = links.join(scores.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), (F.col("share") * F.col("score")).alias("score"))
         own = start.select("id", F.lit(base).alias("score"))
         scores = sent.unionByName(own).groupBy("id").agg(F.sum("score").alias("score"))
+    scores = spill(scores, "scores")
+    links.unpersist()
+    start.unpersist()
     top = scores.agg(F.max("score")).scalar()
     return scores.select("id", F.when(top > 0, F.round(F.col("score") / top, digits)).otherwise(0.0).alias("rank"))
 

@@ -1,6 +1,7 @@
 """Keyword search over nodes: stems, inverse document frequency, share of the query matched.
 
-Terms are literals, so scoring is one scan; document frequencies are one aggregate row before it.
+Terms are literals. One pass over the nodes marks which terms each holds and is written; document
+frequencies, one aggregate row, and scores read the marks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.sources.shared import spill
 
 
 def query_terms(query: str) -> tuple[list[str], int]:
@@ -34,8 +36,10 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
     terms, stems = query_terms(query)
     if not terms:
         return nodes.limit(0).withColumn("score", F.lit(0.0))
-    texts = nodes.withColumn("_text", node_text(nodes))
-    found = [F.contains("_text", F.lit(t)) for t in terms]
+    # The text is an element of an array, so that its long expression stands in the plan once.
+    marks = F.transform(F.array(node_text(nodes)), lambda x: F.array(*[F.contains(x, F.lit(t)) for t in terms]))[0]
+    texts = spill(nodes.withColumn("_found", marks), "marked")
+    found = [F.col("_found")[i] for i in range(len(terms))]
     counts = texts.agg(F.struct(F.count("*").alias("n"), F.array(*[F.count(F.when(f, 1)) for f in found]).alias("df")).alias("c")).scalar()
     texts = texts.withColumn("_c", counts)
     roots: dict[str, list[int]] = {}
@@ -49,7 +53,7 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
             gain = F.when(found[i], F.log(F.col("_c.n") / df) + 1).otherwise(gain)
         score, matched = score + F.coalesce(gain, F.lit(0.0)), matched + F.when(gain.isNotNull(), 1).otherwise(0)
     scored = texts.withColumns({"score": score * (matched / F.lit(stems)), "_matched": matched})
-    return scored.filter("_matched > 0").drop("_text", "_c", "_matched")
+    return scored.filter("_matched > 0").drop("_found", "_c", "_matched")
 
 
 def label(nodes: DataFrame) -> Column:

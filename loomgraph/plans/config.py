@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -32,8 +33,8 @@ class Config:
 
 def _whole(value) -> int | None:
     """The leading digits of a value, or None."""
-    digits = "".join(c for c in str(value).strip() if c.isdigit()) if value is not None else ""
-    return int(digits) if digits else None
+    found = re.match(r"[0-9]+", str(value).strip()) if value is not None else None
+    return int(found.group()) if found else None
 
 
 def resolve(flags: Mapping | None = None, env: Mapping | None = None, file: str | None = None) -> Config:
