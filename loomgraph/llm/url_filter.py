@@ -125,6 +125,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     judged = judged.withColumn("p", F.coalesce("of_host", "of_domain", "of_suffix", of_all))
     a, b = F.col("p.a"), F.col("p.b")
     judged = judged.select("host", (a / (a + b)).alias("reputation"), (beta_quantile(a, b, z) < floor * (share or 0)).alias("bad"))
+    judged = common.spill(judged, "judged")  # one row a host; so the join below may be split where a host has many pages
 
     out = pages.join(judged, "host", "left")
     rule = F.when(F.col("found").isNotNull(), F.concat("found.host", "found.path"))
