@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -16,15 +17,33 @@ def _graph(spark: SparkSession, path: str):
     return graphs.read_json(spark, path) if os.path.isfile(path) else graphs.read_tables(spark, path)
 
 
+def _names(flag: str) -> list[str]:
+    short, _, name = flag.rpartition(":")
+    return [f"-{short}"] * bool(short) + [f"--{name}"]
+
+
+def _agreed(estimate: dict) -> bool:
+    """Whether the cost is accepted; an end of input is a no."""
+    try:
+        answer = input(f"{_told(estimate)}\nProceed? [Y/n] ")
+    except EOFError:
+        return False
+    return not answer or answer.lower().startswith("y")
+
+
+def _told(estimate: dict) -> str:
+    return f"chunks {estimate['chunks']}, input tokens {estimate['input_tokens']}, estimated cost ${estimate['estimated_cost']:.4f}"
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("loomgraph", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
     run = commands.add_parser("ingest")
     run.add_argument("sources", nargs="*")
-    for flag in ("provider", "model", "api-key", "base-url", "output", "max-concurrent", "chunk-size"):
-        run.add_argument(f"--{flag}")
-    for flag in ("yes", "dry-run", "verbose", "stdin", "rules"):
-        run.add_argument(f"--{flag}", action="store_true")
+    for flag in ("p:provider", "m:model", "k:api-key", "o:output", "base-url", "max-concurrent", "chunk-size"):
+        run.add_argument(*_names(flag))
+    for flag in ("y:yes", "v:verbose", "dry-run", "stdin", "rules"):
+        run.add_argument(*_names(flag), action="store_true")
     commands.add_parser("stats").add_argument("graph")
     find = commands.add_parser("search")
     find.add_argument("graph")
@@ -40,18 +59,23 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    args, unknown = parser().parse_known_args(argv)
+    if args.command == "ingest":  # unknown flags are ignored, words after them are sources
+        args.sources += [word for word in unknown if not word.startswith("-")]
     spark = spark or SparkSession.builder.appName("loomgraph").getOrCreate()
     if args.command == "ingest":
         settings = config.resolve(vars(args))
         call = None if args.rules else model.chat(settings.base_url, settings.api_key, settings.model)
         extractor = extract.RuleExtractor() if args.rules else extract.ModelExtractor(call, concurrent=settings.max_concurrent)
         text = files.from_stdin(spark).first()["content"] if args.stdin or not args.sources else None
-        json_out = settings.output.endswith(".json")
-        done = ingest.ingest(spark, args.sources, extractor, None if json_out else settings.output, settings.chunk_size, settings.model, settings.dry_run, call, text)
-        print(f"chunks {done.estimate['chunks']}, input tokens {done.estimate['input_tokens']}, estimated cost ${done.estimate['estimated_cost']:.4f}")
-        if json_out and not settings.dry_run:
-            print("nodes %d, edges %d" % graphs.write_json(done.nodes, done.edges, settings.output))
+        asked = None if settings.yes or settings.dry_run or args.rules or text is not None else _agreed
+        done = ingest.ingest(spark, args.sources, extractor, settings.output, settings.chunk_size, settings.model, settings.dry_run, call, text, proceed=asked)
+        if asked is None:
+            print(_told(done.estimate))
+        for source, reason in done.failed_sources:
+            print(f"skipped {source}: {reason}", file=sys.stderr)
+        if done.kept or done.cut:
+            print(f"kept {done.kept}, cut {done.cut} noise nodes; nodes {done.nodes.count()}, edges {done.edges.count()}; failed chunks {done.failed_chunks}")
     elif args.command == "stats":
         for row in graph.stats(*_graph(spark, args.graph)).orderBy("what", "count", ascending=[False, False]).toLocalIterator():
             print(f"{row['what']:5} {row['type']:15} {row['count']}")

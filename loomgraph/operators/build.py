@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import dedup
 
-#: Node columns after id, with their types.
+#: Node columns after id, with their types. `extra`: JSON of attributes that have no column, and "null" for columns given as null outright.
 NODE = {
     "type": "string", "name": "string", "entityType": "string", "role": "string", "aliases": "array<string>", "mentions": "bigint", "text": "string",
     "path": "string", "filename": "string", "size": "bigint", "timestamp": "string", "ingestedAt": "string", "summary": "string", "rank": "double",
+    "extra": "map<string,string>",
 }
 #: Node order: run, kind, and the place of the first sight.
 ORD = "struct<run:int,kind:int,file_ord:bigint,chunk_index:int,rank:int,pos:int>"
@@ -37,10 +38,15 @@ def node_ord(kind: Column | int, ord_: Column | None = None, file_ord: Column |
 
 
 def overlay(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes of both; of a shared id, attributes of `new` that are there win, and the place is the old one's."""
+    """Nodes of both; of a shared id, attributes of `new` that are there win, nulls given outright among them, and the place is the old one's."""
     a, b = old.alias("a"), new.alias("b")
     both = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer")
-    return both.select(F.coalesce("a.id", "b.id").alias("id"), *[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in NODE], F.coalesce("a.node_ord", "b.node_ord").alias("node_ord"))
+    none = F.create_map().cast("map<string,string>")
+    before, after = F.coalesce("a.extra", none), F.coalesce("b.extra", none)
+    given = {c: F.when(~F.map_contains_key(after, c), F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}"))) for c in NODE if c != "extra"}
+    filled = F.array(*[F.when(F.col(f"b.{c}").isNotNull(), F.lit(c)) for c in given])
+    extra = F.map_filter(F.map_zip_with(before, after, lambda _, x, y: F.coalesce(y, x)), lambda k, _: F.map_contains_key(after, k) | ~F.coalesce(F.array_contains(filled, k), F.lit(False)))
+    return both.select(F.coalesce("a.id", "b.id").alias("id"), *[v.alias(c) for c, v in given.items()], F.when(F.size(extra) > 0, extra).alias("extra"), F.coalesce("a.node_ord", "b.node_ord").alias("node_ord"))
 
 
 def replace(nodes: DataFrame) -> DataFrame:
@@ -187,6 +193,11 @@ def no_moves(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "id string, to string, first long")
 
 
+def earlier(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of an older graph, placed before those of this run; older runs keep their order."""
+    return rows.withColumn(column, F.col(column).withField("run", F.col(column)["run"] - 1))
+
+
 def build(files: DataFrame, ext: DataFrame, now: str, merges: DataFrame | None = None, part_of: DataFrame | None = None, old: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from files and extractions, over an older graph if there is one. now: a timestamp for the whole run."""
     entities, people, texts = dedup.merge_entities(ext), dedup.merge_people(ext), dedup.merge_texts(ext)
@@ -194,11 +205,11 @@ def build(files: DataFrame, ext: DataFrame, now: str, merges: DataFrame | None =
     if merges is not None:
         entities = apply_remap(entities, moves)
     new = document_nodes(files, now).unionByName(extracted_nodes(entities, people, texts, now))
-    nodes = overlay(old[0], new) if old else new
+    nodes = overlay(earlier(old[0], "node_ord"), new) if old else new
     edges = relationship_edges(dedup.relationships(ext), moves, nodes)
     if part_of is not None:
         edges = edges.unionByName(part_of_edges(part_of, entities, moves, nodes))
     edges = edges.unionByName(co_occurrence_edges(dedup.chunk_nodes(ext), nodes.filter("text is not null"), entities, people, moves, nodes))
     if old:
-        edges = old[1].withColumn("ord", F.col("ord").withField("run", F.lit(-1))).unionByName(edges)
+        edges = earlier(old[1], "ord").unionByName(edges)
     return nodes, unique_edges(edges)

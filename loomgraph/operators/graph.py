@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import build
 from loomgraph.operators.search import label
+from loomgraph.sources.shared import spill
 
 
 def has_node(nodes: DataFrame, id_: str) -> bool:
@@ -34,14 +35,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, id_: str, hops: int = 1) -> DataFrame:
-    """(id, depth) of nodes within so many hops, whichever way edges point. Every hop moves each node it finds once."""
+    """(id, depth) of nodes within so many hops, whichever way edges point. Every hop moves each node it finds once.
+
+    Links and hops are written, so the plan of a hop holds no earlier one; an empty hop ends the walk.
+    """
     spark = nodes.sparkSession
     seen = spark.createDataFrame([(id_, 0)], "id string, depth int")
-    ways = both_ways(edges)
+    ways = spill(both_ways(edges), "ways") if hops > 1 else both_ways(edges)
     frontier = seen
     for depth in range(1, hops + 1):
         reached = ways.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+        if depth < hops:
+            frontier = spill(frontier, "hop")
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen.join(nodes.select("id").distinct(), "id", "left_semi")
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import logging
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.operators import build, chunking, extract, incremental, quality, rank
 from loomgraph.sources import files as sources
@@ -23,40 +26,47 @@ class Result:
     estimate: dict
     failed_sources: list
     failed_chunks: int
+    kept: int = 0
+    cut: int = 0
 
 
-def graph_of(files: DataFrame, ext: DataFrame, now: str, merges: DataFrame | None = None, part_of: DataFrame | None = None, old=None, names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Built, filtered and ranked. The built graph is written once, since the filter reads it several times."""
-    nodes, edges = build.build(files, ext, now, merges, part_of, old)
-    nodes, edges = quality.filter_graph(spill(nodes, "nodes"), spill(edges, "edges"), names)
-    nodes, edges = spill(nodes, "nodes"), spill(edges, "edges")
-    return rank.with_rank(nodes, edges), edges
+def graph_of(files: DataFrame, ext: DataFrame, now: str, merges: DataFrame | None = None, part_of: DataFrame | None = None, old=None, names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int, int]:
+    """Built, filtered and ranked, and how many nodes the filter kept and cut. The built graph is written once, since the filter reads it several times."""
+    nodes, edges = (spill(t, name) for t, name in zip(build.build(files, ext, now, merges, part_of, old), ("nodes", "edges"), strict=True))
+    before = nodes.count()
+    nodes, edges = (spill(t, name) for t, name in zip(quality.filter_graph(nodes, edges, names), ("nodes", "edges"), strict=True))
+    kept = nodes.count()
+    return rank.with_rank(nodes, edges), edges, kept, before - kept
 
 
 def ingest(
     spark: SparkSession, paths: list[str], extractor: extract.Extractor, output: str | None = None, chunk_size: int = 6000, model: str = "", dry_run: bool = False,
-    call=None, text: str | None = None, now: str | None = None, names: tuple[str, ...] = (),
+    call=None, text: str | None = None, now: str | None = None, names: tuple[str, ...] = (), proceed: Callable[[dict], bool] | None = None,
 ) -> Result:
-    """Sources to a graph. output: a folder for nodes/, edges/ and the state; an older graph there is built upon.
+    """Sources to a graph. output: a folder for the graph's tables and the state, or a local .json document with the state beside it; an older graph there is built upon.
 
     call: a language model for consolidation, if wanted. text: content given outright instead of paths.
+    proceed: asked with the estimate before anything is extracted; if it says no, the result is empty.
     """
     now = now or datetime.now(UTC).isoformat()
-    files, failed = (sources.from_text(spark, text), []) if text is not None else sources.read_sources(spark, paths)
+    files, failed = (sources.from_text(spark, text).withColumn("error", F.lit(None).cast("string")), []) if text is not None else sources.read_sources(spark, paths)
+    files = spill(files, "files")
+    failed += [(r["path"], r["error"]) for r in files.filter("error is not null").select("path", "error").toLocalIterator()]
     for source, reason in failed:
         log.warning("skipped %s: %s", source, reason)
-    files = spill(files, "files")
+    files = files.filter("error is null").drop("error")
     chunks = spill(chunking.chunk(files, chunk_size), "chunks")
     state, old = None, None
+    document = output is not None and output.endswith(".json")
     if output:
-        state = incremental.State(f"{output}/processed")
+        state = incremental.State(f"{output}.processed" if document else f"{output}/processed")
         chunks = incremental.unprocessed(chunks, state.read(spark))
-        try:
-            old = graphs.read_tables(spark, output)
-        except Exception:  # noqa: BLE001  a first run
-            old = None
+        if document:
+            old = tuple(spill(t, "old") for t in graphs.read_json(spark, f"file://{os.path.abspath(output)}")) if os.path.exists(output) else None
+        else:
+            old = graphs.read_tables(spark, output) if graphs.stored(spark, output) else None
     cost = incremental.estimate(chunks, model).first().asDict()
-    if dry_run:
+    if dry_run or (proceed is not None and not proceed(cost)):
         return Result(spark.createDataFrame([], "id string"), spark.createDataFrame([], "source string"), cost, failed, 0)
     if isinstance(extractor, extract.ModelExtractor) and extractor.guide is None:
         extractor = extractor.guided(extract.prescan(extractor.call, chunks))
@@ -70,9 +80,10 @@ def ingest(
         merges = spark.createDataFrame(pairs, "ord long, canonical string, alias string")
         part_of = spark.createDataFrame([(i, p["child"], p["parent"]) for i, p in enumerate(found["part_of"])], "ord long, child string, parent string")
     good = ext.filter("error is null")
-    nodes, edges = graph_of(files, good, now, merges, part_of, old, names)
+    nodes, edges, kept, cut = graph_of(files, good, now, merges, part_of, old, names)
+    log.info("filtered: kept %d, cut %d noise nodes", kept, cut)
     if output:
         nodes, edges = spill(nodes, "graph-nodes"), spill(edges, "graph-edges")
-        graphs.write_tables(nodes, edges, output)
+        (graphs.write_json if document else graphs.write_tables)(nodes, edges, output)
         state.append(incremental.processed_now(ext, now))  # after the graph, so a failed run is run again
-    return Result(nodes, edges, cost, failed, ext.filter("error is not null").count())
+    return Result(nodes, edges, cost, failed, ext.filter("error is not null").count(), kept, cut)

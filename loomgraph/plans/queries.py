@@ -298,5 +298,5 @@ def rule_graph(spark, sf_dir):
 
     files = X.text_files(spark, sf_dir)
     ext = spill(extract.extractions(extract.RuleExtractor(), spill(chunking.chunk(files, 1000), "chunks")), "extractions")
-    nodes, _ = graph_of(files, ext, "1970-01-01T00:00:00Z")
+    nodes, *_ = graph_of(files, ext, "1970-01-01T00:00:00Z")
     return nodes.groupBy("type").agg(F.count("*").alias("nodes"), F.round(F.max("rank"), 4).alias("top"))

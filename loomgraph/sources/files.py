@@ -54,47 +54,50 @@ def list_directory(top: str) -> list[str]:
 
 
 def _zip_members(path: str) -> Iterator[tuple[str, str, bytes]]:
-    try:
-        with zipfile.ZipFile(path) as archive:
-            for info in sorted(archive.infolist(), key=lambda i: i.filename):
-                parts = info.filename.split("/")
-                if info.is_dir() or any(p.startswith(".") or p == "__MACOSX" for p in parts) or not is_text_file(parts[-1]):
-                    continue
-                yield f"{path}!/{info.filename}", parts[-1], archive.read(info)
-    except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError):
-        return
+    with zipfile.ZipFile(path) as archive:
+        for info in sorted(archive.infolist(), key=lambda i: i.filename):
+            parts = info.filename.split("/")
+            if info.is_dir() or any(p.startswith(".") or p == "__MACOSX" for p in parts) or not is_text_file(parts[-1]):
+                continue
+            yield f"{path}!/{info.filename}", parts[-1], archive.read(info)
 
 
 def _rows(path: str, ord_: int) -> Iterator[tuple]:
-    """file_ord leaves room for the members of an archive."""
-    if path.endswith(".zip"):
-        for i, (inner, name, raw) in enumerate(_zip_members(path)):
-            yield _row(inner, name, raw, ord_ + i)
-        return
+    """A row for each file or member, and one with the reason where reading ends early. file_ord leaves room for members."""
     try:
-        with open(path, "rb") as file:
-            raw = file.read()
-    except OSError:
-        return
-    yield _row(path, os.path.basename(path), raw, ord_)
+        if path.endswith(".zip"):
+            for i, (inner, name, raw) in enumerate(_zip_members(path)):
+                yield _row(inner, name, raw, ord_ + i)
+        else:
+            with open(path, "rb") as file:
+                raw = file.read()
+            yield _row(path, os.path.basename(path), raw, ord_)
+    except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError) as error:
+        yield path, os.path.basename(path), None, "", 0, ord_, str(error) or type(error).__name__
 
 
 def _row(path: str, name: str, raw: bytes, ord_: int) -> tuple:
     content = raw.decode("utf-8", "replace")
-    return path, name, content, extension(name), len(content.encode()), ord_
+    return path, name, content, extension(name), len(content.encode()), ord_, None
 
 
-def read_paths(spark: SparkSession, paths: list[str], per_task: int = 200) -> DataFrame:
-    """The listed files, read in tasks of some hundred. Files that cannot be read are left out."""
+def attempts(spark: SparkSession, paths: list[str], per_task: int = 200) -> DataFrame:
+    """The listed files, read in tasks of some hundred, with `error`: null, or why a file could not be read (whole)."""
     listed = spark.createDataFrame([(p, i << 20) for i, p in enumerate(paths)], "path string, ord long")
+    schema = f"{SCHEMA}, error string"
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
         for frame in frames:
             for path, ord_ in zip(frame["path"], frame["ord"], strict=True):
                 yield pd.DataFrame(_rows(path, int(ord_)), columns=names)
 
-    return listed.repartition(max(1, -(-len(paths) // per_task))).mapInPandas(task, SCHEMA)
+    return listed.repartition(max(1, -(-len(paths) // per_task))).mapInPandas(task, schema)
+
+
+def read_paths(spark: SparkSession, paths: list[str], per_task: int = 200) -> DataFrame:
+    """attempts() that went well. Files that cannot be read are left out."""
+    return attempts(spark, paths, per_task).filter("error is null").drop("error")
 
 
 def read_remote(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +124,7 @@ def _there(path: str) -> str:
 
 
 def read_sources(spark: SparkSession, sources: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """All sources in order, and (source, reason) of those that failed."""
+    """All sources in order, with the `error` of files that could not be read, and (source, reason) of sources that are not there."""
     paths, failed, remote = [], [], []
     for source in sources:
         try:
@@ -131,9 +134,9 @@ def read_sources(spark: SparkSession, sources: list[str]) -> tuple[DataFrame, li
                 paths += list_directory(source) if os.path.isdir(source) else [_there(source)]
         except Exception as error:  # noqa: BLE001
             failed.append((source, str(error)))
-    out = read_paths(spark, paths)
+    out = attempts(spark, paths)
     for rows in remote:
-        out = out.unionByName(rows)
+        out = out.unionByName(rows.withColumn("error", F.lit(None).cast("string")))
     return out, failed
 
 

@@ -25,12 +25,12 @@ def read(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     content = F.make_valid_utf8(F.col("content").cast("string"))
     rows = raw.select("path", name.alias("filename"), content.alias("content"), F.lower(F.regexp_extract(name, r"^\.*[^.].*(\.[^.]*)\z", 1)).alias("ext"), "length", "modificationTime")
-    rows = rows.filter(F.col("ext").isin(*sorted(TEXT_EXTENSIONS)) | (F.col("ext") == ""))
+    rows = rows.filter(F.col("ext").isin(*sorted(TEXT_EXTENSIONS)) | (F.col("ext") == "")).filter(~F.col("filename").startswith(".") & ~F.col("path").contains("/node_modules/"))
     return rows.select("path", "filename", "content", "ext", F.col("length").alias("size"), F.xxhash64("path").alias("file_ord"), "modificationTime")
 
 
 def start(stream: DataFrame, extractor: extract.Extractor, output: str, checkpoint: str, chunk_size: int = 6000, names: tuple[str, ...] = (), **trigger) -> StreamingQuery:
-    """Run the stream into the graph at `output` (nodes/, edges/, processed/)."""
+    """Run the stream into the graph at `output` (versions of nodes/ and edges/, processed/)."""
 
     def batch(files: DataFrame, number: int) -> None:
         spark = files.sparkSession
@@ -40,12 +40,9 @@ def start(stream: DataFrame, extractor: extract.Extractor, output: str, checkpoi
         ext = spill(extract.extractions(extractor, chunks), "stream-extractions")
         if ext.isEmpty():
             return
-        try:
-            old = graphs.read_tables(spark, output)
-        except Exception:  # noqa: BLE001  the first batch
-            old = None
+        old = graphs.read_tables(spark, output) if graphs.stored(spark, output) else None
         now = str(number)
-        nodes, edges = graph_of(files, ext.filter("error is null"), now, old=old, names=names)
+        nodes, edges, *_ = graph_of(files, ext.filter("error is null"), now, old=old, names=names)
         graphs.write_tables(spill(nodes, "stream-nodes"), spill(edges, "stream-edges"), output)
         state.append(incremental.processed_now(ext, now))
 

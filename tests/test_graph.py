@@ -158,6 +158,8 @@ def test_files(spark, tmp_path):
     assert rows["a[1].md"]["content"] == "﻿bom\r\nx" and rows["LICENSE"]["content"] == "bad � byte"
     assert {r["path"].rsplit("!", 1)[1] for r in files.read_source(spark, str(tmp_path / "z.zip")).collect()} == {"/in/a.txt", "/node_modules/d.txt"}
     assert files.read_source(spark, str(tmp_path / "broken.zip")).count() == 0
+    tried = files.attempts(spark, [str(tmp_path / "broken.zip"), str(tmp_path / "gone.txt"), str(tmp_path / "_x.txt")]).collect()
+    assert {r["filename"]: r["error"] is None for r in tried} == {"broken.zip": False, "gone.txt": False, "_x.txt": True}
     assert files.read_source(spark, str(tmp_path / "pic.png")).count() == 1
     found, failed = files.read_sources(spark, [str(tmp_path / "_x.txt"), "/no/such/file"])
     assert found.count() == 1 and [s for s, _ in failed] == ["/no/such/file"]
@@ -256,6 +258,59 @@ def test_ingest_twice(spark, tmp_path):
     assert cli.main(["stats", out], spark) == 0 and cli.main(["search", out, "quartz"], spark) == 0
 
 
+def test_unknown_attributes_and_nulls(spark, tmp_path):
+    """Attributes without a column survive import, overlay and export; a null given outright wins over a value."""
+    a = [{"id": "x", "name": "X", "summary": "old", "score": 1.5, "tags": ["a", {"b": None}]}, {"id": "y", "name": "Y", "odd": "3"}, {"id": "u", "summary": None}]
+    b = [{"id": "x", "summary": None, "score": 2, "more": True}, {"id": "y", "odd": 3}, {"id": "u", "summary": "told"}]
+    for name, found in (("a", a), ("b", b)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"nodes": found, "edges": []}))
+    read = lambda name: graphs.read_json(spark, str(tmp_path / f"{name}.json"))
+    written = lambda g, name: (graphs.write_json(*g, str(tmp_path / name)), {n["id"]: n for n in json.loads((tmp_path / name).read_text())["nodes"]})[1]
+    assert written(read("a"), "again.json") == {n["id"]: n for n in a}
+    both = written(graph.merge(read("a"), read("b")), "both.json")
+    assert both == {n["id"]: n | m for n, m in zip(a, b, strict=True)}
+
+
+def test_stored_versions(spark, tmp_path):
+    """A version without its marker does not count, and an error in reading is no first run."""
+    nodes, edges = small(spark)
+    out = str(tmp_path / "g")
+    assert not graphs.stored(spark, out)
+    with pytest.raises(FileNotFoundError):
+        graphs.read_tables(spark, out)
+    graphs.write_tables(nodes, edges, out)
+    graphs.write_tables(nodes.filter("id = 'n1'"), edges, out)
+    assert graphs.read_tables(spark, out)[0].count() == 1
+    (tmp_path / "g" / "v2" / "_COMPLETE").unlink()
+    assert graphs.read_tables(spark, out)[0].count() == 3
+    for n in (1, 2, 3):
+        graphs.write_tables(nodes.limit(n), edges, out)
+        assert graphs.read_tables(spark, out)[0].count() == n
+    assert len([p for p in (tmp_path / "g").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_json_output_is_built_upon(spark, tmp_path, capsys, monkeypatch):
+    source, out = tmp_path / "in", str(tmp_path / "out" / "g.json")
+    source.mkdir()
+    (source / "a.txt").write_text("Zephyr meets Quartz and Marble at the harbour every morning.\n\nZephyr likes Quartz, and Quartz likes Marble very much.")
+    assert cli.main(["ingest", str(source), "--rules", "--no-such-flag", "-o", out], spark) == 0
+    first = json.loads(open(out).read())
+    first["nodes"][0]["odd"] = [1]
+    open(out, "w").write(json.dumps(first))
+    (source / "b.txt").write_text("Quartz and Zephyr and Marble agreed to build a lighthouse together.")
+    (source / "c.zip").write_text("no zip")
+    capsys.readouterr()
+    assert cli.main(["ingest", str(source), str(source / "c.zip"), "--rules", "-y", "--output", out], spark) == 0
+    told = capsys.readouterr()
+    assert "chunks 1," in told.out and "kept" in told.out and "skipped" in told.err and "c.zip" in told.err
+    second = {n["id"]: n for n in json.loads(open(out).read())["nodes"]}
+    assert {n["id"] for n in first["nodes"]} < set(second) and second[first["nodes"][0]["id"]]["odd"] == [1]
+    before = open(out).read()
+    (source / "d.txt").write_text("Something else.")
+    monkeypatch.setattr("builtins.input", lambda text: "no")
+    assert cli.main(["ingest", str(source), "--output", out], spark) == 0 and open(out).read() == before
+
+
 def test_stream(spark, tmp_path):
     from loomgraph.streaming import ingest as stream
 
