@@ -46,8 +46,9 @@ def lenient_json(raw: Column) -> Column:
 
 
 def parse_answer(raw: Column) -> Column:
-    """A model's answer as ANSWER; null if it is no JSON object. Texts that are no strings keep their JSON form."""
-    return F.from_json(lenient_json(raw), ANSWER, {"mode": "PERMISSIVE"})
+    """A model's answer as ANSWER; null if it is no JSON, or names a key of one object twice. Texts that are no strings keep their JSON form."""
+    bare = lenient_json(raw)
+    return F.when(F.try_parse_json(bare).isNotNull(), F.from_json(bare, ANSWER, {"mode": "PERMISSIVE"}))
 
 
 class RuleExtractor:

@@ -31,6 +31,28 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(*_file(F.concat(L("docs/"), "doc_id", L(".md")), content, ".md", S("doc_id")))
 
 
+def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per document: a preamble and one section, its lines as paragraphs. Number signs go, so that no line opens another."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.concat(L("About "), "source", L("\n# Text of "), "doc_id", L("\n"), F.replace(F.replace("text", L("#"), L("")), L("\n"), L("\n\n")))
+    return docs.select(*_file(F.concat(L("docs/"), "doc_id", L(".md")), content, ".md", S("doc_id")))
+
+
+def silent_chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files after three dated lines that nobody sent."""
+    return text_files(spark, sf_dir).withColumn("content", F.concat(L("1/2/24, 10:00\n\n" * 3), "content"))
+
+
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer for most documents, by what their hash begins with: plain, fenced, with words around it, none, or no JSON."""
+    key = F.sha2("text", 256)
+    answer = F.concat(L('{"entities": [{"name": "E'), F.left(key, L(3)), L('", "type": "tool"}], "facts": ["About '), F.left(key, L(8)), L('"]}'))
+    first = F.left(key, L(1))
+    form = F.when(first < "4", answer).when(first < "8", F.concat(L("```json\n"), answer, L("\n```"))).when(first < "c", F.concat(L("Here it is: "), answer, L(" That is all."))).when(first < "e", L("I cannot"))
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select(key.alias("content_hash"), form.alias("answer"), F.length("text").cast("long").alias("usage_tokens"))
+    return rows.filter("answer is not null").distinct()
+
+
 def csv_files(spark: SparkSession, sf_dir: str, rows: int = 500) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("f", F.floor(S("p_partkey") / rows))
     line = F.concat_ws(",", "p_partkey", "p_name", "p_brand", "p_type", "p_size")

@@ -125,9 +125,9 @@ FROM s WHERE text <> ''
 """
 
 
-def _packed(limit: int) -> str:
+def _packed(limit: int, source: str = "documents") -> str:
     return rf"""
-lines AS (SELECT doc_id, {_TRIM.format('line')} AS p, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+lines AS (SELECT doc_id, {_TRIM.format('line')} AS p, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {source})),
 p AS (SELECT doc_id, p, length(p) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM lines WHERE p <> ''),
 walk AS (
   SELECT doc_id, i, i AS a, CAST(ceil(size / 4.0) AS BIGINT) AS tokens, size, 0 AS before, 0 AS chunk, CAST(NULL AS BIGINT) AS emitted_from FROM p WHERE i = 1
@@ -149,6 +149,45 @@ SQL["paragraph_chunks"] = f"""
 WITH RECURSIVE {_packed(200)}
 SELECT 'docs/' || doc_id || '.txt' AS source, CAST(k AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks, sha256(text) AS content_hash FROM kept
 """
+SQL["json_fallback"] = SQL["paragraph_chunks"]
+SQL["chat_fallback"] = f"""
+WITH RECURSIVE {_packed(200, "(SELECT doc_id, repeat('1/2/24, 10:00' || chr(10), 3) || text AS text FROM documents)")}
+SELECT 'docs/' || doc_id || '.txt' AS source, CAST(k AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks, sha256(text) AS content_hash FROM kept
+"""
+_PLAIN = "(SELECT doc_id, replace(text, '#', '') AS text FROM documents)"
+SQL["section_parts"] = f"""
+WITH RECURSIVE {_packed(200, _PLAIN)},
+whole AS (SELECT doc_id, {_TRIM.format("replace(text, chr(10), chr(10) || chr(10))")} AS text FROM {_PLAIN}),
+parts AS (
+  SELECT doc_id, -1 AS k, 'About ' || source AS text FROM documents
+  UNION ALL SELECT doc_id, 0, text FROM whole WHERE text <> '' AND {_tokens('text')} <= 200
+  UNION ALL SELECT doc_id, k, text FROM kept WHERE doc_id IN (SELECT doc_id FROM whole WHERE {_tokens('text')} > 200)
+)
+SELECT 'docs/' || doc_id || '.md' AS source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks,
+  CASE WHEN k < 0 THEN '' ELSE 'Text of ' || doc_id END AS heading, sha256(text) AS content_hash FROM parts
+"""
+SQL["chat_times"] = "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN (epoch_us(ts) // 1000000) * 1000 END AS millis FROM events"
+SQL["chunk_prompts"] = """
+SELECT doc_id, sha256(CASE WHEN doc_id % 4 > 0 THEN '[Context: part ' || doc_id % 4 || ']' || chr(10) ELSE '' END || '[Source: docs/' || doc_id || '.txt]' || chr(10) || chr(10) || text) AS prompt FROM documents
+"""
+SQL["replayed_answers"] = """
+SELECT doc_id, CASE WHEN ok THEN 'E' || left(h, 3) END AS entity, CASE WHEN ok THEN 'About ' || left(h, 8) END AS fact, CASE WHEN coalesce(left(h, 1) < 'e', false) THEN length(text) ELSE 0 END AS usage_tokens, NOT ok AS failed
+FROM (SELECT *, coalesce(left(h, 1) < 'c', false) AS ok FROM (SELECT doc_id, text, sha256(text) AS h FROM documents))
+"""
+SQL["processed_rows"] = "SELECT sha256(text) AS content_hash, 'now' AS extracted_at, max(length(text)) AS tokens FROM documents WHERE left(sha256(text), 1) < 'c' GROUP BY 1"
+SQL["document_nodes"] = """
+SELECT 'document:' || left(sha256('docs/' || doc_id || '.txt'), 12) AS id, 'document' AS type, 'docs/' || doc_id || '.txt' AS path, doc_id || '.txt' AS filename, strlen(replace(text, chr(10), chr(10) || chr(10))) AS size, 'now' AS "ingestedAt" FROM documents
+"""
+SQL["upserted_nodes"] = """
+WITH p AS (SELECT c_custkey AS k, 'customer:' || c_custkey AS id, c_name AS name, c_mktsegment AS role FROM customer),
+n AS (
+  SELECT CASE WHEN k % 5 = 0 THEN id || '-new' ELSE id END AS id, CASE WHEN k % 2 = 0 THEN lower(role) END AS role, k % 3 = 0 AS nameless, CASE WHEN k % 3 = 0 THEN CAST(k AS VARCHAR) END AS odd
+  FROM p WHERE k % 2 = 0 OR k % 3 = 0
+)
+SELECT coalesce(p.id, n.id) AS id, CASE WHEN NOT coalesce(n.nameless, false) THEN p.name END AS name, coalesce(n.role, p.role) AS role, CASE WHEN n.id IS NOT NULL THEN 'told again' END AS summary, n.odd
+FROM p FULL JOIN n ON n.id = p.id
+"""
+SQL["node_lookup"] = "SELECT 'supplier:' || s_suppkey AS id, 'entity' AS type, s_name AS name FROM supplier WHERE s_suppkey = 3"
 SQL["chunk_totals"] = f"""
 WITH RECURSIVE {_packed(6000)}
 SELECT 'docs/' || doc_id || '.txt' AS source, count(*) AS chunks, CAST(sum({_tokens('text')}) AS BIGINT) AS tokens FROM kept GROUP BY doc_id
@@ -192,6 +231,10 @@ SELECT eid AS id, name, type, aliases, mentions, first_order FROM entities JOIN
 SQL["person_merge"] = f"""
 WITH {_EXT} SELECT pid AS id, arg_min(c_name, o) AS name, arg_min(c_mktsegment, o) AS role, count(*) AS mentions FROM items WHERE i = 1 GROUP BY pid
 """
+SQL["frustration_merge"] = f"""
+WITH {_EXT}, f AS (SELECT o, replace(text, ' prefers ', ' lacks ') AS text FROM texts WHERE kind = 'preference')
+SELECT {_cid("'frustration'", 'left(text, 60)')} AS id, arg_max(text, o) AS text, min(o) AS first_order FROM f GROUP BY 1
+"""
 SQL["text_merge"] = f"WITH {_EXT} SELECT id, kind, text, first_order FROM merged_texts"
 SQL["relationship_edges"] = f"WITH {_EXT} SELECT DISTINCT pid AS source, eid AS target, 'BOUGHT' AS type FROM every_item WHERE i <= 10 AND eid IN (SELECT eid FROM entities)"
 SQL["chunk_nodes"] = f"""
@@ -278,6 +321,7 @@ facts AS (
 ),
 kept AS (SELECT id FROM core UNION ALL SELECT id FROM facts)"""
 SQL["filtered_nodes"] = f"WITH {_KEPT} SELECT id, type FROM nodes WHERE id IN (SELECT id FROM kept)"
+SQL["filter_counts"] = f"WITH {_KEPT} SELECT count(*) FILTER (id IN (SELECT id FROM kept)) AS kept, count(*) FILTER (id NOT IN (SELECT id FROM kept)) AS cut FROM nodes"
 SQL["filtered_edges"] = f"WITH {_KEPT} SELECT source, target, type, coalesce(weight, 1) AS weight FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)"
 
 

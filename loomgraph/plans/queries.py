@@ -291,6 +291,93 @@ def dot_export(spark, sf_dir):
     return graphs.dot_lines(places, build.existing(edges, places))
 
 
+@query
+def chat_times(spark, sf_dir):
+    """Times of events as chat lines: half days, seconds, and dates and hours that there are none of."""
+    at = F.col("ts").cast("timestamp_ntz")
+    form = F.col("event_id") % 4
+    line = F.when(form == 0, F.date_format(at, "M/d/yyyy, h:mm:ss a")).when(form == 1, F.concat(F.lit("["), F.date_format(at, "M/d/yy, HH:mm:ss"), F.lit("]"))).when(form == 2, F.date_format(at, "'13/45/'yy, H:mm")).otherwise(F.date_format(at, "M/d/yy, '13':mm 'PM'"))
+    return X.table(spark, sf_dir, "events").select("event_id", T.chat_millis(F.concat(line, F.lit(" - Ada: text"))).alias("millis"))
+
+
+@query
+def section_parts(spark, sf_dir):
+    """Sections above the limit are packed as paragraphs under their heading."""
+    return chunking.chunk(X.section_files(spark, sf_dir), 200).select("source", "chunk_index", "total_chunks", "heading", "content_hash")
+
+
+@query
+def json_fallback(spark, sf_dir):
+    """Files that are JSON by name alone."""
+    return chunking.chunk(X.text_files(spark, sf_dir).withColumn("ext", F.lit(".json")), 200).select("source", "chunk_index", "total_chunks", "content_hash")
+
+
+@query
+def chat_fallback(spark, sf_dir):
+    """Files that look like chats, without a message."""
+    return chunking.chunk(X.silent_chat_files(spark, sf_dir), 200).select("source", "chunk_index", "total_chunks", "content_hash")
+
+
+@query
+def chunk_prompts(spark, sf_dir):
+    """What a model is asked about each document, its language as heading; none for a quarter of them."""
+    heading = F.when(F.col("file_ord") % 4 > 0, F.concat(F.lit("part "), F.col("file_ord") % 4)).otherwise("")
+    return X.document_chunks(spark, sf_dir).withColumn("heading", heading).select(F.col("file_ord").alias("doc_id"), F.sha2(extract.user_prompt(), 256).alias("prompt"))
+
+
+@query
+def replayed_answers(spark, sf_dir):
+    """Stored answers read leniently; chunks without a usable one fail alone."""
+    ext = extract.extractions(extract.ReplayExtractor(X.stored_answers(spark, sf_dir)), X.document_chunks(spark, sf_dir))
+    return ext.select(F.col("ext_ord.file_ord").alias("doc_id"), F.get("entities", F.lit(0))["name"].alias("entity"), F.get("facts", F.lit(0)).alias("fact"), "usage_tokens", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def processed_rows(spark, sf_dir):
+    """What the state of a run of replayed_answers() would hold."""
+    ext = extract.extractions(extract.ReplayExtractor(X.stored_answers(spark, sf_dir)), X.document_chunks(spark, sf_dir))
+    return incremental.processed_now(ext, "now").select("content_hash", "extracted_at", "tokens")
+
+
+@query
+def frustration_merge(spark, sf_dir):
+    ext = X.order_extractions(spark, sf_dir)
+    ext = ext.withColumn("frustrations", F.transform("preferences", lambda p: F.replace(p, F.lit(" prefers "), F.lit(" lacks "))))
+    return dedup.merge_texts(ext).filter("kind = 'frustration'").select("id", "text", F.col("ord.ext_ord.file_ord").alias("first_order"))
+
+
+@query
+def document_nodes(spark, sf_dir):
+    return build.document_nodes(X.text_files(spark, sf_dir), "now").select("id", "type", "path", "filename", "size", "ingestedAt")
+
+
+@query
+def upserted_nodes(spark, sf_dir):
+    """Customers over customers: every second with another role, every third with a name given as null, some that are new."""
+    people = X.graph(spark, sf_dir)[0].filter("type = 'person'")
+    key = F.substring_index("id", ":", -1).cast("long")
+    some = people.filter((key % 2 == 0) | (key % 3 == 0))
+    new = some.withColumns({
+        "id": F.when(key % 5 == 0, F.concat("id", F.lit("-new"))).otherwise(F.col("id")), "role": F.when(key % 2 == 0, F.lower("role")), "name": F.lit(None).cast("string"),
+        "summary": F.lit("told again"), "extra": F.when(key % 3 == 0, F.create_map(F.lit("name"), F.lit("null"), F.lit("odd"), key.cast("string"))),
+    })
+    return build.overlay(people, new).select("id", "name", "role", "summary", F.col("extra")["odd"].alias("odd"))
+
+
+@query
+def node_lookup(spark, sf_dir):
+    nodes = X.graph(spark, sf_dir)[0]
+    return graph.node(nodes, "supplier:3").select("id", "type", "name")
+
+
+@query
+def filter_counts(spark, sf_dir):
+    """How many nodes the filter keeps and cuts."""
+    nodes, edges = X.graph(spark, sf_dir)
+    kept = quality.filter_graph(nodes, edges)[0].agg(F.count("*").alias("kept"))
+    return kept.withColumn("cut", nodes.agg(F.count("*")).scalar() - F.col("kept"))
+
+
 @query
 def rule_graph(spark, sf_dir):
     """Text files to a filtered, ranked graph by the rule extractor; per node type, how many are left."""
