@@ -15,8 +15,8 @@ operator's keys promise). The search never forms the pairs of a group:
    texts are read again and their sets compared exactly. What is linked so far forms components.
 4. Keys whose nodes are in one component are done. Of the others, nodes whose parity sketch differs
    from that of every node of the key in more bits than linked sets differ in tokens are done too
-   (keys with more nodes than `most` skip this test). Every node left is compared with the key's
-   least node in the same way, and the difference of the two sets is kept.
+   (nodes of keys with more than `most` are tested block by block). Every node left is compared with
+   the key's least node in the same way, and the difference of the two sets is kept.
 5. Where such a head still has nodes that are not in one component with it, two of its nodes x and y
    may be similar all the same. The symmetric difference of x and y is that of their differences
    from the head, so they are compared exactly without their texts: first with the least such node
@@ -24,9 +24,9 @@ operator's keys promise). The search never forms the pairs of a group:
    components, in blocks of bounded size. A block emits a spanning forest of its links.
 
 So no link is lost between nodes that share a key. A head may have any share of all nodes: it is
-met by blocks of them, each of which reads the head's text once. Work beyond linear is spent only on
-nodes of one head that are similar to it yet not linked; it grows with the square of their number
-over `block`.
+met by blocks of them, each of which reads the head's text once. Work beyond linear is spent on
+nodes of one head that are similar to it yet not linked, growing with the square of their number
+over `block`, and on the sketches of nodes of one key in several components: all pairs are tested.
 """
 
 from __future__ import annotations
@@ -99,6 +99,27 @@ def _table(rows: list[tuple], types: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
 
+def _shortened(keys: np.ndarray, bits: int) -> bytes:
+    """Keys without the low bytes that no bucket sees."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : min(8, (bits + 39) // 8)].tobytes()
+
+
+def _lengthened(data: bytes, bits: int) -> np.ndarray:
+    width = min(8, (bits + 39) // 8)
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _narrow(numbers: np.ndarray, n: int) -> bytes:
+    """Numbers below n; _wide() reads them."""
+    return numbers.astype("<u2" if n <= 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * count else "<u4").astype(np.int64)
+
+
 def _starts(v: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
@@ -110,9 +131,9 @@ def _pack(part: int, packed: Packed, bits: int) -> pa.Table:
     digests = np.frombuffer(joined, "<u8").reshape(-1, 2)
     order = np.argsort(digests[:, 0], kind="stable")
     by_hash = digests[order]
-    rows = [(part, b, by_hash[s].tobytes(), order[s].astype("<u4").tobytes(), None, None, None) for b, s in _slices(by_hash[:, 0], bits)]
+    rows = [(part, b, by_hash[s].tobytes(), _narrow(order[s], len(order)), None, None, None) for b, s in _slices(by_hash[:, 0], bits)]
     nodes = {"digest": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(packed.nodes), [None, pa.py_buffer(joined)]), "text": pa.array(packed.texts, pa.binary())}
-    keys = None if packed.keys is None else _ipc({"keys": pa.array([k.astype("<u8").tobytes() for k in packed.keys], pa.binary())})
+    keys = None if packed.keys is None else _ipc({"keys": pa.array([_shortened(k, bits) for k in packed.keys], pa.binary())})
     ids, places, at, marks = zip(*packed.members, strict=True) if packed.members else ([], [], [], [])
     members = {"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32()), "at": pa.array(at, pa.int32()), "mark": pa.array(marks, pa.int64())}
     return _table([*rows, (part, -1, None, None, _ipc(nodes), _ipc(members), keys)], _PACKED)
@@ -122,7 +143,7 @@ def _gathered(table: pa.Table, dtype: str, width: int = 1) -> tuple[np.ndarray,
     """Hashes, parts and numbers of all entries of a bucket, and the id of each."""
     arrays = [np.frombuffer(x, dtype).reshape(-1, width) for x in table.column("hashes").to_pylist()]
     part = np.repeat(table.column("part").to_numpy().astype(np.int64), [len(a) for a in arrays])
-    number = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("numbers").to_pylist()]).astype(np.int64)
+    number = np.concatenate([_wide(x, len(a)) for x, a in zip(table.column("numbers").to_pylist(), arrays, strict=True)])
     return np.concatenate(arrays), part, number
 
 
@@ -157,7 +178,7 @@ def _send(row: dict, same: pa.Table, keys_of: Keys, bits: int) -> pa.Table:
     n = len(nodes["keys"] if "keys" in nodes else nodes["text"])
     own = np.flatnonzero(_ids(part, n, same)[0] >> 32 == part)
     some = pa.array(own)
-    keys = [np.frombuffer(x, "<u8") for x in nodes["keys"].take(some).to_pylist()] if "keys" in nodes else keys_of(nodes["text"].take(some).to_pylist())
+    keys = [_lengthened(x, bits) for x in nodes["keys"].take(some).to_pylist()] if "keys" in nodes else keys_of(nodes["text"].take(some).to_pylist())
     number = np.repeat(own, [len(k) for k in keys]).astype("<u4")
     keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     order = np.argsort(keys, kind="stable")  # numbers ascend, so the first is the least
@@ -166,7 +187,7 @@ def _send(row: dict, same: pa.Table, keys_of: Keys, bits: int) -> pa.Table:
     bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)).astype(np.int64)
     short = bucket << 32 | cut  # what a bucket tells apart
     starts = _starts(short)
-    rows = [(part, b, cut[starts][s].tobytes(), number[starts][s].tobytes(), None) for b, s in _slices(keys[starts], bits)]
+    rows = [(part, b, cut[starts][s].tobytes(), _narrow(number[starts][s], n), None) for b, s in _slices(keys[starts], bits)]
     count = np.diff(np.append(starts, len(keys)))
     several = np.repeat(count > 1, count)
     if several.any():
@@ -329,15 +350,32 @@ def _near(pairs: DataFrame, sketches: DataFrame, linked: Linked) -> DataFrame:
     return both.mapInArrow(task, "head long, node long")
 
 
-def partners(sizes: np.ndarray, sketches: list[bytes], own: list, linked: Linked) -> np.ndarray:
-    """Which nodes may be linked with one of another component: sketches differ in no more bits than sets in tokens."""
+def partners(sizes: np.ndarray, sketches: list[bytes], own: list, linked: Linked, second: np.ndarray | None = None) -> np.ndarray:
+    """Which nodes may be linked with one of another component: sketches differ in no more bits than sets in tokens.
+
+    second: nodes of a second block; then only pairs of a node of it and one of the others count.
+    """
     width = min(map(len, sketches))
-    x = np.concatenate([_folded([s], width) for s in sketches])
+    x = np.concatenate([_folded([s], width) for s in sketches]).view(np.uint64)
+    short = x if width <= 64 else np.bitwise_xor.reduce(x.reshape(len(x), -1, max(64, width // 4) // 8), axis=1)
     comp = np.unique(own, return_inverse=True)[1]
     out = np.zeros(len(sketches), dtype=bool)
-    for i in range(len(sketches)):
-        bits = np.maximum(np.bitwise_count(x ^ x[i]).sum(1, dtype=np.int64), np.abs(sizes - sizes[i]))
-        out[i] = (_linked_delta(linked, sizes, sizes[i], bits) & (comp != comp[i])).any()
+    order = np.arange(len(x)) if second is None else np.argsort(second, kind="stable")
+    x, short, comp, sizes, found = x[order], short[order], comp[order], sizes[order], out[order]
+    begin = len(x) if second is None else int(len(x) - np.count_nonzero(second))
+
+    def good(i: int, at: np.ndarray | slice, of: np.ndarray) -> np.ndarray:
+        bits = np.maximum(np.bitwise_count(of[at] ^ of[i]).sum(1, dtype=np.int64), np.abs(sizes[at] - sizes[i]))
+        return _linked_delta(linked, sizes[at], sizes[i], bits) & (comp[at] != comp[i])
+
+    for i in range(begin):
+        start = i + 1 if second is None else begin
+        at = start + np.flatnonzero(good(i, slice(start, None), short))
+        if len(at) and short is not x:  # a folded sketch tells less
+            at = at[good(i, at, x)]
+        if len(at):
+            found[i] = found[at] = True
+    out[order] = found
     return out
 
 
@@ -359,8 +397,12 @@ def _tested(key: np.ndarray, own: list, sizes: np.ndarray, sketches: list[bytes]
 
 
 def _possible(rows: DataFrame, sketches: DataFrame, linked: Linked, most: int = 2000) -> DataFrame:
-    """(head, node) of rows (key, head, node, own, n nodes of the key), without nodes that no sketch of another component's node of the key allows to be linked."""
-    small = rows.filter(F.col("n") <= most).join(sketches, "node").select("key", "head", "node", "own", "size", "sketch")
+    """(head, node) of rows (key, head, node, own, n nodes of the key), without nodes that no sketch of another component's node of the key allows to be linked.
+
+    The nodes of a key with over `most` are dealt to blocks; each pair of blocks, and each block with itself, is a group.
+    """
+    columns = ["key", "head", "node", "own", "size", "sketch"]
+    small = rows.filter(F.col("n") <= most).join(sketches, "node").select(columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of one key, `most` at most
@@ -381,8 +423,17 @@ def _possible(rows: DataFrame, sketches: DataFrame, linked: Linked, most: int =
         if held is not None and len(held):
             yield from kept(held)
 
+    def of_blocks(table: pa.Table) -> pa.Table:
+        own, sketch = (table.column(c).to_pylist() for c in ("own", "sketch"))
+        second = table.column("block").to_numpy() != table.column("x").to_numpy() if table.column("x")[0] != table.column("y")[0] else None
+        return table.select(["head", "node"]).filter(pa.array(partners(table.column("size").to_numpy().astype(np.int64), sketch, own, linked, second), pa.bool_()))
+
     tested = small.repartition("key").sortWithinPartitions("key").mapInArrow(task, "head long, node long")
-    return tested.unionByName(rows.filter(F.col("n") > most).select("head", "node"))
+    # Blocks of `most` nodes: a row is sent once to each block of its key.
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    dealt = rows.filter(F.col("n") > most).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.join(sketches, "node").select(*columns, "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return tested.unionByName(dealt.groupBy("key", "x", "y").applyInArrow(of_blocks, "head long, node long"))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, tokens: Tokens, linked: Linked, block: int = 500) -> DataFrame:

@@ -179,6 +179,19 @@ def test_parity_sketches_bound_differences():
     assert not similar.partners(np.array([3000, 3000]), [similar.parity(a)] * 2, [b"1", b"1"], linked).any()
 
 
+@pytest.mark.parametrize("most", [2000, 7])
+def test_keys_of_many_nodes_are_tested(spark, most):
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 63, 700).astype(np.uint64) for _ in range(40)]
+    sets[31] = np.append(sets[9][:-10], sets[31][:10])
+    sets[17] = np.append(sets[16][:-10], sets[17][:10])
+    linked = jaccard.is_linked(80)
+    own = [16 if i == 17 else i for i in range(40)]  # in one component already
+    rows = spark.createDataFrame([(5, 0, i, c, 40) for i, c in enumerate(own)], "key long, head long, node long, own long, n long")
+    sketches = spark.createDataFrame([(i, len(v), bytearray(similar.parity(v))) for i, v in enumerate(sets)], "node long, size int, sketch binary")
+    assert sorted(r["node"] for r in similar._possible(rows, sketches, linked, most).collect()) == [9, 31]
+
+
 def test_large_heads_and_blocks(spark):
     """The steps for heads with many unlinked nodes give the same result, whatever the block."""
     docs = corpus(11, 80)
