@@ -165,9 +165,14 @@ def line_keys(lines: list[str] | list[bytes], width: int, percent: int) -> list[
     at = np.flatnonzero(many)
     signature = _least(h[np.repeat(many, count)], np.repeat(np.arange(len(at), dtype=np.uint64) * np.uint64(BINS), count[at]), len(at), BINS)
     # Which kinds of keys a line must have depends on its distinct shingles, of which lines with many empty bins may have few.
-    begin = np.cumsum(count) - count
-    for i in at[((signature != _EMPTY).sum(1) <= BINS * 7 // 8) & (count[at] > edge)]:
-        few[i] = len(np.unique(h[begin[i] : begin[i] + count[i]])) <= edge
+    some = np.zeros(len(lines), dtype=bool)
+    some[at[((signature != _EMPTY).sum(1) <= BINS * 7 // 8) & (count[at] > edge)]] = True
+    if some.any():
+        n, rows = count[some], np.flatnonzero(some)
+        # Sorted by line, then by the upper bits of the hash; equal upper bits of unequal hashes only make keys of both kinds.
+        x = np.sort((np.repeat(np.arange(len(rows), dtype=np.uint64), n) << np.uint64(40)) | (h[np.repeat(some, count)] >> np.uint64(24)))
+        repeats = np.concatenate([[False], x[1:] == x[:-1]])
+        few[rows] = n - np.bincount((x[repeats] >> np.uint64(40)).astype(np.int64), minlength=len(rows)) <= edge
     keys: list[np.ndarray | None] = [None] * len(lines)
     for i, x in zip(at.tolist(), _banded(_filled(signature), 2 << 32), strict=True):
         keys[i] = x
@@ -185,10 +190,6 @@ def node_of(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def _order(doc_id: int | None, place: int) -> tuple:
-    return doc_id is not None, doc_id or 0, place
-
-
 def _packed(table: pa.Table) -> similar.Packed:
     ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
     number: dict[bytes, int] = {}
@@ -241,27 +242,31 @@ def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool
     plain = flat.withColumns({"doc_id": F.col(f"_{id_at}").cast("long"), "text": F.col(f"_{text_at}").cast("string")})
     dealt, size = common.deal(plain, part_chars)
     kept_lines = winners(dealt.select("doc_id", "text", "part"), size, width, percent)
+    # Ids and texts that need no cast travel once.
+    id_name, text_name = ("doc_id" if schema[id_at].dataType.simpleString() != "bigint" else f"_{id_at}"), ("text" if schema[text_at].dataType.simpleString() != "string" else f"_{text_at}")
+    sent = dealt.select("part", *dict.fromkeys([*flat.columns, id_name, text_name]))
     extra = [] if drop_empty else [c for c in ("n_lines", "n_removed") if c not in [n.lower() for n in names]]
 
     def clean(table: pa.Table, winning: pa.Table) -> pa.Table:
         stays = dict(zip(winning.column("node").to_pylist(), zip(winning.column("doc_id").to_pylist(), winning.column("place").to_pylist(), strict=True), strict=True))
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        ids, texts = table.column(id_name).to_pylist(), table.column(text_name).to_pylist()
         here: dict[bytes, tuple] = {}
-        split, named = [], []
-        for doc_id, text in zip(ids, texts, strict=True):
-            split.append(text.split("\n") if text is not None else None)
-            named.append([node_of(x) if x else None for x in normalised(text)] or [None] * len(split[-1] or ()))
-            for place, node in enumerate(named[-1]):
+        named: list[list] = [[]] * len(ids)
+        for i in sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0)):
+            doc_id, text = ids[i], texts[i]
+            named[i] = [node_of(x) if x else None for x in normalised(text)] or [None] * (text is not None)
+            for place, node in enumerate(named[i]):
                 if node is not None and node not in stays:
-                    mine = (_order(doc_id, place), doc_id, place)
-                    if node not in here or mine[0] < here[node][0]:
-                        here[node] = mine
+                    first = here.setdefault(node, (doc_id, place))
+                    if place < first[1] and first[0] == doc_id:  # another row of this id
+                        here[node] = doc_id, place
         out, total, removed, keep = [], [], [], []
-        for doc_id, found, nodes in zip(ids, split, named, strict=True):
-            good = [n is None or (stays[n] if n in stays else here[n][1:]) == (doc_id, place) for place, n in enumerate(nodes)]
-            out.append("\n".join(x for x, g in zip(found, good, strict=True) if g) if found is not None else None)
+        for doc_id, text, nodes in zip(ids, texts, named, strict=True):
+            good = [n is None or (stays[n] if n in stays else here[n]) == (doc_id, place) for place, n in enumerate(nodes)]
+            gone = len(good) - sum(good)
+            out.append("\n".join(x for x, g in zip(text.split("\n"), good, strict=True) if g) if gone else text)
             total.append(len(good))
-            removed.append(len(good) - sum(good))
+            removed.append(gone)
             words = [g for n, g in zip(nodes, good, strict=True) if n is not None]
             keep.append(not words or any(words))
         columns = table.select([f"_{i}" for i in range(len(names))])
@@ -271,7 +276,7 @@ def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool
                 columns = columns.append_column(name, pa.array(values, pa.int64()))
         return columns.filter(pa.array(keep, pa.bool_())) if drop_empty else columns
 
-    result = dealt.groupBy("part").cogroup(kept_lines.groupBy("part"))
+    result = sent.groupBy("part").cogroup(kept_lines.groupBy("part"))
     fields = ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)] + [f"{c} long" for c in extra])
 
     def task(table: pa.Table, winning: pa.Table) -> pa.Table:

@@ -288,9 +288,11 @@ def link(keyed: DataFrame, found: DataFrame, tokens: Tokens, linked: Linked, blo
 
     rooted = keyed.select("key", "node").join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n"), F.min("node").alias("head")).filter("a < b").select("key", "n", "head")
-    pairs = spill(_possible(rooted.join(open_keys, "key"), sketches, linked).filter("node <> head").select("head", "node").distinct(), "pairs")
+    open_rows = spill(rooted.join(open_keys, "key"), "open-rows")
     forget(keyed)
-    if pairs.isEmpty():
+    pairs = spill(_possible(open_rows, sketches, linked).filter("node <> head").select("head", "node").distinct(), "pairs")
+    forget(pairs if (none := pairs.isEmpty()) else None, open_rows)
+    if none:
         return roots
     apart = spill(_compared(pairs, texts, tokens, linked), "apart")
     links = spill(links.unionByName(_direct(apart)), "direct")
@@ -429,6 +431,8 @@ def _possible(rows: DataFrame, sketches: DataFrame, linked: Linked, most: int =
         return table.select(["head", "node"]).filter(pa.array(partners(table.column("size").to_numpy().astype(np.int64), sketch, own, linked, second), pa.bool_()))
 
     tested = small.repartition("key").sortWithinPartitions("key").mapInArrow(task, "head long, node long")
+    if rows.filter(F.col("n") > most).isEmpty():
+        return tested
     # Blocks of `most` nodes: a row is sent once to each block of its key.
     blocks = F.ceil(F.col("n") / most).cast("int")
     dealt = rows.filter(F.col("n") > most).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
