@@ -22,6 +22,7 @@ hold the same line at the same place, each keeps it.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,16 +41,19 @@ ROUNDS = 4
 _SEEDS = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0xFF51AFD7ED558CCD)
-_ODD_SPACE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz    ")
 
 
-def normalised(text: str | None) -> list[bytes]:
+def normalised(text: str | bytes | None) -> list[bytes]:
     """The lines of a text as UTF-8: A-Z lower-cased, runs of U+0020 and U+0009 to U+000D one space, none at the ends."""
     if not text:
         return []
-    raw = text.encode().lower()
-    if any(x in raw for x in _ODD_SPACE) or raw[:1] == b" " or raw[-1:] == b" ":
-        return [b" ".join(x.split()) for x in raw.split(b"\n")]
+    raw = (text if isinstance(text, bytes) else text.encode()).translate(_PLAIN).strip(b" ")
+    low = np.frombuffer(raw, np.uint8) <= 32  # a space beside white space makes two such bytes in a row
+    if (low[1:] & low[:-1]).any():
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        raw = raw.replace(b" \n", b"\n").replace(b"\n ", b"\n")
     return raw.split(b"\n")
 
 
@@ -65,19 +69,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _sums(codes: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` codes the sum of code j times the power j + 1 of an odd number; sums of half the width make those of the whole."""
+    base, one = int(_SEEDS[0, 0]), codes * _SEEDS[0, 0]
+    out, size = one, 1
+    for bit in bin(width)[3:]:
+        longer = out[size:] * np.uint64(pow(base, size, 1 << 64))
+        longer += out[: len(longer)]
+        out, size = longer, 2 * size
+        if bit == "1":
+            longer = out[1:] * _SEEDS[0, 0]
+            longer += one[: len(longer)]
+            out, size = longer, size + 1
+    return out
+
+
 def hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all lines, repeats included, and how many each line has.
 
-    A shingle's hash is a sum of its code points times odd numbers, mixed.
+    A shingle's hash is a sum of its code points times powers of an odd number, mixed.
     """
     joined = b"".join(lines)
     codes = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) if x.isascii() else len(x.decode()) for x in lines], dtype=np.int64)
+    size = np.array(list(map(len, lines)), dtype=np.int64)
+    if len(codes) < len(joined):  # less the bytes that begin no code point
+        within = np.flatnonzero((np.frombuffer(joined, np.uint8) & np.uint8(0xC0)) == np.uint8(0x80))
+        size -= np.diff(np.searchsorted(within, np.cumsum(size)), prepend=0)
     n, ends, count = max(len(codes) - width + 1, 0), np.cumsum(size), np.maximum(size - width + 1, 1)
-    x = codes[:n] * _SEEDS[0, 0]
-    more = np.empty_like(x)
-    for j in range(1, width):
-        x += np.multiply(codes[j : n + j], _SEEDS[0, j % 64], out=more)
+    x = _sums(codes, width)
     inside = np.ones(len(codes), dtype=bool)  # where a whole shingle starts
     inside[(ends[:, None] - np.minimum(np.arange(1, width), np.maximum(size, 1)[:, None])).ravel()] = False
     short = np.flatnonzero(size < width)
@@ -94,15 +113,19 @@ def hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens_of(lines: list[bytes], width: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each line, sorted."""
-    out: list[np.ndarray] = []
+    return [x for h, ends in _distinct(lines, width) for x in np.split(h, ends[:-1])]
+
+
+def _distinct(lines: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For lines of about a batch each: the distinct shingle hashes of all, sorted within each line, and where each line's end."""
     for some in _batches(lines):
         h, count = hashes(some, width)
-        ends = np.cumsum(count).tolist()
-        for a, b in zip([0, *ends], ends, strict=False):
-            x = np.sort(h[a:b])
-            fresh = x[1:] != x[:-1]
-            out.append(x if fresh.all() else x[np.concatenate([[True], fresh])])
-    return out
+        ends = np.cumsum(count)
+        for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            h[a:b].sort()
+        fresh = np.concatenate([[True], h[1:] != h[:-1]])
+        fresh[ends[:-1]] = True
+        yield h[fresh], np.cumsum(fresh)[ends - 1]
 
 
 def tokens(line: str, width: int) -> np.ndarray:
@@ -191,7 +214,7 @@ def node_of(line: bytes) -> bytes:
 
 
 def _packed(table: pa.Table) -> similar.Packed:
-    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()
     number: dict[bytes, int] = {}
     members: list[tuple] = []
     for doc_id, text in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -210,7 +233,7 @@ def _keys(width: int, percent: int) -> similar.Keys:
 
 
 def _sketch(width: int) -> similar.Sketcher:
-    return lambda texts: [(len(x), similar.parity(x)) for x in tokens_of(texts, width)]
+    return lambda texts: [x for h, ends in _distinct(texts, width) for x in zip(np.diff(ends, prepend=0).tolist(), similar.parities(h, ends), strict=True)]
 
 
 def winners(dealt: DataFrame, size: int, width: int = 9, percent: int = 80) -> DataFrame:
@@ -249,28 +272,33 @@ def dedupe(docs: DataFrame, width: int = 9, percent: int = 80, drop_empty: bool
 
     def clean(table: pa.Table, winning: pa.Table) -> pa.Table:
         stays = dict(zip(winning.column("node").to_pylist(), zip(winning.column("doc_id").to_pylist(), winning.column("place").to_pylist(), strict=True), strict=True))
-        ids, texts = table.column(id_name).to_pylist(), table.column(text_name).to_pylist()
-        here: dict[bytes, tuple] = {}
-        named: list[list] = [[]] * len(ids)
-        for i in sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0)):
-            doc_id, text = ids[i], texts[i]
-            named[i] = [node_of(x) if x else None for x in normalised(text)] or [None] * (text is not None)
-            for place, node in enumerate(named[i]):
-                if node is not None and node not in stays:
-                    first = here.setdefault(node, (doc_id, place))
-                    if place < first[1] and first[0] == doc_id:  # another row of this id
-                        here[node] = doc_id, place
-        out, total, removed, keep = [], [], [], []
-        for doc_id, text, nodes in zip(ids, texts, named, strict=True):
-            good = [n is None or (stays[n] if n in stays else here[n]) == (doc_id, place) for place, n in enumerate(nodes)]
-            gone = len(good) - sum(good)
-            out.append("\n".join(x for x, g in zip(text.split("\n"), good, strict=True) if g) if gone else text)
-            total.append(len(good))
-            removed.append(gone)
-            words = [g for n, g in zip(nodes, good, strict=True) if n is not None]
-            keep.append(not words or any(words))
+        ids, texts = table.column(id_name).to_pylist(), table.column(text_name).cast(pa.binary()).to_pylist()
+        firsts = stays  # and the first places of the lines that no other part has
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+
+        def named(i: int) -> list[bytes | None]:
+            return [node_of(x) if x else None for x in normalised(texts[i])] or [None] * (texts[i] is not None)
+
+        if len(set(ids)) < len(ids):  # of the rows of an id, the least place counts
+            here: dict[bytes, tuple] = {}
+            for i in order:
+                for place, node in enumerate(named(i)):
+                    if node is not None and node not in stays:
+                        first = here.setdefault(node, (ids[i], place))
+                        if place < first[1] and first[0] == ids[i]:
+                            here[node] = ids[i], place
+            firsts |= here
+        out, total, removed, keep = list(texts), [0] * len(ids), [0] * len(ids), [True] * len(ids)
+        for i in order:
+            nodes = named(i)
+            places = [(ids[i], place) for place in range(len(nodes))]
+            good = [n is None or first == at for n, first, at in zip(nodes, map(firsts.setdefault, nodes, places), places, strict=True)]
+            total[i], removed[i] = len(good), good.count(False)
+            if removed[i]:
+                out[i] = b"\n".join(itertools.compress(texts[i].split(b"\n"), good))
+                keep[i] = removed[i] < len(nodes) - nodes.count(None)
         columns = table.select([f"_{i}" for i in range(len(names))])
-        columns = columns.set_column(text_at, f"_{text_at}", pa.array(out, columns.schema.field(text_at).type))
+        columns = columns.set_column(text_at, f"_{text_at}", pa.array(out, pa.binary()).cast(columns.schema.field(text_at).type))
         for name, values in (("n_lines", total), ("n_removed", removed)):
             if name in extra:
                 columns = columns.append_column(name, pa.array(values, pa.int64()))

@@ -125,6 +125,18 @@ def _starts(v: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
 
 
+def _by_key(keys: np.ndarray, numbers: np.ndarray, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of `bits` bits, sorted, with their numbers below n, ascending for each key; sorted as single words if both fit in one."""
+    low = max(n - 1, 1).bit_length()
+    if bits + low > 64:
+        order = np.lexsort((numbers, keys))
+        return keys[order], numbers[order].astype("<u4")
+    both = keys << np.uint64(low)
+    both |= numbers.astype(np.uint64)
+    both.sort()
+    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype("<u4")
+
+
 def _pack(part: int, packed: Packed, bits: int) -> pa.Table:
     """The row of a part, and its digests by bucket."""
     joined = b"".join(packed.nodes)
@@ -179,16 +191,12 @@ def _send(row: dict, same: pa.Table, keys_of: Keys, bits: int) -> pa.Table:
     own = np.flatnonzero(_ids(part, n, same)[0] >> 32 == part)
     some = pa.array(own)
     keys = [_lengthened(x, bits) for x in nodes["keys"].take(some).to_pylist()] if "keys" in nodes else keys_of(nodes["text"].take(some).to_pylist())
-    number = np.repeat(own, [len(k) for k in keys]).astype("<u4")
-    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    order = np.argsort(keys, kind="stable")  # numbers ascend, so the first is the least
-    keys, number = keys[order], number[order]
-    cut = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-    bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)).astype(np.int64)
-    short = bucket << 32 | cut  # what a bucket tells apart
+    number = np.repeat(own, [len(k) for k in keys])
+    short, number = _by_key(np.concatenate(keys) >> np.uint64(32 - bits) if keys else np.zeros(0, np.uint64), number, 32 + bits, n)
+    cut = short.astype("<u4")
     starts = _starts(short)
-    rows = [(part, b, cut[starts][s].tobytes(), _narrow(number[starts][s], n), None) for b, s in _slices(keys[starts], bits)]
-    count = np.diff(np.append(starts, len(keys)))
+    rows = [(part, b, cut[starts][s].tobytes(), _narrow(number[starts][s], n), None) for b, s in _slices(short[starts] << np.uint64(32 - bits), bits)]
+    count = np.diff(np.append(starts, len(short)))
     several = np.repeat(count > 1, count)
     if several.any():
         rows.append((part, -1 - part, short[several].astype("<i8").tobytes(), number[several].tobytes(), np.repeat(number[starts], count)[several].tobytes()))
@@ -203,10 +211,9 @@ def _match_keys(table: pa.Table) -> pa.Table:
         base = row["part"] << 32
         columns = np.frombuffer(row["hashes"], "<i8"), *(base | np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("heads", "numbers"))
         return pa.table([pa.array(c) for c in columns], schema=_KEYED)
-    hashes, part, number = _gathered(table, "<u4")
-    id_, hashes = part << 32 | number, hashes[:, 0]
-    order = np.lexsort((id_, hashes))
-    v, id_ = hashes[order], id_[order]
+    hashes, part, number = _gathered(table.sort_by("part"), "<u4")
+    v, order = _by_key(hashes[:, 0].astype(np.uint64), np.arange(len(hashes)), 32, len(hashes))  # a part has a key once, so ids ascend
+    id_ = (part << 32 | number)[order]
     starts = _starts(v)
     count = np.diff(np.append(starts, len(v)))
     shared = np.repeat(count > 1, count)
@@ -322,6 +329,16 @@ def parity(hashes: np.ndarray, most: int = 8192) -> bytes:
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def parities(hashes: np.ndarray, ends: np.ndarray, most: int = 8192) -> list[bytes]:
+    """parity() of several sets, of which all hashes are given, and where each set's end; none is empty."""
+    count = np.diff(ends, prepend=0)
+    bits = np.minimum(most, 1 << np.maximum(6, np.ceil(np.log2(2 * count)).astype(np.int64)))
+    start = np.cumsum(bits) - bits
+    at = (hashes & np.repeat((bits - 1).astype(np.uint64), count)).view(np.int64) + np.repeat(start, count)
+    flat = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool)).tobytes()
+    return [flat[i:j] for i, j in zip((start // 8).tolist(), ((start + bits) // 8).tolist(), strict=True)]
+
+
 def _folded(sketches: list[bytes], width: int) -> np.ndarray:
     """Sketches of one length folded to `width` bytes; folding keeps the bound."""
     return np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1, width), axis=1)
@@ -347,8 +364,9 @@ def _near(pairs: DataFrame, sketches: DataFrame, linked: Linked) -> DataFrame:
             sizes, marks = ([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4)], [batch.column(i).to_pylist() for i in (3, 5)])
             yield batch.select(["head", "node"]).filter(pa.array(may_link(sizes[0], marks[0], sizes[1], marks[1], linked), pa.bool_()))
 
-    of_head = sketches.select(F.col("node").alias("head"), F.col("size").alias("n_head"), F.col("sketch").alias("of_head"))
-    both = pairs.join(sketches, "node").join(of_head, "head").select("head", "node", "size", "sketch", "n_head", "of_head")
+    # Joined by one name on either side, so the sketches are shuffled once.
+    both = pairs.join(sketches, "node").alias("x").join(sketches.alias("y"), F.col("x.head") == F.col("y.node"))
+    both = both.select("head", "x.node", "x.size", "x.sketch", F.col("y.size").alias("n_head"), F.col("y.sketch").alias("of_head"))
     return both.mapInArrow(task, "head long, node long")
 
 
@@ -464,7 +482,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, tokens: Tokens, linked: Linked
 
     blocks = pairs.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = pairs.join(blocks, "head").join(texts, "node").select("head", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "text")
-    met = blocks.join(texts.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("node"), "text")
+    met = blocks.join(texts, F.col("head") == F.col("node")).select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("node"), "text")
     both = asked.unionByName(met).repartition("head", "block").sortWithinPartitions("head", "block", F.col("node").asc_nulls_first())
     return both.select("head", "node", "text").mapInArrow(difference, DIFFERENCE)
 

@@ -249,6 +249,57 @@ def test_line_signatures_recall(width):
     assert total > 150 and missed <= 1
 
 
+def test_lines_of_odd_white_space():
+    """Texts may be bytes; white space is that of bytes.split(), and no other control character counts as such."""
+    rng = random.Random(8)
+    letters = ["a", "B", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\x1c", "\x85", "\u3000", "\U0001f600"]
+    for _ in range(3000):
+        raw = "".join(rng.choices(letters, k=rng.randint(1, 12))).encode()
+        assert lines.normalised(raw) == lines.normalised(raw.decode()) == [b" ".join(x.lower().split()) for x in raw.split(b"\n")]
+
+
+@pytest.mark.parametrize("width", [1, 2, 9, 13])
+def test_sketches_of_many_lines(width):
+    """Hashes are alike where shingles are; sketches made together are those made one by one."""
+    rng = random.Random(9)
+    some = ["".join(rng.choices("ab\u00e9\u6f22\U0001f600", k=rng.choice([1, 5, 9, 14, 70, 6000]))).encode() for _ in range(60)]
+    shingles = [{x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in (line.decode() for line in some)]
+    tokens = lines.tokens_of(some, width)
+    assert [len(x) for x in tokens] == [len(x) for x in shingles]
+    assert len(set(np.concatenate(tokens).tolist())) == len(set.union(*shingles))
+    assert lines._sketch(width)(some) == [(len(x), similar.parity(x)) for x in tokens] == [(len(x), y) for x, y in zip(tokens, similar.parities(np.concatenate(tokens), np.cumsum([len(x) for x in tokens])), strict=True)]
+
+
+@pytest.mark.parametrize("bits", [3, 31])
+def test_head_is_the_least_node_of_what_a_bucket_sees(bits):
+    """Keys that differ in their low bits alone are one key to a bucket, whichever is smaller."""
+    key = np.uint64(0xABCD << 48)
+    nodes = similar._ipc({"text": pa.array([b"x", b"y", b"z"], pa.binary())})
+    sent = similar._send({"part": 0, "nodes": nodes}, similar._SAME.empty_table(), lambda _: [np.array([k], np.uint64) for k in (key | np.uint64(1), key, ~key)], bits).to_pylist()
+    several = next(r for r in sent if r["bucket"] < 0)
+    assert [np.frombuffer(several[c], "<u4").tolist() for c in ("numbers", "heads")] == [[0, 1], [0, 0]]
+    assert sorted(r["bucket"] for r in sent if r["bucket"] >= 0) == sorted(int(k) >> 64 - bits for k in (key, ~key))
+    assert sorted(similar._wide(r["numbers"], 1).tolist() for r in sent if r["bucket"] >= 0) == [[0], [2]]
+    parts = pa.concat_tables(similar._table([(p, 5, np.array([7, 9], "<u4").tobytes(), similar._narrow(np.array(n), 9), None)], similar._SENT) for p, n in ((4, [1, 2]), (2, [8, 3])))
+    assert similar._match_keys(parts).to_pylist() == [{"key": 5 << 32 | k, "head": 2 << 32 | h, "node": p << 32 | n} for k, h, p, n in ((7, 8, 2, 8), (7, 8, 4, 1), (9, 3, 2, 3), (9, 3, 4, 2))]
+
+
+def test_heads_and_nodes_share_one_shuffle(spark, tmp_path):
+    """Sketches and texts meet the heads and the nodes of pairs; either side reads the same shuffle."""
+    spark.createDataFrame([(i, 4, bytes([i]) * 8, b"text") for i in range(9)], "node long, size int, sketch binary, text binary").write.parquet(f"{tmp_path}/nodes")
+    spark.createDataFrame([(0, i) for i in range(1, 9)], "head long, node long").write.parquet(f"{tmp_path}/pairs")
+    nodes, pairs = spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/pairs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = jaccard.is_linked(80)
+        for out in (similar._near(pairs, nodes.select("node", "size", "sketch"), linked), similar._compared(pairs, nodes.select("node", "text"), lambda texts: lines.tokens_of([t or b"" for t in texts], 2), linked)):
+            out.collect()
+            assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (10, "Short one"), (2, None), (3, "..."), (None, "nameless item words here"), (10, "Short one"), (4, "x")]
 
 
