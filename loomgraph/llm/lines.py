@@ -144,11 +144,9 @@ def _batches(lines: list[bytes], limit: int = common.CHUNK_CHARS // 8) -> Iterat
 
 
 def _least(x: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
-    """Signatures [rows, bins]: the least hash of each row in each bin of the range of hashes. row: the row of each hash times bins."""
+    """Signatures [rows, bins]: the least hash of each row in each bin of the range of hashes, a power of two of bins. row: the row of each hash times bins."""
     out = np.full(rows * bins, _EMPTY, dtype=np.uint32)
-    at = x >> np.uint64(32)
-    at *= np.uint64(bins)
-    at >>= np.uint64(32)
+    at = x >> np.uint64(65 - bins.bit_length())
     at += row
     np.minimum.at(out, at.view(np.int64), x.astype(np.uint32))
     return out.reshape(rows, bins)
@@ -186,7 +184,7 @@ def line_keys(lines: list[str] | list[bytes], width: int, percent: int) -> list[
     edge = BINS * 100 // percent
     few, many = count <= edge, count > BINS
     at = np.flatnonzero(many)
-    signature = _least(h[np.repeat(many, count)], np.repeat(np.arange(len(at), dtype=np.uint64) * np.uint64(BINS), count[at]), len(at), BINS)
+    signature = _least(h, np.repeat(np.arange(len(lines), dtype=np.uint64) * np.uint64(BINS), count), len(lines), BINS)[at]
     # Which kinds of keys a line must have depends on its distinct shingles, of which lines with many empty bins may have few.
     some = np.zeros(len(lines), dtype=bool)
     some[at[((signature != _EMPTY).sum(1) <= BINS * 7 // 8) & (count[at] > edge)]] = True

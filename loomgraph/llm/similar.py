@@ -346,11 +346,11 @@ def _folded(sketches: list[bytes], width: int) -> np.ndarray:
 
 def may_link(n_a: np.ndarray, a: list[bytes], n_b: np.ndarray, b: list[bytes], linked: Linked) -> np.ndarray:
     """For each pair: sketches differ in no more bits than linked sets in tokens."""
-    lengths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
+    lengths = np.fromiter(map(len, a), np.int64, len(a)) << 32 | np.fromiter(map(len, b), np.int64, len(a))
     out = np.zeros(len(lengths), dtype=bool)
-    for of_a, of_b in np.unique(lengths, axis=0).tolist():
-        at = np.flatnonzero((lengths[:, 0] == of_a) & (lengths[:, 1] == of_b))
-        width = min(of_a, of_b)
+    for both in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == both)
+        width = min(both >> 32, both & 0xFFFFFFFF)
         bits = np.bitwise_count(_folded([a[i] for i in at], width) ^ _folded([b[i] for i in at], width)).sum(1, dtype=np.int64)
         out[at] = _linked_delta(linked, n_a[at], n_b[at], np.maximum(bits, np.abs(n_a[at] - n_b[at])))
     return out
